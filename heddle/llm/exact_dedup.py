@@ -63,65 +63,92 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), shared.SPACE + "+", " ")
 
 
-def fingerprints(docs: DataFrame, bases: tuple[int, ...] = BASES, prime: int = PRIME, piece: int = PIECE, huge: int = HUGE) -> tuple[DataFrame, DataFrame]:
-    """``docs`` has ``_norm``. Returns the rows, stored, with ``_uid``, ``_bytes``, ``_sha`` and
-    their fingerprint ``_fp``: first the usual rows, then the huge ones."""
-    raw = F.col("_norm").cast("binary")
-    base = docs.withColumns({"_uid": F.monotonically_increasing_id(), "_bytes": F.octet_length("_norm").cast("long"), "_sha": F.sha2(raw, 256)})
-    small = F.when(F.col("_bytes") <= huge, F.col("_norm")).cast("binary")
-    rows = shared.stored(base.withColumn("_fp", hashed(F.coalesce(small, F.lit(b"")), F.lit(0).cast("long"), bases, prime)), "fingerprints")
+def packed(values: Column, n: int) -> Column:
+    """Two residues of 31 bits to a long."""
+    return F.array(*[values[i] * F.lit(1 << 31) + (values[i + 1] if i + 1 < n else F.lit(0)) for i in range(0, n, 2)])
+
+
+def fingerprints(docs: DataFrame, text: str, bases: tuple[int, ...], prime: int, piece: int, huge: int) -> DataFrame:
+    """All rows, stored, with ``_uid``, ``_bytes``, ``_fp`` and ``_sha`` of the normalised text."""
+    norm = normalised(F.col(text))
+    base = docs.withColumn("_norm", norm).withColumns({"_uid": F.monotonically_increasing_id(), "_bytes": F.octet_length("_norm").cast("long"), "_sha": F.sha2(F.col("_norm").cast("binary"), 256)})
+    usual = F.when(F.col("_bytes") <= huge, F.col("_norm")).otherwise(F.lit("")).cast("binary")
+    values = hashed(usual, F.lit(0).cast("long"), bases, prime)
+    rows = shared.stored(base.withColumn("_v", values).withColumn("_fp", F.when(F.col("_bytes") <= huge, packed(F.col("_v"), len(bases)))).drop("_norm", "_v"), "fingerprints")
     big = rows.filter(F.col("_bytes") > huge)
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bytes") - 1, F.lit(piece).cast("long")))
     pieces = (
-        big.select("_uid", "_bytes", raw.alias("_raw"), start.alias("_at"))
+        big.select("_uid", "_bytes", norm.cast("binary").alias("_raw"), start.alias("_at"))
         .select("_uid", "_at", F.substring("_raw", (F.col("_at") + 1).cast("int"), F.lit(piece)).alias("_piece"), F.greatest(F.col("_bytes") - F.col("_at") - piece, F.lit(0)).alias("_after"))
         .repartition("_uid", "_at")
         .select("_uid", hashed(F.col("_piece"), F.col("_after"), bases, prime).alias("_v"))
     )
     summed = pieces.groupBy("_uid").agg(*[F.sum(F.col("_v")[i]).alias(f"_v{i}") for i in range(len(bases))])
-    combined = summed.select("_uid", F.array(*[F.col(f"_v{i}") % prime for i in range(len(bases))]).alias("_fp"))
-    return rows.filter(F.col("_bytes") <= huge), big.drop("_fp").join(combined, "_uid")
+    combined = summed.select("_uid", packed(F.array(*[F.col(f"_v{i}") % prime for i in range(len(bases))]), len(bases)).alias("_fp"))
+    return rows.filter(F.col("_bytes") <= huge).unionByName(big.drop("_fp").join(combined, "_uid"))
 
 
-def collided(rows: DataFrame, members: DataFrame, piece: int = CHUNK) -> DataFrame:
-    """Keys (``_bytes``, ``_fp``) whose texts aren't all the same, by comparing chunk with chunk.
-    ``members``: _uid, _bytes, _fp of the rows to compare."""
-    candidates = shared.narrowed(rows.select("_uid", "_norm"), F.col("_uid"), members.select("_uid")).join(members, "_uid")
-    chunks = candidates.select("_bytes", "_fp", F.col("_norm").cast("binary").alias("_raw"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("_bytes") - 1, F.lit(0)).cast("int"), F.lit(piece))).alias("_at"))
+def collided(rows: DataFrame, text: str, keys: DataFrame, piece: int = CHUNK) -> DataFrame:
+    """Of ``keys`` (_bytes, _fp), those whose texts aren't all the same, by comparing chunk with chunk."""
+    key = F.xxhash64("_bytes", "_fp")
+    some = shared.narrowed(rows.select("_bytes", "_fp", text), key, keys.select(key))
+    chunks = some.select("_bytes", "_fp", normalised(F.col(text)).cast("binary").alias("_raw"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("_bytes") - 1, F.lit(0)).cast("int"), F.lit(piece))).alias("_at"))
     chunks = chunks.select("_bytes", "_fp", "_at", F.substring("_raw", F.col("_at") + 1, F.lit(piece)).alias("_chunk"))
     same = chunks.groupBy("_bytes", "_fp", "_at").agg((F.min("_chunk") == F.max("_chunk")).alias("_same"))
     return same.filter(~F.col("_same")).select("_bytes", "_fp").distinct()
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bases: tuple[int, ...] = BASES, prime: int = PRIME, piece: int = PIECE, huge: int = HUGE) -> DataFrame:
-    """All rows with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+def decided(keyed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal key, and each row with its class's decision."""
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))
+    classes = shared.stored(keyed.groupBy(*key).agg(F.min(order).alias("_first"), F.count("*").alias("group_size")), "classes")
+    return classes, keyed.join(classes, key).select("_uid", F.col("_id").alias("doc_id"), F.col("_first.id").alias("keep_id"), "group_size", (F.col("_first.uid") == F.col("_uid")).alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def decisions(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """For each row of fingerprints(): _uid, doc_id, keep_id, group_size, kept, text_sha256."""
+    keyed = rows.select("_uid", F.col(doc_id).alias("_id"), "_bytes", "_fp", "_sha")
+    classes, named = decided(keyed, ["_bytes", "_fp"])
+    broken = shared.stored(collided(rows, text, classes.filter("group_size > 1").select("_bytes", "_fp")), "collided")
+    if broken.isEmpty():
+        return named
+    # Fingerprints of different texts met: there the digest parts them too.
+    parted = keyed.join(broken.withColumn("_broken", F.lit(True)), ["_bytes", "_fp"], "left").withColumn("_sub", F.when(F.col("_broken"), F.col("_sha")).otherwise(F.lit("")))
+    return decided(parted, ["_bytes", "_fp", "_sub"])[1]
+
+
+RESERVED = {"keep_id", "group_size", "kept", "text_sha256", "_norm", "_uid", "_bytes", "_sha", "_fp", "_v", "_id"}
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bases: tuple[int, ...] = BASES, prime: int = PRIME, piece: int = PIECE, huge: int = HUGE, whole_rows: bool = True) -> DataFrame:
+    """All rows with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; without whole_rows
+    only their ids with these.
 
     Texts are equal when identical after each run of white space became one space; null counts as
     empty. Of equal texts the row with the smallest id stays (null ids count as largest), and of
     rows that repeat both id and text exactly one. An empty table gives an empty result. Input
     columns named like the result's or like working ones are kept with ``in_`` before the name.
     """
-    own = {"keep_id", "group_size", "kept", "text_sha256", "_norm", "_uid", "_bytes", "_sha", "_fp"}
-    docs = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c.lower() in own and c not in (doc_id, text)})
-    columns = docs.columns
-    usual, big = fingerprints(docs.withColumn("_norm", normalised(F.col(text))), bases, prime, piece, huge)
-    rows = usual.unionByName(big)
-    keyed = rows.select("_uid", F.col(doc_id).alias("_id"), "_bytes", "_sha", "_fp")
-    keyed = shared.stored(keyed, "keyed")
-    sizes = shared.stored(keyed.groupBy("_bytes", "_fp").agg(F.count("*").alias("_n")).filter("_n > 1"), "groups")
-    members = shared.stored(keyed.join(sizes.select("_bytes", "_fp"), ["_bytes", "_fp"]).select("_uid", "_bytes", "_fp"), "members")
-    broken = shared.stored(collided(rows, members), "collided")
-    # Where fingerprints of different texts met, the digest parts them. Empty but for that.
-    split = keyed.join(broken.withColumn("_broken", F.lit(True)), ["_bytes", "_fp"], "left").withColumn("_sub", F.when(F.col("_broken"), F.col("_sha")).otherwise(F.lit("")))
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_uid").alias("uid"))
-    classes = shared.stored(split.groupBy("_bytes", "_fp", "_sub").agg(F.min(order).alias("_first"), F.count("*").alias("group_size")), "classes")
-    named = split.drop("_id").join(classes, ["_bytes", "_fp", "_sub"]).select("_uid", F.col("_first.id").alias("keep_id"), "group_size", (F.col("_first.uid") == F.col("_uid")).alias("kept"), F.col("_sha").alias("text_sha256"))
-    return rows.select(*columns, "_uid").join(named, "_uid").drop("_uid")
+    docs = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c.lower() in RESERVED and c not in (doc_id, text)})
+    rows = fingerprints(docs, text, bases, prime, piece, huge)
+    named = decisions(rows, doc_id, text)
+    if not whole_rows:
+        return named.drop("_uid")
+    return rows.select(*docs.columns, "_uid").join(named.drop("doc_id"), "_uid").drop("_uid")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with the columns they came with."""
+    renamed = {c: f"in_{c}" for c in docs.columns if c.lower() in RESERVED and c not in (doc_id, text)}
+    rows = fingerprints(docs.withColumnsRenamed(renamed), text, BASES, PRIME, PIECE, HUGE)
+    stay = decisions(rows, doc_id, text).filter("kept").select("_uid")
+    out = rows.join(stay, "_uid", "left_semi").drop("_uid", "_bytes", "_sha", "_fp")
+    return out.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, whole_rows=False)
 
 
 SQL = r"""

@@ -44,6 +44,13 @@ def test_ties_nulls_long_texts_and_collisions(spark, weak):
     assert got(out) == brute(CASES)
 
 
+def test_rows_that_stay(spark):
+    df = spark.createDataFrame([(d, t, i, "k") for i, (d, t) in enumerate(CASES)], "doc_id long, text string, _uid int, kept string").repartition(2)
+    out = E.deduplicated(df)
+    assert out.columns == df.columns
+    assert out.count() == len({s for *_, s in brute(CASES)})
+
+
 def test_empty_table(spark):
     assert E.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
