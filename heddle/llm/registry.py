@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_shards": sharding.op1_shards,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_bpe": bpe.op7_bpe,
     }
 
 
