@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, decontamination, exact_dedup, sharding
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op1_shards": sharding.op1_shards,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op9_decontamination": decontamination.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontamination.SQL}

@@ -80,3 +80,17 @@ def narrowed(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return out.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*[df[c] for c in df.columns])
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose column ``key`` isn't among ``keys`` (one column of that name). Only rows that
+    the bitmap of narrowed() can't clear are moved; ``df`` should be a stored table, as it is read twice."""
+    used = names_free(df, "bit", "bucket", "bitmap")
+    bit, bucket, bitmap = used["bit"], used["bucket"], used["bitmap"]
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    maps = keys.select(at(F.col(key)).alias(bit)).groupBy(F.bitmap_bucket_number(bit).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bitmap))
+    out = df.withColumn(bit, at(F.col(key))).withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), bucket, "left")
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    clear = out.filter(F.col(bitmap).isNull() | (F.getbit(byte, (place % 8).cast("int")) == 0)).select(*df.columns)
+    return clear.unionByName(narrowed(df, F.col(key), keys).join(keys, key, "left_anti").select(*df.columns))
