@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, sharding
+from . import bpe, decontamination, exact_dedup, jaccard_join, sharding
 
 
 def queries() -> dict:
     return {
         "op1_shards": sharding.op1_shards,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_bpe": bpe.op7_bpe,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontamination.SQL}
+    return {
+        "op5_exact_dedup": exact_dedup.SQL,
+        "op6_ngram_jaccard": jaccard_join.SQL,
+        "op9_decontamination": decontamination.SQL,
+    }
