@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, jaccard_join, sharding
+from . import bpe, decontamination, exact_dedup, html, jaccard_join, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_shards": sharding.op1_shards,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_bpe": bpe.op7_bpe,
+        "op8_html": html.op8_html,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 

@@ -43,9 +43,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hashed(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word; no word crosses a cut."""
-    word = ~SPACE[data]
+def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word; no word crosses a cut. With ``stem`` of its first bytes alone."""
+    word = ~gap[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -54,6 +54,8 @@ def _hashed(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = cuts[cuts > 0] - 1
     last[at] = word[at]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
+    if stem:
+        e = np.minimum(e, s + stem - 1)
     up, down = powers(len(data))
     values = LETTER[data] * down[: len(data)]
     total = np.cumsum(values)
@@ -70,8 +72,10 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), places
 
 
-def words(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words in order) for each row; null and blank texts have none."""
+def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE, stem: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words in order) for each row; null and blank texts have none. ``gap``
+    says which bytes part words, white space among them;
+    with ``stem`` only that many first bytes of each word count."""
     for part_at, part in _parts(texts):
         data, places = _bytes(part)
         i = 0
@@ -79,7 +83,7 @@ def words(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]
             j = max(i + 1, int(np.searchsorted(places, places[i] + BLOCK, side="right")) - 1)
             begin, end = places[i], places[j]
             if end - begin <= 2 * BLOCK:
-                found, s = _hashed(data[begin:end], places[i : j + 1] - begin)
+                found, s = _hashed(data[begin:end], places[i : j + 1] - begin, gap, stem)
                 bounds = np.searchsorted(s, places[i : j + 1] - begin)
                 for k in range(j - i):
                     yield part_at + i + k, found[bounds[k] : bounds[k + 1]]
@@ -90,7 +94,7 @@ def words(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]
                     while to < end and not SPACE[data[to - 1]]:
                         step = np.flatnonzero(SPACE[data[to : min(to + BLOCK, end)]])
                         to = to + int(step[0]) + 1 if len(step) else min(to + BLOCK, end)
-                    some.append(_hashed(data[at:to], np.array([0, to - at]))[0])
+                    some.append(_hashed(data[at:to], np.array([0, to - at]), gap, stem)[0])
                     at = to
                 yield part_at + i, np.concatenate(some)
             i = j
