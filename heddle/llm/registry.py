@@ -6,7 +6,10 @@ from . import bpe, decontamination, exact_dedup, html, jaccard_join, sharding, t
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_shards": sharding.op1_shards,
         "op2_toxicity": toxicity.op2_toxicity,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
