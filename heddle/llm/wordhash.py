@@ -44,7 +44,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word; no word crosses a cut. With ``stem`` of its first bytes alone."""
+    """Hash and first byte of each word; no word crosses a cut. ``stem``: of so many first bytes
+    alone, if negative of so many last ones."""
     word = ~gap[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -54,12 +55,15 @@ def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stem: i
     at = cuts[cuts > 0] - 1
     last[at] = word[at]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    if stem:
+    at = s
+    if stem > 0:
         e = np.minimum(e, s + stem - 1)
+    elif stem:
+        s = np.maximum(s, e + stem + 1)
     up, down = powers(len(data))
     values = LETTER[data] * down[: len(data)]
     total = np.cumsum(values)
-    return mixed((total[e] - total[s] + values[s]) * up[e], 1), s
+    return mixed((total[e] - total[s] + values[s]) * up[e], 1), at
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +79,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE, stem: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its words in order) for each row; null and blank texts have none. ``gap``
     says which bytes part words, white space among them;
-    with ``stem`` only that many first bytes of each word count."""
+    with ``stem`` only that many first bytes of each word count, if negative last ones."""
     for part_at, part in _parts(texts):
         data, places = _bytes(part)
         i = 0
