@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, exact_dedup, html, jaccard_join, lm, sharding, toxicity
+from . import bpe, chat, decontamination, exact_dedup, html, jaccard_join, lm, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,12 +12,14 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_shards": sharding.op1_shards,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_secret_scan": secrets.op3_secret_scan,
         "op4_lm_score": lm.op4_lm_score,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_bpe": bpe.op7_bpe,
         "op8_html": html.op8_html,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op10_chat": chat.op10_chat,
     }
 
 
