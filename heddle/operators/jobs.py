@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import subjects as S
+from ..sources import tables
 from . import assembly as A
 from .state import pp_backoff_seconds
 
@@ -69,7 +70,7 @@ def verify_parts(parts: DataFrame, checks: DataFrame) -> DataFrame:
 def reparse_plan(stored: DataFrame) -> DataFrame:
     """Parts whose fields change when their subject is parsed again."""
     fields = ["part_number", "total_parts", "norm_subject", "collection_key", "file_number", "collection_files"]
-    again = S.parse_subject(stored.withColumnsRenamed({c: f"old_{c}" for c in fields}))
+    again = tables.stored(S.parse_subject(stored.withColumnsRenamed({c: f"old_{c}" for c in fields})), "reparsed")
     changed = F.lit(False)
     for c in fields:
         changed |= ~F.col(c).eqNullSafe(F.col(f"old_{c}"))

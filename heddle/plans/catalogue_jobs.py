@@ -9,6 +9,8 @@ from ..operators import jobs as J
 from ..operators import search as Q
 from ..operators import state as T
 from ..sources import views as V
+from ..sources.tables import scratch
+from ..streaming import ingest as I
 from .catalogue import BIN, REL, add, bins, ntz, parts, releases, segments
 from .sql import query as q
 
@@ -111,3 +113,16 @@ add("ST08_retry_state")(lambda s, d: T.retry_state(V.table(s, d, "events").selec
 add("ST09_dedup_window")(lambda s, d: T.dedup_window(V.table(s, d, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("id"), "ts", "event_id")))
 add("ST10_rate_limit")(lambda s, d: T.rate_limit(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 86400, 2))
 add("ST14_backlog_cadence", q("SELECT event_id, CAST(CASE WHEN articles > 0 THEN 5 ELSE 60 END AS INT) AS interval FROM passes", "passes"))(lambda s, d: T.backlog_cadence(V.passes(s, d), 5, 60))
+
+
+def written(df, name):
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+add("ST04_stream_ingest_dedup", q("SELECT group_id, article_number FROM parts", "parts"))(lambda s, d: I.stream_ingest(written(V.headers(s, d).repartition(16), "feed"), V.headers(s, d)).select("group_id", "article_number"))
+add("ST05_stream_assemble", q("SELECT binary_id, collected_parts, CAST(total_parts AS INT) AS total_parts, total_bytes, posted_at, complete FROM binaries WHERE collection_key = ''", "binaries"))(lambda s, d: I.stream_assemble(written(parts(s, d).repartition(16), "feed"), parts(s, d)).select("binary_id", "collected_parts", F.col("total_parts").cast("int").alias("total_parts"), "total_bytes", "posted_at", "complete"))
+add("A07_group_health_stats")(lambda s, d: T.group_health_stats(T.classify_group_health(T.group_state(V.passes(s, d)).withColumns({"active": F.lit(True), "last_scanned_high": F.col("server_high") - F.col("group_id") * 20_000}), F.lit("2024-01-30 12:00:00").cast("timestamp"))))
+add("B02_mark_released", q("SELECT binary_id, complete AND total_parts > 0 AS released FROM binaries", "binaries"))(lambda s, d: bins(s, d).join(A.releasable(bins(s, d)).select("binary_id", F.lit(True).alias("r")), "binary_id", "left").select("binary_id", F.coalesce("r", F.lit(False)).alias("released")))
+add("W03_distinct_on", q("SELECT group_id, poster, min(part_id) AS part_id FROM parts GROUP BY ALL", "parts"))(lambda s, d: A.distinct_on(parts(s, d).select("group_id", "poster", "part_id"), ["group_id", "poster"], "part_id"))
