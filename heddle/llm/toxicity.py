@@ -71,12 +71,15 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least:
     model = Model(np.zeros(PLACES), np.linspace(3.0, 6.0, grades - 1))
     if not len(rows):
         return model
-    pairs = [np.unique(r, return_counts=True) for r in rows]
-    row, place = np.repeat(np.arange(len(rows)), [len(p) for p, _ in pairs]), np.concatenate([p for p, _ in pairs])
-    value = np.log2(1 + np.concatenate([c for _, c in pairs]))
-    often = np.bincount(place, minlength=PLACES) >= least
-    row, value, place = row[often[place]], value[often[place]], place[often[place]]
+    found = np.zeros(PLACES, np.int64)
+    for r in rows:
+        found[np.unique(r)] += 1
+    often = found >= least
+    pairs = [np.unique(r[often[r]], return_counts=True) for r in rows]  # the others have no weight
+    row, place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p, _ in pairs]), np.concatenate([p for p, _ in pairs])
+    value = np.log2(1 + np.concatenate([c.astype(np.int32) for _, c in pairs]), dtype=np.float32)
     used, column = np.unique(place, return_inverse=True)
+    del pairs, place
     count = np.bincount(column, minlength=len(used))
     w, n = np.zeros(len(used)), len(rows)
     share = np.clip([(grade <= j).mean() for j in range(grades - 1)], 1e-3, 1 - 1e-3)
@@ -110,12 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, grade: str | None = None, rows: in
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = pa.array([np.sort(f).astype(np.int32) for f in features(b.column(1))], pa.list_(pa.int32()))
+            lists = pa.array([np.sort(f).astype(np.int32).tobytes() for f in features(b.column(1))], pa.binary())
             yield pa.record_batch([b.column(0), lists], names=["label", "places"])
 
     texts = docs.join(F.broadcast(some), "doc_id").select(F.col("_label").cast("int").alias("label"), "text")  # at most ``rows`` rows of two numbers
-    got = texts.mapInArrow(places, "label int, places array<int>").dropDuplicates(["places"]).orderBy(F.xxhash64("places")).limit(rows).collect()
-    lists = [np.array(r["places"], dtype=np.int64) for r in got]
+    got = texts.mapInArrow(places, "label int, places binary").dropDuplicates(["places"]).orderBy(F.xxhash64("places")).limit(rows).collect()
+    lists = [np.frombuffer(r["places"], dtype=np.int32) for r in got]
     label = np.array([r["label"] for r in got], dtype=np.int64)
     return fit(lists, np.clip(label, 0, GRADES - 1) if grade else graded(lists, label > 0)) if got else fit([], label)
 
