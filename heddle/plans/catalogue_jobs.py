@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assembly as A
+from ..operators import bodies as Y
 from ..operators import jobs as J
 from ..operators import search as Q
 from ..operators import state as T
@@ -126,3 +127,20 @@ add("ST05_stream_assemble", q("SELECT binary_id, collected_parts, CAST(total_par
 add("A07_group_health_stats")(lambda s, d: T.group_health_stats(T.classify_group_health(T.group_state(V.passes(s, d)).withColumns({"active": F.lit(True), "last_scanned_high": F.col("server_high") - F.col("group_id") * 20_000}), F.lit("2024-01-30 12:00:00").cast("timestamp"))))
 add("B02_mark_released", q("SELECT binary_id, complete AND total_parts > 0 AS released FROM binaries", "binaries"))(lambda s, d: bins(s, d).join(A.releasable(bins(s, d)).select("binary_id", F.lit(True).alias("r")), "binary_id", "left").select("binary_id", F.coalesce("r", F.lit(False)).alias("released")))
 add("W03_distinct_on", q("SELECT group_id, poster, min(part_id) AS part_id FROM parts GROUP BY ALL", "parts"))(lambda s, d: A.distinct_on(parts(s, d).select("group_id", "poster", "part_id"), ["group_id", "poster"], "part_id"))
+
+
+BODY = "CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('intro\n=ybegin part=1 total=', doc_id % 5, ' line=128 size=', n_chars, ' name=', source, ' file.bin\n', text) END"
+
+
+def checked(s, d):
+    return V.table(s, d, "documents").select("doc_id", Y.yenc_header_scan(F.expr(BODY.replace("\n", "\\n"))).alias("y")).select("doc_id", "y.*")
+
+
+SCAN = "SELECT doc_id, doc_id % 4 <> 0 AS ok, CASE WHEN doc_id % 4 <> 0 THEN 1 ELSE 0 END AS part, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 5 ELSE 0 END AS total, CASE WHEN doc_id % 4 <> 0 THEN n_chars ELSE 0 END AS size, CASE WHEN doc_id % 4 <> 0 THEN source || ' file.bin' ELSE '' END AS name FROM documents"
+add("U01_yenc_header_scan", SCAN)(checked)
+add("A17_verification_counts", f"SELECT count(*) AS checked, count(*) FILTER (ok AND total <= 1) AS standalone, count(*) FILTER (ok AND total > 1) AS fragment, count(*) FILTER (NOT ok) AS failed FROM ({SCAN})")(lambda s, d: Y.verification_counts(checked(s, d)))
+add("A16_overall_status", "SELECT CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'error' ELSE 'ok' END AS status FROM events")(lambda s, d: Y.overall_status(V.table(s, d, "events").select(F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("level"))))
+add("ST01_forward_plan", q("SELECT group_id, b AS begin, least(b + 99, e) AS \"end\" FROM (SELECT group_id, e, unnest(range(a, e + 1, 100)) AS b FROM (SELECT group_id, greatest(lo + group_id * 100 + 1, lo) AS a, least(hi, greatest(lo + group_id * 100 + 1, lo) + 999) AS e FROM (SELECT group_id, min(server_high) AS lo, max(server_high) AS hi FROM passes GROUP BY group_id)) WHERE a <= e)", "passes"))(
+    lambda s, d: Y.forward_plan(V.passes(s, d).groupBy("group_id").agg(F.min("server_high").alias("server_low"), F.max("server_high").alias("server_high")).withColumn("last_high", F.col("server_low") + F.col("group_id") * 100), 1000, 100)
+)
+add("W13_keyset_batches", q("SELECT group_id, part_id AS cursor FROM (SELECT group_id, part_id, row_number() OVER (PARTITION BY group_id ORDER BY part_id) AS k FROM parts) WHERE k % 50 = 0", "parts"))(lambda s, d: Y.keyset_batches(parts(s, d), 50))
