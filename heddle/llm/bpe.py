@@ -28,7 +28,7 @@ from . import shared
 #: Fixed: the pattern that parts a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a worker remembers (two generations of this many), and pairs.
-REMEMBERED, PAIRS = 250_000, 1_000_000
+REMEMBERED, PAIRS = 150_000, 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -229,12 +229,12 @@ def round_trip(spark: SparkSession, text: Column, vocabulary: str | None = None)
 
     @F.arrow_udf("ids binary, decoded string")
     def transduce(texts: pa.Array) -> pa.Array:
-        t, ids, back = built(spec.value), [], []
-        for x in texts:
-            packed = t.encode(x.as_py() or "")
-            ids.append(packed)
-            back.append(t.decode(np.frombuffer(packed, dtype="<u4").tolist()))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["ids", "decoded"])
+        t, ids, back = built(spec.value), [pa.array([], pa.binary())], [pa.array([], pa.string())]
+        for at in range(0, len(texts), 200):  # a batch's Python objects live no longer than these few texts'
+            packed = [t.encode(x.as_py() or "") for x in texts[at : at + 200]]
+            ids.append(pa.array(packed, pa.binary()))
+            back.append(pa.array([t.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in packed], pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
 
     return transduce(text)
 
