@@ -6,8 +6,10 @@ fixed size. A document whose prefix looks expensive (frequent elements, so many
 a longer prefix, and its pairs must share as many more elements before their whole sets
 are compared.
 
-Documents with equal sets are one class from the start. Prefix elements that one class alone has
-bound how much it can share with any other, so most classes and pairs drop out before they meet.
+Documents with equal sets are one class from the start. A prefix holds all of its set up to its last
+element. So a class lacks, of another's prefix up to there, the elements that no other prefix has;
+that bounds the overlap of the two, and most pairs drop out before they meet. What comes later in the
+longer prefix bounds nothing: it may lie in the first set after its prefix.
 Pairs are then tested in two rounds. The first pairs each class with the most typical class at
 each of its prefix elements, which joins groups of near copies without their pairs. The second
 takes all pairs that still lie in different components, so no link between components is lost.
@@ -86,8 +88,8 @@ def sketch(parts: DataFrame) -> bytes:
     return np.minimum(np.rint(8 * np.log2(1 + over)), 255).astype(np.uint8).tobytes()
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray, int, int]:
-    """(l, the first |s|-T+l elements, the place of the last of them in the order of all elements, how
+def prefix(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(The first |s|-T+l elements, their levels, the place of the last of them in the order of all elements, how
     frequent the first |s|-T+1 are): l grows with the prefix's estimated candidates."""
     n = len(s)
     overlap = -(-num * n // den)
@@ -96,7 +98,8 @@ def prefix(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[int,
     cost = float((np.exp2(level[order[: n - overlap + 1]] / 8) - 1).sum())
     more = min(LONGEST, overlap, 1 + int(np.log2(1 + cost / CHEAP)))
     last = order[n - overlap + more - 1]
-    return more, s[order[: n - overlap + more]], int(level[last]) << 55 | int(s[last]) >> 9, int(1000 * level[order[: n - overlap + 1]].mean())
+    first = order[: n - overlap + more]
+    return s[first], level[first], int(level[last]) << 55 | int(s[last]) >> 9, int(1000 * level[order[: n - overlap + 1]].mean())
 
 
 def second_pass(docs: DataFrame, levels: bytes, k: int, num: int, den: int) -> DataFrame:
@@ -105,20 +108,22 @@ def second_pass(docs: DataFrame, levels: bytes, k: int, num: int, den: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared_levels.value, dtype=np.uint8)
         for b in batches:
-            keep, rows, prefixes = [], [], []
+            keep, rows, prefixes, ranks = [], [], [], []
             for i, h in wordhash.words(b.column(1)):
                 s = wordhash.shingles(h, k)
                 if len(s):
-                    more, p, last, common = prefix(s, table, num, den)
+                    p, level, last, common = prefix(s, table, num, den)
                     keep.append(i)
-                    rows.append((len(s), *digest(s), more, last, common))
+                    rows.append((len(s), *digest(s), last, common))
                     prefixes.append(signed(p))
-            n, d1, d2, more, last, common = (pa.array([r[i] for r in rows], pa.int64()) for i in range(6))
+                    ranks.append(level.astype(np.int16))
+            n, d1, d2, last, common = (pa.array([r[i] for r in rows], pa.int64()) for i in range(5))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), n, d1, d2, more, last, common, lists], names=["doc_id", "n", "d1", "d2", "more", "last", "common", "prefix"])
+            levels = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int16)))
+            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), n, d1, d2, last, common, lists, levels], names=["doc_id", "n", "d1", "d2", "last", "common", "prefix", "levels"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "more", "last", "common")], T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "last", "common")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.ShortType()))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -161,6 +166,24 @@ def similar(m: F.Column, na: F.Column, nb: F.Column, num: int, den: int) -> F.Co
     return den * m >= num * (na + nb - m)
 
 
+def order_key(level: F.Column, e: F.Column) -> F.Column:
+    """The place of an element in the order of all elements, as ``prefix`` gives it."""
+    return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(e, 9))
+
+
+def reach(x: str, last: F.Column) -> F.Column:
+    """How much of the set of class x another can have whose prefix ends at ``last``: the elements of
+    x before that which no other prefix has are out, counted in quarters of all such."""
+    known = F.when(F.col(f"{x}.own4") < last, F.col(f"{x}.own"))
+    for i in (3, 2, 1):
+        known = known.when(F.col(f"{x}.own{i}") < last, quarter(F.col(f"{x}.own"), i))
+    return F.col(f"{x}.n") - known.otherwise(F.lit(0))
+
+
+def quarter(own: F.Column, i: int) -> F.Column:
+    return F.ceil(own * i / 4).cast("int")
+
+
 def enough(counted: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) with all their ``shared`` prefix elements those that share enough of them.
 
@@ -191,29 +214,31 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = sketch(first.filter("slice IS NOT NULL").select("slice", "cells"))
     classes = shared.stored(sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     keyed = second_pass(docs, levels, k, num, den).withColumn("key", id_key())
-    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "more", "last", "common", "prefix"), "prefixes")
+    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "last", "common", "prefix", "levels"), "prefixes")
 
-    # Elements that no other class has in its prefix can't be shared: they bound a set's overlap with any.
+    # Elements that no other class has in its prefix can't be shared with a class whose prefix ends later.
     elements = prefixes.select("cid", F.explode("prefix").alias("e"))
     met = elements.groupBy("e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("e")
-    plain = shared.stored(elements.join(met, "e"), "postings")
-    facts = prefixes.select("cid", "n", "more", "last", "common", F.size("prefix").alias("size")).join(plain.groupBy("cid").agg(F.count("*").alias("met")), "cid")
-    facts = facts.filter("met >= more").select("cid", "n", "last", "common", (F.col("n") - F.col("size")).alias("others"), (F.col("n") - F.col("size") + F.col("met")).alias("cap"))
-    facts = shared.stored(facts, "facts")
-    postings = shared.stored(plain.join(facts.select("cid", "n", "cap", "common"), "cid"), "met")
-    may_link = lambda x, y: similar(F.least(f"{x}.cap", f"{y}.cap"), F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
+    got = elements.join(met, "e").groupBy("cid").agg(F.collect_set("e").alias("got"))
+    facts = prefixes.join(got, "cid").dropDuplicates(["cid"]).withColumn("alone", F.array_except("prefix", "got")).withColumn("own", F.size("alone"))
+    marks = [F.try_element_at("alone", F.greatest(quarter(F.col("own"), i), F.lit(1))) for i in (1, 2, 3, 4)]
+    marks = [order_key(F.element_at("levels", F.array_position("prefix", m).cast("int")), m).alias(f"own{i}") for i, m in enumerate(marks, 1)]
+    facts = shared.stored(facts.select("cid", "n", "last", "common", (F.col("n") - F.size("prefix")).alias("others"), "own", *marks, "got"), "facts")
+    bounds = ("cid", "n", "last", "own", "own1", "own2", "own3", "own4")
+    postings = facts.select(*bounds, "common", F.explode("got").alias("e"))
+    may_link = lambda x, y: similar(F.least(reach(x, F.col(f"{y}.last")), reach(y, F.col(f"{x}.last"))), F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
 
     # Round one: with each element's most typical class (the one with the most frequent prefix, as the
     # original of many copies has, which lacks their rare elements) and its least one.
-    me = F.struct("cid", "n", "cap")
-    leads = postings.groupBy("e").agg(F.min(F.struct((-F.col("common")).alias("rare"), "cid", "n", "cap")).alias("t"), F.min(me).alias("f")).select("e", F.array_distinct(F.array(F.struct("t.cid", "t.n", "t.cap"), F.col("f"))).alias("leads"))
+    me = F.struct(*bounds)
+    leads = postings.groupBy("e").agg(F.min(F.struct((-F.col("common")).alias("rare"), *bounds)).alias("t"), F.min(me).alias("f")).select("e", F.array_distinct(F.array(F.struct(*[f"t.{c}" for c in bounds]), F.col("f"))).alias("leads"))
     star = postings.select("e", me.alias("x")).join(leads, "e").select("x", F.explode("leads").alias("y")).filter((F.col("x.cid") != F.col("y.cid")) & may_link("x", "y"))
     star = shared.stored(star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct(), "star")
     links = shared.stored(verified(star, candidate_texts(docs, classes, star, k), k, num, den), "links")
     labels = connected(links)
 
     # Round two: all pairs that share an element and are still apart.
-    placed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("e", F.struct("cid", "n", "cap", F.coalesce("root", "cid").alias("root")).alias("x"))
+    placed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("e", F.struct(*bounds, F.coalesce("root", "cid").alias("root")).alias("x"))
     mixed = placed.groupBy("e").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).filter("lo < hi").select("e")
     apart = shared.stored(placed.join(mixed, "e"), "apart")
     cross = apart.join(apart.select("e", F.col("x").alias("y")), "e").filter((F.col("x.root") < F.col("y.root")) & may_link("x", "y"))

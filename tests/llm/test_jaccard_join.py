@@ -97,3 +97,22 @@ def test_chain_and_star_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(500, 500)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {i: 7 for i in range(8, 40)}
+
+
+def test_links_of_prefixes_that_end_apart(spark):
+    """Appended, inserted and cut passages around the threshold, with and without many exact copies."""
+    pair = [f"w{i}" for i in range(103)]
+    for copies in (0, 40):
+        docs = [(0, " ".join(pair)), (1, " ".join(pair + [f"own{i}" for i in range(15)]))] + [(10 + i, " ".join(pair)) for i in range(copies)]
+        got = sorted((tuple(r) for r in J.near_components(spark.createDataFrame(docs, "doc_id long, text string"), k=4, num=85, den=100).collect()), key=str)
+        assert got == brute(docs, 4, 85, 100) and {r[2] for r in got} == {0}
+    draw = random.Random(5)
+    docs = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(draw.choice([60, 103, 160]))]
+        new = [f"n{g}w{i}" for i in range(round(len(base) * draw.uniform(0.12, 0.2)))]
+        at = draw.randrange(1, len(base))
+        other = (base + new, new + base, base[:at] + new + base[at:], base[: len(base) - len(new)], base[len(new) :])[g % 5]
+        docs += [(len(docs) + i, " ".join(w)) for i, w in enumerate([base, other] + [base] * draw.choice([0, 0, 20]) + [other] * draw.choice([0, 0, 20]))]
+    got = sorted((tuple(r) for r in J.near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k=4, num=85, den=100).collect()), key=str)
+    assert got == brute(docs, 4, 85, 100)
