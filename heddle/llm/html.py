@@ -4,7 +4,8 @@ Pages of one host share a template. Each page's DOM tree, with runs of like sibl
 merged into its host's tree by simple tree matching: children are aligned in order so that most
 nodes match, matched nodes add up their counts, others become optional nodes. Own text that is the
 same on all pages of a host is template, own text that varies is a slot. Slots that stand in
-navigation, adverts, forms and the like, told by their tags and class names, aren't content.
+navigation, adverts, forms and the like, told by their tags and class names, aren't content. Article
+and main elements only choose among the slots that are left.
 
 Trees are merged in each task first and then by host in two steps, so a host with very many pages
 costs a row for each task. A template's size follows its distinct nodes, not the number of pages.
@@ -37,6 +38,8 @@ SCOPE = frozenset("table ul ol dl select".split())
 ASIDE_TAGS = frozenset("head nav footer aside form script style noscript iframe template svg math canvas button select textarea title object menu dialog input label option video audio".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Those that mark an article element too, which says itself that it is content of some kind.
+ASIDE_ARTICLES = frozenset("ad ads advert adverts advertisement advertising comment comments promo promoted promotion related replies reply sponsor sponsored teaser teasers".split())
 VARIES = -1
 #: Elements nested deeper become siblings, as in browsers; no text is lost.
 DEPTH = 200
@@ -183,7 +186,8 @@ def marked(node: Node, in_main: bool) -> bool:
     if node.tag in ASIDE_TAGS or (node.tag == "header" and not in_main):
         return True
     names = node.sign.partition(" ")[2]
-    return bool(names) and node.tag not in MAIN_TAGS and node.tag not in ("body", "html") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", names))
+    words = ASIDE_ARTICLES if node.tag == "article" else ASIDE_WORDS
+    return bool(names) and node.tag not in ("main", "body", "html") and not words.isdisjoint(re.split(r"[^a-z]+", names))
 
 
 def template_nodes(page: Fold, host: Fold, found: set[int], memo: Memo) -> None:
@@ -195,8 +199,8 @@ def template_nodes(page: Fold, host: Fold, found: set[int], memo: Memo) -> None:
             template_nodes(x, y, found, memo)
 
 
-def blocks(root: Node, constant: set[int]) -> list[str]:
-    """Texts of the blocks under ``root`` in page order, without marked nodes and constant texts."""
+def blocks(root: Node, constant: set[int], without: set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks under ``root`` in page order, without marked nodes, those of ``without`` and constant texts."""
     out, line = [], []
 
     def close() -> None:
@@ -220,12 +224,12 @@ def blocks(root: Node, constant: set[int]) -> list[str]:
             if node.tag == "br":
                 line.append(" ")
             rest: list = [(None, main)] if block else []
-            own = main or id(node) not in constant
+            own = id(node) not in constant
             for k in reversed(node.kids):
                 if isinstance(k, str):
                     if own:
                         rest.append((k, main))
-                elif not marked(k, main):
+                elif not marked(k, main) and id(k) not in without:
                     rest.append((k, main or k.tag in MAIN_TAGS))
             steps += rest
     close()
@@ -246,14 +250,21 @@ def regions(root: Node) -> list[Node]:
 
 
 def main_text(page: str, template: Fold | None) -> str:
-    """The article of a page: its article or main elements if it has any; else its body's slots.
-    Should the template cover all of the page, nothing tells it apart, and all unmarked text stays."""
+    """The article of a page, of the slots of its host's template: those in its main element or its
+    articles, if it has any and no more varies outside of them; else its body's slots, without the
+    articles where there are several, as cards are. Should the template cover all of an article or
+    page, nothing tells it apart, and all its unmarked text stays."""
     root = parse(page)
-    found = [b for r in _in_order(root, regions(root)) for b in blocks(r, set())]
+    constant: set[int] = set()
+    if template is not None:
+        template_nodes(folded([root]), template, constant, {})
+    places = _in_order(root, regions(root))
+    found = [b for r in places for b in blocks(r, constant)] or [b for r in places for b in blocks(r, set())]
+    if found and template is not None and template.pages >= 3 and all(r.tag == "article" for r in places):
+        outside = blocks(root, constant, set(map(id, places)))
+        if sum(map(len, outside)) > sum(map(len, found)):
+            found = outside if len(places) > 1 else blocks(root, constant)
     if not found:
-        constant: set[int] = set()
-        if template is not None:
-            template_nodes(folded([root]), template, constant, {})
         found = blocks(root, constant) or blocks(root, set())
     return "\n\n".join(found)
 

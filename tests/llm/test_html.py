@@ -53,3 +53,17 @@ def test_broken_pages():
     both = H.merged(*deep)
     assert H.thaw(H.json.loads(H.json.dumps(both.plain()))).pages == 2
     assert H.main_text("<article><header><h1>T</h1></header><p>x</p><footer>f</footer><div class='share'>s</div></article>", None) == "T\n\nx"
+
+
+def texts(spark, page):
+    rows = [(i, f"http://h.example/{i}", page.format(n=chr(97 + i) * 3)) for i in range(5)]
+    return {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_goes_before_article_elements(spark):
+    inside = "<body><article><div class='note'>Read our terms</div><h1>Head {n}</h1><p>Story {n}</p><article class='comment'><p>me too {n}</p></article></article><article class='related'>see {n}</article></body>"
+    assert texts(spark, inside)[2] == "Head ccc\n\nStory ccc"
+    cards = "<body><div class='body'><p>The whole long story of {n}, told at length</p></div><article><p>card {n}</p></article><article><p>other {n}</p></article></body>"
+    assert texts(spark, cards)[2] == "The whole long story of ccc, told at length"
+    alike = "<body><div>{n}</div><article><p>The same story on each page</p></article></body>"
+    assert texts(spark, alike)[2] == "The same story on each page"
