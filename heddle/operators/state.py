@@ -1,13 +1,17 @@
 """Folds of logs: group state, retries, windows, circuits (A10-A13, A07, ST08-ST14, B08, B20-B21).
 
-A key's history is folded in order of time by a higher-order function over an array. A hot key's
-array is as long as its history, so histories are cut into days first where the fold allows.
+No key's history is gathered: folds that maxima and counts can express are aggregates, the others
+stream each key's sorted rows with a state of fixed size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def throughput_ema(passes: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -75,40 +79,71 @@ def pp_backoff_seconds(attempts: Column) -> Column:
     return F.least(F.lit(300) * F.pow(F.lit(2), F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(20))), F.lit(21600)).cast("long")
 
 
-def history(log: DataFrame, key: list[str], *fields: str) -> DataFrame:
-    """A key's rows in order of time, as one array; keys here are users and notifications, whose
-    histories are short."""
-    return log.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("h"))
+def streamed(log: DataFrame, key: str, start: Callable[[], Callable[[int | None], tuple]], fields: list[T.StructField]) -> DataFrame:
+    """(key, event_id, *fields) of a log of (key, ts, event_id). Rows are sorted by key and time; each
+    key gets a ``start()``, which is called with the seconds of one row after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            out = []
+            for k, seconds in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if step is None or k != last:
+                    last, step = k, start()
+                out.append(step(seconds))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=[key, "event_id", *[f.name for f in fields]])
+
+    kinds = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int32() for f in fields]
+    schema = T.StructType([T.StructField(key, log.schema[key].dataType), T.StructField("event_id", log.schema["event_id"].dataType), *fields])
+    rows = log.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id")
+    return rows.select(key, "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds")).mapInArrow(run, schema)
 
 
 def retry_state(log: DataFrame) -> DataFrame:
-    """ST08: attempts, next retry and permanence after a log of (key, ts, event_id, failed); success resets."""
-    zero = F.struct(F.lit(0).alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("next_retry"), F.lit(False).alias("permanent"))
-    step = lambda s, x: F.when(
-        x["failed"],
-        F.struct((s["attempts"] + 1).alias("attempts"), F.when(s["attempts"] + 1 < 3, F.timestamp_seconds(F.unix_seconds(x["ts"].cast("timestamp")) + pp_backoff_seconds(s["attempts"] + 1)).cast("timestamp_ntz")).alias("next_retry"), (s["attempts"] + 1 >= 3).alias("permanent")),
-    ).otherwise(zero)
-    return history(log, ["key"], "ts", "event_id", "failed").select("key", F.aggregate("h", zero, step).alias("s")).select("key", "s.*")
+    """ST08: attempts, next retry and permanence after a log of (key, ts, event_id, failed); success resets.
+    Only the failures since the last success count, and the last of them."""
+    at, failed = F.struct("ts", "event_id"), F.coalesce("failed", F.lit(False))
+    good = log.groupBy(F.col("key").alias("of")).agg(F.max(F.when(~failed, at)).alias("good"))
+    later = log.filter(failed).join(good, F.col("key").eqNullSafe(F.col("of"))).filter(F.col("good").isNull() | (at > F.col("good")))
+    fails = later.groupBy(F.col("key").alias("failing")).agg(F.count("*").cast("int").alias("attempts"), F.max_by("ts", at).alias("ts"))
+    n = F.coalesce("attempts", F.lit(0))
+    retry = F.when((n > 0) & (n < 3), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + pp_backoff_seconds(n)).cast("timestamp_ntz"))
+    return good.join(fails, F.col("of").eqNullSafe(F.col("failing")), "left").select(F.col("of").alias("key"), n.alias("attempts"), retry.alias("next_retry"), (n >= 3).alias("permanent"))
 
 
 def dedup_window(log: DataFrame, seconds: int = 300) -> DataFrame:
     """ST09: notifications (id, ts, event_id), each accepted unless its id was accepted in the last seconds."""
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
-    gap = lambda s, x: F.unix_seconds(x["ts"].cast("timestamp")) - F.unix_seconds(s["last"].cast("timestamp"))
-    ok = lambda s, x: s["last"].isNull() | (gap(s, x) >= seconds)
-    step = lambda s, x: F.struct(F.when(ok(s, x), x["ts"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), F.coalesce(ok(s, x), F.lit(True)).alias("accepted")))).alias("out"))
-    return history(log, ["id"], "ts", "event_id").select("id", F.explode(F.aggregate("h", zero, step, lambda s: s["out"])).alias("o")).select("id", "o.event_id", "o.accepted")
+
+    def start() -> Callable[[int | None], tuple]:
+        last = None
+
+        def step(t: int | None) -> tuple:
+            nonlocal last
+            ok = last is None or t is None or t - last >= seconds
+            last = t if ok else last
+            return (ok,)
+
+        return step
+
+    return streamed(log, "id", start, [T.StructField("accepted", T.BooleanType())])
 
 
 def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
     """ST10: requests (key, ts, event_id): a window starts with a key's first request after the last
     window's end; the first ``limit`` of each are allowed."""
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,allowed:boolean,remaining:int>>").alias("out"))
-    gap = lambda s, x: F.unix_seconds(x["ts"].cast("timestamp")) - F.unix_seconds(s["start"].cast("timestamp"))
-    new = lambda s, x: s["start"].isNull() | (gap(s, x) >= seconds)
-    count = lambda s, x: F.when(new(s, x), 1).otherwise(s["n"] + 1)
-    step = lambda s, x: F.struct(F.when(new(s, x), x["ts"]).otherwise(s["start"]).alias("start"), count(s, x).alias("n"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), (count(s, x) <= limit).alias("allowed"), F.greatest(F.lit(limit) - count(s, x), F.lit(0)).alias("remaining")))).alias("out"))
-    return history(log, ["key"], "ts", "event_id").select("key", F.explode(F.aggregate("h", zero, step, lambda s: s["out"])).alias("o")).select("key", "o.*")
+
+    def start() -> Callable[[int | None], tuple]:
+        first, n = None, 0
+
+        def step(t: int | None) -> tuple:
+            nonlocal first, n
+            first, n = (t, 1) if first is None or t is None or t - first >= seconds else (first, n + 1)
+            return n <= limit, max(limit - n, 0)
+
+        return step
+
+    return streamed(log, "key", start, [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
 
 
 def backlog_cadence(passes: DataFrame, least: int, configured: int) -> DataFrame:
