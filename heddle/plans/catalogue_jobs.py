@@ -12,7 +12,7 @@ from ..operators import state as T
 from ..sources import views as V
 from ..sources.tables import scratch
 from ..streaming import ingest as I
-from .catalogue import BIN, REL, add, bins, ntz, parts, releases, segments
+from .catalogue import BIN, REL, ROUTES, add, bins, ntz, parts, pick, releases, segments
 from .sql import query as q
 
 R = ("releases",)
@@ -82,6 +82,10 @@ for name in ("A11_consecutive_failures", "A12_last_success_times", "ST13_pass_ou
 add("A13_capacity_stats", q("SELECT group_id, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS articles, round(sum(bytes) / count(*), 6) AS bytes_per_article FROM parts GROUP BY group_id", "parts"))(lambda s, d: J.capacity_stats(parts(s, d)))
 add("A14_capped_count", q("SELECT least(count(*), 100) AS total, count(*) > 100 AS approximate FROM releases", "releases"))(lambda s, d: Q.capped_count(releases(s, d), 100).withColumn("total", F.col("total").cast("long")))
 add("A18_route_metrics", q("SELECT method, path, status, count(*) AS requests, count(*) FILTER (ms <= 100) AS le_100 FROM requests WHERE path = '/metrics' GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d).filter("path = '/metrics'"), [100]).withColumnRenamed("route", "path"))
+#: Latency bounds in milliseconds (the client library's default buckets).
+BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
+LE = ", ".join(f"count(*) FILTER (ms <= {b}) AS le_{b}" for b in BOUNDS)
+add("A18_route_metrics_all", q(f"SELECT method, {pick(ROUTES)} AS route, status, count(*) AS requests, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d), BOUNDS))
 add("A20_has_any", sq("SELECT count(*) > 0 AS any FROM st WHERE permanent"))(lambda s, d: states(s, d).filter("permanent").limit(1).agg((F.count("*") > 0).alias("any")))
 
 add("W01_cap_per_key", q("SELECT part_id FROM (SELECT part_id, row_number() OVER (PARTITION BY group_id, poster ORDER BY article_number) AS k FROM parts) WHERE k <= 5", "parts"))(lambda s, d: A.cap_per_key(parts(s, d), ["group_id", "poster"], 5, "article_number").select("part_id"))
