@@ -75,6 +75,15 @@ def unassigned_single(parts: DataFrame) -> DataFrame:
     return parts.filter("collection_key = '' AND norm_subject <> '' AND total_parts > 0")
 
 
+def ambiguous_parts(parts: DataFrame, limit: int | None = None, most_attempts: int = 5) -> DataFrame:
+    """Parts without a key or a total, those tried too often aside where ``attempts`` is known;
+    with ``limit`` the newest so many, as a work queue takes them."""
+    rows = parts.filter("collection_key = '' AND total_parts = 0")
+    if "attempts" in parts.columns:
+        rows = rows.filter(F.col("attempts") < most_attempts)
+    return rows if limit is None else rows.orderBy(F.desc("posted_at"), F.desc("part_id")).limit(limit)
+
+
 def unassigned_collection(parts: DataFrame) -> DataFrame:
     """P02"""
     return parts.filter("collection_key <> ''")

@@ -31,7 +31,8 @@ ids = lambda name, where, needs=R: q(f"SELECT guid FROM releases WHERE {where}",
 
 add("P01_unassigned_single", q("SELECT part_id FROM parts WHERE collection_key = '' AND norm_subject <> '' AND total_parts > 0", "parts"))(lambda s, d: A.unassigned_single(parts(s, d)).select("part_id"))
 add("P02_unassigned_collection", q("SELECT part_id FROM parts WHERE collection_key <> ''", "parts"))(lambda s, d: A.unassigned_collection(parts(s, d)).select("part_id"))
-add("P03_ambiguous_parts", q("SELECT part_id, message_id FROM parts WHERE collection_key = '' AND total_parts = 0 ORDER BY posted_at DESC, part_id DESC LIMIT 200", "parts"))(lambda s, d: parts(s, d).filter("collection_key = '' AND total_parts = 0").orderBy(F.desc("posted_at"), F.desc("part_id")).limit(200).select("part_id", "message_id"))
+add("P03_ambiguous_parts", q("SELECT part_id, message_id FROM parts WHERE collection_key = '' AND total_parts = 0 ORDER BY posted_at DESC, part_id DESC LIMIT 200", "parts"))(lambda s, d: A.ambiguous_parts(parts(s, d), 200).select("part_id", "message_id"))
+add("P03_ambiguous_parts_all", q("SELECT part_id, message_id FROM parts WHERE collection_key = '' AND total_parts = 0", "parts"))(lambda s, d: A.ambiguous_parts(parts(s, d)).select("part_id", "message_id"))
 add("P04_releasable", q("SELECT binary_id FROM binaries WHERE complete AND total_parts > 0", "binaries"))(lambda s, d: A.releasable(bins(s, d)).select("binary_id"))
 add("P05_token_and_search", ids("", "contains(search_name, 'movie') AND contains(search_name, '2160')"))(lambda s, d: Q.token_and_search(releases(s, d), "2160 Movie").select("guid"))
 add("P06_category_expand", ids("", "category_id BETWEEN 2000 AND 2999 OR category_id = 3040"))(lambda s, d: Q.category_expand(releases(s, d), [2000, 3040]).select("guid"))
