@@ -1,4 +1,4 @@
-"""From headers to parts, binaries and releases."""
+"""From headers to parts, binaries and releases."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Search, pages and catalogue joins."""
+"""Search, pages and catalogue joins."""
 
 from __future__ import annotations
 
