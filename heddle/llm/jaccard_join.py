@@ -10,9 +10,20 @@ Documents with equal sets are one class from the start. A prefix holds all of it
 element. So a class lacks, of another's prefix up to there, the elements that no other prefix has;
 that bounds the overlap of the two, and most pairs drop out before they meet. What comes later in the
 longer prefix bounds nothing: it may lie in the first set after its prefix.
-Pairs are then tested in two rounds. The first pairs each class with the most typical class at
-each of its prefix elements, which joins groups of near copies without their pairs. The second
-takes all pairs that still lie in different components, so no link between components is lost.
+Pairs are then tested in three steps, and only pairs that still lie in different components go on:
+
+1. Each class meets the most typical class at each of its prefix elements, which joins groups of near
+   copies without their pairs. The typical class that most others meet is its hub.
+2. Classes of one hub are compared by how they differ from it. With m elements of the hub h missing and
+   e extra ones, a class costs c = den * m + num * e, and two classes that have s of these differences
+   in common link exactly when (den - num) * |h| + (den + num) * s >= c + c'. A class links to the hub
+   itself when c <= (den - num) * |h|. So of two classes, at least one of them apart from the hub, the
+   other has s > c / (den + num): another prefix filter, over differences from rare to frequent, in
+   which what near copies have in common with the hub, however many they are, doesn't occur at all.
+3. All other pairs with a common prefix element, that is of different hubs or of none.
+
+Step 3 sets out from the classes that aren't of an element's largest hub or component, so it costs
+nothing where all are. No link between components is lost in any step.
 """
 
 from __future__ import annotations
@@ -32,6 +43,9 @@ from .components import connected
 CELLS, SLICES = 1 << 20, 64
 #: Estimated candidates that a prefix may have before it is lengthened, and the most shared elements asked for.
 CHEAP, LONGEST = 64, 8
+#: Classes that meet a typical one before it is a hub (fewer are compared in pairs), and how many times what
+#: it may cost to link to the hub a class may differ from it (others are compared by their prefixes).
+CROWD, FAR = 8, 4
 SHIFT = np.uint64(64 - 20)
 
 
@@ -141,7 +155,7 @@ def candidate_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: in
             yield b.filter(pa.array(same, pa.bool_())).select(["cid", "text"])
 
     texts = shared.narrowed(docs.select("doc_id", "text"), id_key(), wanted.select("key")).withColumn("key", id_key())
-    return shared.stored(texts.join(wanted, "key").select("cid", "d1", "d2", "text").mapInArrow(run, "cid long, text string"), "texts").dropDuplicates(["cid"])
+    return shared.stored(texts.join(wanted, "key").select("cid", "d1", "d2", "text").mapInArrow(run, "cid long, text string").dropDuplicates(["cid"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -156,9 +170,69 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 ok.append(bool(both) and den * both >= num * (len(s) + len(t) - both))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """For pairs of a class a and its hub b: (cid, hub, cost, free, deltas). ``free`` is what the cost may be
+    to link to the hub; deltas are the hub's elements that the class lacks (as another hash of each) and
+    those it has besides, or null where it costs more than FAR times that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            costs, frees, deltas = [], [], []
+            for (_, x), (_, h) in zip(wordhash.words(b.column(2)), wordhash.words(b.column(3)), strict=True):
+                x, h = wordhash.shingles(x, k), wordhash.shingles(h, k)
+                extra, missing = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
+                costs.append(den * len(missing) + num * len(extra))
+                frees.append((den - num) * len(h))
+                deltas.append(signed(np.concatenate((extra, wordhash.mixed(missing, 0x1ACC)))) if costs[-1] <= FAR * frees[-1] else None)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(costs, pa.int64()), pa.array(frees, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], names=["cid", "hub", "cost", "free", "deltas"])
+
+    return with_texts(pairs, texts).mapInArrow(run, "cid long, hub long, cost long, free long, deltas array<long>")
+
+
+def hubs_of(postings: DataFrame, leads: DataFrame) -> DataFrame:
+    """(cid, hub): of the typical classes (e, lead) that share at least half as many elements with a class as any
+    does, the one that most classes meet. Only hubs that more than CROWD classes meet."""
+    met = postings.select("e", "cid").join(leads, "e").groupBy("cid", "lead").agg(F.count("*").alias("shared"))
+    met = shared.stored(met, "met")
+    crowd = met.groupBy("lead").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > CROWD)
+    found = met.join(crowd, "lead").groupBy("cid").agg(F.collect_list(F.struct("crowd", "lead", "shared")).alias("all"), F.max("shared").alias("most"))
+    return found.select("cid", F.array_max(F.filter("all", lambda x: 2 * x["shared"] >= F.col("most")))["lead"].alias("hub"))
+
+
+def same_hub_links(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of classes of one hub that lie in different components and aren't both linked to it."""
+    both = den + num
+    members = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    each = members.select("hub", "cid", F.explode("deltas").alias("d"))
+    often = each.groupBy("hub", "d").agg(F.count("*").alias("times")).filter("times > 1")
+    common = each.join(often, ["hub", "d"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "d"))).alias("common"))
+    members = members.join(common, "cid").withColumn("apart", F.col("cost") > F.col("free"))
+    # Differences that no other class has come first; of the others so many are in the prefix that needs
+    # ``least`` common ones.
+    cut = lambda least: F.slice("common", F.lit(1), F.greatest(F.size("common") - least + 1, F.lit(0)).cast("int"))["d"]
+    near, far = F.floor(F.col("cost") / both) + 1, F.greatest(F.ceil((F.col("cost") - F.col("free")) / den), F.lit(1))
+    members = shared.stored(members.select("cid", "hub", "cost", "free", "deltas", "root", "apart", cut(near).alias("near"), cut(far).alias("far")), "members")
+
+    me = F.struct("cid", "cost", "free", "root", F.size("deltas").alias("n"))
+    left = members.select("hub", F.explode("near").alias("d"), "apart", me.alias("x"))
+    right = members.filter("apart").select("hub", F.explode(F.array(F.struct(F.lit(True).alias("apart"), F.col("near").alias("ds")), F.struct(F.lit(False).alias("apart"), F.col("far").alias("ds")))).alias("part"), me.alias("y"))
+    right = right.select("hub", F.explode("part.ds").alias("d"), "part.apart", "y")
+    can = (F.col("x.root") != F.col("y.root")) & (~F.col("apart") | (F.col("x.cid") < F.col("y.cid")))
+    can &= both * F.least("x.n", "y.n") + F.col("x.free") >= F.col("x.cost") + F.col("y.cost")
+    met = left.join(right, ["hub", "d", "apart"]).filter(can).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    one = members.select(F.col("cid").alias("a"), F.col("deltas").alias("da"), F.col("cost").alias("ca"), "free")
+    two = members.select(F.col("cid").alias("b"), F.col("deltas").alias("db"), F.col("cost").alias("cb"))
+    exact = F.col("free") + both * F.size(F.array_intersect("da", "db")) >= F.col("ca") + F.col("cb")
+    return met.join(one, "a").join(two, "b").filter(exact).select("a", "b")
 
 
 def similar(m: F.Column, na: F.Column, nb: F.Column, num: int, den: int) -> F.Column:
@@ -214,13 +288,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = sketch(first.filter("slice IS NOT NULL").select("slice", "cells"))
     classes = shared.stored(sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     keyed = second_pass(docs, levels, k, num, den).withColumn("key", id_key())
-    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "last", "common", "prefix", "levels"), "prefixes")
+    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "last", "common", "prefix", "levels").dropDuplicates(["cid"]), "prefixes")
 
     # Elements that no other class has in its prefix can't be shared with a class whose prefix ends later.
     elements = prefixes.select("cid", F.explode("prefix").alias("e"))
     met = elements.groupBy("e").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("e")
     got = elements.join(met, "e").groupBy("cid").agg(F.collect_set("e").alias("got"))
-    facts = prefixes.join(got, "cid").dropDuplicates(["cid"]).withColumn("alone", F.array_except("prefix", "got")).withColumn("own", F.size("alone"))
+    facts = prefixes.join(got, "cid").withColumn("alone", F.array_except("prefix", "got")).withColumn("own", F.size("alone"))
     marks = [F.try_element_at("alone", F.greatest(quarter(F.col("own"), i), F.lit(1))) for i in (1, 2, 3, 4)]
     marks = [order_key(F.element_at("levels", F.array_position("prefix", m).cast("int")), m).alias(f"own{i}") for i, m in enumerate(marks, 1)]
     facts = shared.stored(facts.select("cid", "n", "last", "common", (F.col("n") - F.size("prefix")).alias("others"), "own", *marks, "got"), "facts")
@@ -228,20 +302,35 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     postings = facts.select(*bounds, "common", F.explode("got").alias("e"))
     may_link = lambda x, y: similar(F.least(reach(x, F.col(f"{y}.last")), reach(y, F.col(f"{x}.last"))), F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
 
-    # Round one: with each element's most typical class (the one with the most frequent prefix, as the
-    # original of many copies has, which lacks their rare elements) and its least one.
+    # Each element's most typical class (the one with the most frequent prefix, as the original of many
+    # copies has, which lacks their rare elements) and its least one.
     me = F.struct(*bounds)
-    leads = postings.groupBy("e").agg(F.min(F.struct((-F.col("common")).alias("rare"), *bounds)).alias("t"), F.min(me).alias("f")).select("e", F.array_distinct(F.array(F.struct(*[f"t.{c}" for c in bounds]), F.col("f"))).alias("leads"))
-    star = postings.select("e", me.alias("x")).join(leads, "e").select("x", F.explode("leads").alias("y")).filter((F.col("x.cid") != F.col("y.cid")) & may_link("x", "y"))
-    star = shared.stored(star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct(), "star")
-    links = shared.stored(verified(star, candidate_texts(docs, classes, star, k), k, num, den), "links")
+    leads = postings.groupBy("e").agg(F.min(F.struct((-F.col("common")).alias("rare"), *bounds)).alias("t"), F.min(me).alias("f"))
+    leads = shared.stored(leads.select("e", F.struct(*[f"t.{c}" for c in bounds]).alias("t"), "f"), "leads")
+    hubs = shared.stored(hubs_of(postings, leads.select("e", F.col("t.cid").alias("lead"))), "hubs")
+    own, hubs = hubs.filter("cid = hub"), hubs.filter("cid <> hub")
+    star = postings.select("e", me.alias("x")).join(leads.select("e", F.array_distinct(F.array("t", "f")).alias("leads")), "e").select("x", F.explode("leads").alias("y")).filter((F.col("x.cid") != F.col("y.cid")) & may_link("x", "y"))
+    star = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    star = shared.stored(star.join(hubs.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")), ["a", "b"], "left_anti"), "star")
+    spokes = hubs.select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    texts = candidate_texts(docs, classes, star.unionByName(spokes), k)
+    members = shared.stored(differences(spokes, texts, k, num, den), "differences")
+    links = verified(star, texts, k, num, den).unionByName(members.filter("cost <= free").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    links = shared.stored(links, "links")
+    labels = connected(links)
+    members = members.filter("deltas IS NOT NULL")
+    links = shared.stored(links.unionByName(same_hub_links(members, labels, num, den)), "links")
     labels = connected(links)
 
-    # Round two: all pairs that share an element and are still apart.
-    placed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("e", F.struct(*bounds, F.coalesce("root", "cid").alias("root")).alias("x"))
-    mixed = placed.groupBy("e").agg(F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).filter("lo < hi").select("e")
-    apart = shared.stored(placed.join(mixed, "e"), "apart")
-    cross = apart.join(apart.select("e", F.col("x").alias("y")), "e").filter((F.col("x.root") < F.col("y.root")) & may_link("x", "y"))
+    # All other pairs that share an element and are still apart: of each element the classes outside its
+    # largest hub or component with all others.
+    placed = postings.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(members.select("cid", "hub").unionByName(own), "cid", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "cid")).withColumn("kin", F.coalesce(-F.col("hub") - 1, "root"))
+    kin = placed.groupBy("e", "kin").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = kin.groupBy("e").agg(F.max(F.struct("many", "kin"))["kin"].alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("kinds")).filter("lo < hi AND kinds > 1").select("e", "main")
+    apart = shared.stored(placed.join(mixed, "e").select("e", F.struct(*bounds, "root", "kin", (F.col("kin") == F.col("main")).alias("main")).alias("x")), "apart")
+    differ = (F.col("x.root") != F.col("y.root")) & (F.col("x.kin") != F.col("y.kin")) & (F.col("y.main") | (F.col("x.cid") < F.col("y.cid")))
+    cross = apart.filter("NOT x.main").join(apart.select("e", F.col("x").alias("y")), "e").filter(differ & may_link("x", "y"))
     cross = cross.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     rest = shared.stored(enough(cross, facts, num, den).join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():

@@ -116,3 +116,41 @@ def test_links_of_prefixes_that_end_apart(spark):
         docs += [(len(docs) + i, " ".join(w)) for i, w in enumerate([base, other] + [base] * draw.choice([0, 0, 20]) + [other] * draw.choice([0, 0, 20]))]
     got = sorted((tuple(r) for r in J.near_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k=4, num=85, den=100).collect()), key=str)
     assert got == brute(docs, 4, 85, 100)
+
+
+def test_crowds_around_hubs_with_differences_in_common(spark):
+    """Near copies of an original, just within and just beyond the threshold, where many share the same
+    other passage, the same gap or the same addition, and some lie nearer to each other than to it."""
+    draw = random.Random(11)
+    docs = []
+    for g, n in enumerate((120, 150)):
+        base = [f"g{g}w{i}" for i in range(n)]
+        other = [f"o{g}w{i}" for i in range(8)]
+        for kind in range(120):
+            w = list(base)
+            if kind % 4 == 1:
+                w[30:38] = other
+            elif kind % 4 == 2:
+                del w[50:62]
+            elif kind % 4 == 3:
+                w += other[:6] + base[:4]
+            for _ in range(draw.choice([0, 1, 2, 3, 3, 4, 5])):
+                w[draw.randrange(len(w))] = f"x{len(docs)}y{draw.randrange(9)}"
+            docs.append((draw.randrange(10**6), " ".join(w)))
+            if kind % 10 == 0:  # a companion that differs in one word from this one
+                w[draw.randrange(len(w))] = "z"
+                docs.append((draw.randrange(10**6), " ".join(w)))
+        docs += [(10**6 + g * 10 + i, " ".join(base)) for i in range(3)]
+    for k, num in ((4, 85), (5, 80), (4, 92)):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = sorted((tuple(r) for r in J.near_components(df, k=k, num=num).collect()), key=str)
+        assert got == brute(docs, k, num, 100)
+
+
+def test_repeated_rows_have_one_prefix(spark, monkeypatch):
+    seen = {}
+    keep = J.shared.stored
+    monkeypatch.setattr(J.shared, "stored", lambda df, name: seen.setdefault(name, keep(df, name)))
+    docs = [(1, "a b c d e f g h"), (2, "a b c d e f g i"), (None, "k l m n o p q")] * 50
+    J.near_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert seen["prefixes"].count() == 3
