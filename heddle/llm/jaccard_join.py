@@ -46,6 +46,8 @@ CHEAP, LONGEST = 64, 8
 #: Classes that meet a typical one before it is a hub (fewer are compared in pairs), and how many times what
 #: it may cost to link to the hub a class may differ from it (others are compared by their prefixes).
 CROWD, FAR = 8, 4
+#: Elements with the smallest hashes that tell how alike two classes may be. It only decides which get a hub.
+SAMPLE = 24
 SHIFT = np.uint64(64 - 20)
 
 
@@ -122,7 +124,7 @@ def second_pass(docs: DataFrame, levels: bytes, k: int, num: int, den: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared_levels.value, dtype=np.uint8)
         for b in batches:
-            keep, rows, prefixes, ranks = [], [], [], []
+            keep, rows, prefixes, ranks, samples = [], [], [], [], []
             for i, h in wordhash.words(b.column(1)):
                 s = wordhash.shingles(h, k)
                 if len(s):
@@ -131,13 +133,14 @@ def second_pass(docs: DataFrame, levels: bytes, k: int, num: int, den: int) -> D
                     rows.append((len(s), *digest(s), last, common))
                     prefixes.append(signed(p))
                     ranks.append(level.astype(np.int16))
+                    samples.append((s[:SAMPLE] & np.uint64(0x7FFFFFFF)).astype(np.int32))
             n, d1, d2, last, common = (pa.array([r[i] for r in rows], pa.int64()) for i in range(5))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             levels = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ranks) if ranks else np.zeros(0, np.int16)))
-            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), n, d1, d2, last, common, lists, levels], names=["doc_id", "n", "d1", "d2", "last", "common", "prefix", "levels"])
+            yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), n, d1, d2, last, common, lists, levels, pa.array(samples, pa.list_(pa.int32()))], names=["doc_id", "n", "d1", "d2", "last", "common", "prefix", "levels", "sample"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "last", "common")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.ShortType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "last", "common")], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("levels", T.ArrayType(T.ShortType())), T.StructField("sample", T.ArrayType(T.IntegerType()))])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -150,12 +153,17 @@ def candidate_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: in
     wanted = shared.stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", "d1", "d2", id_key("rep").alias("key")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # an id that repeats may bring other texts along
+        seen: set[int] = set()
+        for b in batches:  # an id that repeats may bring other texts along, or the same again
             same = [digest(wordhash.shingles(h, k)) == (d1, d2) for (_, h), d1, d2 in zip(wordhash.words(b.column(3)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            for i, c in enumerate(b.column(0).to_pylist()):
+                same[i] = same[i] and c not in seen
+                if same[i]:
+                    seen.add(c)
             yield b.filter(pa.array(same, pa.bool_())).select(["cid", "text"])
 
     texts = shared.narrowed(docs.select("doc_id", "text"), id_key(), wanted.select("key")).withColumn("key", id_key())
-    return shared.stored(texts.join(wanted, "key").select("cid", "d1", "d2", "text").mapInArrow(run, "cid long, text string").dropDuplicates(["cid"]), "texts")
+    return shared.stored(texts.join(wanted.hint("merge"), "key").select("cid", "d1", "d2", "text").mapInArrow(run, "cid long, text string"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -170,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 ok.append(bool(both) and den * both >= num * (len(s) + len(t) - both))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long").distinct()
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,17 +203,17 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int)
                 deltas.append(signed(np.concatenate((extra, wordhash.mixed(missing, 0x1ACC)))) if costs[-1] <= FAR * frees[-1] else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(costs, pa.int64()), pa.array(frees, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))], names=["cid", "hub", "cost", "free", "deltas"])
 
-    return with_texts(pairs, texts).mapInArrow(run, "cid long, hub long, cost long, free long, deltas array<long>")
+    return with_texts(pairs, texts).mapInArrow(run, "cid long, hub long, cost long, free long, deltas array<long>").dropDuplicates(["cid"])
 
 
-def hubs_of(postings: DataFrame, leads: DataFrame) -> DataFrame:
-    """(cid, hub): of the typical classes (e, lead) that share at least half as many elements with a class as any
-    does, the one that most classes meet. Only hubs that more than CROWD classes meet."""
-    met = postings.select("e", "cid").join(leads, "e").groupBy("cid", "lead").agg(F.count("*").alias("shared"))
-    met = shared.stored(met, "met")
+def hubs_of(postings: DataFrame, leads: DataFrame, samples: DataFrame) -> DataFrame:
+    """(cid, hub): of the typical classes (e, lead) that a class meets and that look at all like it (half of the
+    smaller sample in common), the one of which most classes say so. Only hubs of more than CROWD classes."""
+    met = postings.select("e", "cid").join(leads, "e").select("cid", "lead").distinct()
+    met = met.join(samples, "cid").join(samples.select(F.col("cid").alias("lead"), F.col("sample").alias("other")), "lead")
+    met = shared.stored(met.filter(2 * F.size(F.array_intersect("sample", "other")) >= F.least(F.size("sample"), F.size("other"))).select("cid", "lead"), "met")
     crowd = met.groupBy("lead").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > CROWD)
-    found = met.join(crowd, "lead").groupBy("cid").agg(F.collect_list(F.struct("crowd", "lead", "shared")).alias("all"), F.max("shared").alias("most"))
-    return found.select("cid", F.array_max(F.filter("all", lambda x: 2 * x["shared"] >= F.col("most")))["lead"].alias("hub"))
+    return met.join(crowd, "lead").groupBy("cid").agg(F.max(F.struct("crowd", "lead"))["lead"].alias("hub"))
 
 
 def same_hub_links(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
@@ -288,7 +296,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     levels = sketch(first.filter("slice IS NOT NULL").select("slice", "cells"))
     classes = shared.stored(sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     keyed = second_pass(docs, levels, k, num, den).withColumn("key", id_key())
-    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "last", "common", "prefix", "levels").dropDuplicates(["cid"]), "prefixes")
+    prefixes = shared.stored(keyed.join(classes.select("d1", "d2", "cid", id_key("rep").alias("key")), ["d1", "d2", "key"]).select("cid", "n", "last", "common", "prefix", "levels", "sample").dropDuplicates(["cid"]), "prefixes")
 
     # Elements that no other class has in its prefix can't be shared with a class whose prefix ends later.
     elements = prefixes.select("cid", F.explode("prefix").alias("e"))
@@ -297,7 +305,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     facts = prefixes.join(got, "cid").withColumn("alone", F.array_except("prefix", "got")).withColumn("own", F.size("alone"))
     marks = [F.try_element_at("alone", F.greatest(quarter(F.col("own"), i), F.lit(1))) for i in (1, 2, 3, 4)]
     marks = [order_key(F.element_at("levels", F.array_position("prefix", m).cast("int")), m).alias(f"own{i}") for i, m in enumerate(marks, 1)]
-    facts = shared.stored(facts.select("cid", "n", "last", "common", (F.col("n") - F.size("prefix")).alias("others"), "own", *marks, "got"), "facts")
+    facts = shared.stored(facts.select("cid", "n", "last", "common", (F.col("n") - F.size("prefix")).alias("others"), "own", *marks, "got", "sample"), "facts")
     bounds = ("cid", "n", "last", "own", "own1", "own2", "own3", "own4")
     postings = facts.select(*bounds, "common", F.explode("got").alias("e"))
     may_link = lambda x, y: similar(F.least(reach(x, F.col(f"{y}.last")), reach(y, F.col(f"{x}.last"))), F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
@@ -307,7 +315,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     me = F.struct(*bounds)
     leads = postings.groupBy("e").agg(F.min(F.struct((-F.col("common")).alias("rare"), *bounds)).alias("t"), F.min(me).alias("f"))
     leads = shared.stored(leads.select("e", F.struct(*[f"t.{c}" for c in bounds]).alias("t"), "f"), "leads")
-    hubs = shared.stored(hubs_of(postings, leads.select("e", F.col("t.cid").alias("lead"))), "hubs")
+    hubs = shared.stored(hubs_of(postings, leads.select("e", F.col("t.cid").alias("lead")), facts.select("cid", "sample")), "hubs")
     own, hubs = hubs.filter("cid = hub"), hubs.filter("cid <> hub")
     star = postings.select("e", me.alias("x")).join(leads.select("e", F.array_distinct(F.array("t", "f")).alias("leads")), "e").select("x", F.explode("leads").alias("y")).filter((F.col("x.cid") != F.col("y.cid")) & may_link("x", "y"))
     star = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
