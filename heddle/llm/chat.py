@@ -8,9 +8,10 @@ serialised as canonical JSON (sorted keys, no spaces). No conversation is gather
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -25,8 +26,9 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls (conv_id, call_id, turn, ...) with ``result`` and ``result_turn``, null for a call without
     one. Of several results the earliest counts (ties: the smallest text); so does the earliest of
     calls that repeat an identifier, the others have ``repeated``. Null identifiers link with nothing."""
-    one = Window.partitionBy("conv_id", "call_id").orderBy("turn", "arguments")
-    first = calls.withColumn("repeated", F.col("call_id").isNotNull() & (F.row_number().over(one) > 1))
+    calls = shared.stored(calls.withColumn("_row", F.monotonically_increasing_id()), "asked")
+    earliest = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "arguments", "_row"))["_row"].alias("_first"))
+    first = calls.join(earliest, ["conv_id", "call_id"], "left").withColumn("repeated", F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))).drop("_row", "_first")
     found = results.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
     found = found.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
     return first.join(found.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
@@ -41,8 +43,10 @@ def layered(calls: DataFrame) -> DataFrame:
     """``calls`` with ``layer``: ordered by (layer, turn), each call follows those in its ``after``.
 
     Where all of a conversation's dependencies point to earlier turns the turns are such an order,
-    and the layer is 0. Other conversations are layered round by round, a round for each step
-    of their longest chain; calls in or behind a cycle get -1. Unknown dependencies don't count.
+    and the layer is 0. In other conversations a call's layer is the length of the longest chain of
+    dependencies behind it; calls in or behind a cycle get -1. Unknown dependencies don't count.
+    Chains of calls with one dependency each are shortened by pointer doubling, in as many rounds as the
+    logarithm of the longest; calls with several take a round for each of them on the longest chain.
     """
     edges = calls.filter("NOT repeated").select("conv_id", "call_id", "turn", F.explode("after").alias("dep")).filter("dep IS NOT NULL")
     known = calls.filter("NOT repeated").select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"))
@@ -52,15 +56,31 @@ def layered(calls: DataFrame) -> DataFrame:
         return calls.withColumn("layer", F.lit(0))
     open_edges = shared.stored(edges.join(tangled, "conv_id").select("conv_id", "call_id", "dep").distinct(), "open")
     nodes = calls.filter("NOT repeated").join(tangled, "conv_id").select("conv_id", "call_id").distinct()
-    done, level = shared.stored(nodes.join(open_edges, ["conv_id", "call_id"], "left_anti").withColumn("layer", F.lit(0)), "layer"), 0
+    edges = open_edges.withColumn("steps", F.lit(1).cast("long"))
+    lone = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("dep"), F.min("steps").alias("steps")).filter("n = 1").drop("n")
+    lone = shared.stored(lone, "lone")
+    for _ in range(lone.count().bit_length()):
+        on = lone.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("to"), F.col("steps").alias("more"))
+        jumped = lone.join(on, ["conv_id", "dep"], "left")
+        if jumped.filter("to IS NOT NULL").isEmpty():
+            break
+        lone = shared.stored(jumped.select("conv_id", "call_id", F.coalesce("to", "dep").alias("dep"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "lone")
+    # Calls with no or several dependencies, and how many steps lie between them.
+    anchors = shared.stored(nodes.join(lone, ["conv_id", "call_id"], "left_anti"), "anchors")
+    behind = edges.join(anchors, ["conv_id", "call_id"]).select("conv_id", "call_id", "dep")
+    ends = lone.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("to"), "steps")
+    behind = behind.join(ends, ["conv_id", "dep"], "left").groupBy("conv_id", "call_id", F.coalesce("to", "dep").alias("dep")).agg((F.max(F.coalesce("steps", F.lit(0))) + 1).alias("steps"))
+    behind = shared.stored(behind, "behind")
+    done = shared.stored(anchors.join(behind, ["conv_id", "call_id"], "left_anti").withColumn("layer", F.lit(0).cast("long")), "layer")
     fresh = done
     while not fresh.isEmpty():
-        level += 1
-        settled = done.select("conv_id", F.col("call_id").alias("dep"))
-        waiting = open_edges.join(settled, ["conv_id", "dep"], "left_anti").select("conv_id", "call_id")
-        ready = nodes.join(done, ["conv_id", "call_id"], "left_anti").join(waiting, ["conv_id", "call_id"], "left_anti")
-        fresh = shared.stored(ready.withColumn("layer", F.lit(level)), "layer")
+        settled = done.select("conv_id", F.col("call_id").alias("dep"), F.col("layer").alias("below"))
+        found = behind.join(done, ["conv_id", "call_id"], "left_anti").join(settled, ["conv_id", "dep"], "left")
+        found = found.groupBy("conv_id", "call_id").agg(F.max(F.col("below") + F.col("steps")).alias("layer"), F.count(F.when(F.col("below").isNull(), 1)).alias("waits"))
+        fresh = shared.stored(found.filter("waits = 0").drop("waits"), "layer")
         done = done.unionByName(fresh)
+    chained = lone.join(done.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).select("conv_id", "call_id", (F.col("layer") + F.col("steps")).alias("layer"))
+    done = done.unionByName(chained).withColumn("layer", F.col("layer").cast("int"))
     out = calls.join(done, ["conv_id", "call_id"], "left").join(tangled.withColumn("tangled", F.lit(True)), "conv_id", "left")
     return out.withColumn("layer", F.when(F.col("tangled"), F.coalesce("layer", F.lit(-1))).otherwise(F.lit(0))).drop("tangled")
 
@@ -90,17 +110,22 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def canonical(column: Column) -> Column:
-    """JSON with sorted keys and no spaces; what isn't JSON as a JSON string; null stays null."""
+    """JSON with sorted keys and no spaces; what isn't JSON (NaN and infinities aren't) or nests deeper than
+    Python follows, as a JSON string; null stays null. Of keys that repeat the last counts; half a surrogate
+    pair, which UTF-8 can't hold, stays an escape."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} isn't JSON")
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for x in texts.to_pylist():
             try:
-                value = None if x is None else json.loads(x)
-            except ValueError:
-                value = x
-            out.append(None if x is None else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+                text = None if x is None else json.dumps(json.loads(x, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+            except (ValueError, RecursionError):
+                text = json.dumps(x, ensure_ascii=False)
+            out.append(text and re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text))
         return pa.array(out, pa.string())
 
     return run(column)
@@ -136,14 +161,17 @@ def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas
 
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Plain messages, calls, results and schemas from a table without tool calls: a user's turn asks
-    a tool by the length of its text and depends on the user's turn before; the assistant's next
-    turn is the result. Every eleventh length gives arguments that break the schema."""
+    a tool by the length of its text, the assistant's next turn is the result. Of four such turns the
+    first depends on the second, which comes later, the third on both and the fourth on the third. Every
+    eleventh length gives arguments that break the schema."""
     ident = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
     name = F.when(n % 3 == 0, "search").when(n % 3 == 1, "summarise").otherwise("translate")
     limit = F.when(n % 11 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
     arguments = F.concat(F.lit('{"query": '), text_json(F.col("text")), F.lit(', "limit": '), limit, F.lit("}"))
-    calls = conversations.filter("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("after"))
+    place, at = F.floor(F.col("turn") / 2) % 4, lambda k: ident(F.col("turn") + 2 * k)
+    after = F.when(place == 0, F.array(at(1))).when(place == 2, F.array(at(-1), at(-2))).when(place == 3, F.array(at(-1))).otherwise(F.array().cast("array<string>"))
+    calls = conversations.filter("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), after.alias("after"))
     results = conversations.filter("role = 'assistant'").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     plain = conversations.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", "text")
     tools = [(t, p, k, True) for t in ("search", "summarise", "translate") for p, k in (("query", "string"), ("limit", "integer"))]

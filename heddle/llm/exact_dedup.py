@@ -127,9 +127,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bas
     Texts are equal when identical after each run of white space became one space; null counts as
     empty. Of equal texts the row with the smallest id stays (null ids count as largest), and of
     rows that repeat both id and text exactly one. An empty table gives an empty result. Input
-    columns named like the result's or like working ones are kept with ``in_`` before the name.
+    columns named like the result's or like working ones are kept with ``in_`` before the name (as often
+    as it takes to be free).
     """
-    docs = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c.lower() in RESERVED and c not in (doc_id, text)})
+    docs, _ = shared.set_aside(docs, RESERVED, (doc_id, text))
     rows = fingerprints(docs, text, bases, prime, piece, huge)
     named = decisions(rows, doc_id, text)
     if not whole_rows:
@@ -139,11 +140,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bas
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
-    renamed = {c: f"in_{c}" for c in docs.columns if c.lower() in RESERVED and c not in (doc_id, text)}
-    rows = fingerprints(docs.withColumnsRenamed(renamed), text, BASES, PRIME, PIECE, HUGE)
+    renamed, back = shared.set_aside(docs, RESERVED, (doc_id, text))
+    rows = fingerprints(renamed, text, BASES, PRIME, PIECE, HUGE)
     stay = decisions(rows, doc_id, text).filter("kept").select("_uid")
     out = rows.join(stay, "_uid", "left_semi").drop("_uid", "_bytes", "_sha", "_fp")
-    return out.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)
+    return out.withColumnsRenamed(back).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Operator 4: log probabilities of texts by a hashed maximum-entropy model.
 
-P(word | before) = P(class | before) * P(word | class). A word's class is a hash of its last bytes,
-so it needs no dictionary. P(class | before) is a softmax over hashed features of the words before:
-the last one, the last two together, the last but one (skipping the last) and both their classes.
-P(word | class) is the word's smoothed share of its class, from counts over the whole corpus.
-
-Every task trains on its part of the corpus by gradient updates on minibatches; the weights of the
-tasks are averaged by how much text each has seen. Counts grow with the corpus and are never
-broadcast: texts are scored in sparse batches, whose distinct words are joined with the counts.
+P(word | before) = P(class | before) * P(part | class, before) * P(word | class, part). A word's
+class and the part of it are a hash of its last bytes, so they need no dictionary. The first two
+factors are softmaxes over hashed features of the words before: the last one, the last two
+together, the last but one (skipping the last) and both their classes; for the part each feature is
+hashed together with the class, so a class has weights of its own. The last factor is the word's
+smoothed share of its part, from counts over the whole corpus.
+
+The text is dealt over two rounds by a hash. In each round every task trains on its share by
+gradient updates on minibatches, from the round before's weights, and the weights of the tasks are
+averaged by how much text each has seen. Counts grow with the corpus and are never broadcast:
+texts are scored in sparse batches, whose distinct words are joined with the counts.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql import types as T
 
 from . import shared, wordhash
 
-#: Classes (0 is the end of a text), last bytes that make a class, rows of the weight table, and
-#: bytes of text in a batch.
-CLASSES, TAIL, ROWS, BATCH = 16, -3, 1 << 15, 4 << 20
-SLICES, STEP, MINIBATCH = 64, 0.15, 8192
+#: Classes, and parts of each (class 0, the end of a text, has one), last bytes that make them, the
+#: binary logarithm of the weight table's rows, and bytes of text in a batch.
+CLASSES, TAIL, ROW_BITS, BATCH = 8, -3, 16, 4 << 20
+ROWS, KINDS = 1 << ROW_BITS, CLASSES * CLASSES
+#: Of so many hashes of an id the first one makes the first round.
+FIRST = 4
+SLICES, STEP, MINIBATCH, LEAST = 64, 0.15, 8192, -20
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
 SMOOTH = 0.1
 
@@ -35,53 +41,79 @@ class Tokens:
     """Words of some texts one after another, each text closed by END."""
 
     def __init__(self, texts: pa.Array):
-        words = [h for _, h in wordhash.words(texts)]
-        tails = [h for _, h in wordhash.words(texts, stem=TAIL)]
+        both = [hs for _, hs in wordhash.stemmed(texts, (0, TAIL))]
+        words, tails = [h for h, _ in both], [kinds_of(h) for _, h in both]
         self.length = np.array([len(h) + 1 for h in words], dtype=np.int64)
         one, kind = np.array([END]), np.zeros(1, np.int32)
         self.word = np.concatenate([x for h in words for x in (h, one)]) if words else np.zeros(0, np.uint64)
-        self.kind = np.concatenate([x for h in tails for x in ((h % np.uint64(CLASSES - 1)).astype(np.int32) + 1, kind)]) if tails else np.zeros(0, np.int32)
+        self.kind = np.concatenate([x for h in tails for x in (h, kind)]) if tails else np.zeros(0, np.int32)
         starts = np.cumsum(self.length) - self.length
         self.first = np.zeros(len(self.word), bool)
         self.first[starts] = True
 
-    def features(self, at: int, to: int) -> np.ndarray:
-        """Weight rows of the contexts of tokens at..to, a row of each kind of feature."""
+    def features(self, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weight rows of the contexts of tokens at..to, a row of each kind of feature: for their classes and
+        for their parts."""
         none, begin = self.first[at:to], max(at - 2, 0)
         second = np.concatenate((self.first[at - 1 : at] if at else [False], none[:-1]))
         pad = at - begin
         word = np.concatenate((np.full(2 - pad, START), self.word[begin:to]))
         kind = np.concatenate((np.zeros(2 - pad, np.int32), self.kind[begin:to]))
         one, two = np.where(none, START, word[1:-1]), np.where(none | second, START, word[:-2])
-        pair = np.where(none, 0, kind[1:-1]) * CLASSES + np.where(none | second, 0, kind[:-2])
+        pair = np.where(none, 0, kind[1:-1]) * KINDS + np.where(none | second, 0, kind[:-2])
         keys = (one, one * np.uint64(wordhash.BASE) + two, two, pair.astype(np.uint64))
-        return np.stack([(wordhash.mixed(x, 0xF00 + i) >> np.uint64(64 - 15)).astype(np.uint16) for i, x in enumerate(keys)])
+        keys = np.stack([wordhash.mixed(x, 0xF00 + i) for i, x in enumerate(keys)])
+        own = wordhash.mixed((self.kind[at:to] // CLASSES + 1).astype(np.uint64))
+        down = np.uint64(64 - ROW_BITS)
+        return (keys >> down).astype(np.uint16), ((keys ^ own) * np.uint64(wordhash.BASE) >> down).astype(np.uint16)
+
+
+def kinds_of(tails: np.ndarray) -> np.ndarray:
+    """CLASSES * class + part of words, by the hashes of their last bytes. Kind 0 is the end of a text."""
+    return (CLASSES + tails % np.uint64(KINDS - CLASSES)).astype(np.int32)
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[0]]
+    """Chances of each column, scores being cut at LEAST and -LEAST so that none is 0."""
+    x = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
-        x += weights[r]
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+        x += np.take(weights, r, axis=0)
+    np.exp(np.clip(x, LEAST, -LEAST, out=x), out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
     return x
 
 
 def learn(weights: np.ndarray, squares: np.ndarray, tokens: Tokens) -> None:
-    """Adaptive gradient updates of the class model, minibatch after minibatch."""
+    """Adaptive gradient updates of both softmaxes, minibatch after minibatch."""
     for at in range(0, len(tokens.word), MINIBATCH):
         k = tokens.kind[at : at + MINIBATCH]
-        rows = tokens.features(at, at + len(k))
-        g = softmax(weights, rows)
-        g[np.arange(len(k)), k] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")  # a radix sort, rows being 16 bits wide
-        flat = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        used, total = flat[first], np.add.reduceat(g[order % len(k)], first, axis=0)
-        squares[used] += total**2
-        weights[used] -= STEP * total / np.sqrt(squares[used] + 1.0)
+        by_class, by_part = tokens.features(at, at + len(k))
+        inner = np.flatnonzero(k)  # the end of a text has no parts
+        update(weights, squares, by_class, k // CLASSES)
+        update(weights, squares, by_part[:, inner], k[inner] % CLASSES)
+
+
+def update(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, want: np.ndarray) -> None:
+    if not len(want):
+        return
+    g = softmax(weights, rows)
+    g[np.arange(len(want)), want] -= 1
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")  # a radix sort, rows being 16 bits wide
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    used, total = flat[first], np.add.reduceat(np.take(g, order % len(want), axis=0), first, axis=0)
+    squares[used] = some = np.take(squares, used, axis=0) + total**2
+    weights[used] -= STEP * total / np.sqrt(some + 1.0)
+
+
+def chances(weights: np.ndarray, tokens: Tokens, at: int, to: int) -> np.ndarray:
+    """log10 P(class | before) + log10 P(part | class, before) of tokens at..to."""
+    k = tokens.kind[at:to]
+    here = np.arange(len(k))
+    by_class, by_part = tokens.features(at, to)
+    out = np.log10(softmax(weights, by_class)[here, k // CLASSES].astype(np.float64))
+    return out + np.where(k == 0, 0.0, np.log10(softmax(weights, by_part)[here, k % CLASSES].astype(np.float64)))
 
 
 def pieces(texts: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, int]]:
@@ -94,13 +126,14 @@ def pieces(texts: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def studied(docs: DataFrame) -> DataFrame:
+def studied(docs: DataFrame, start: np.ndarray) -> DataFrame:
     """One pass over training texts (column text), stored: rows with word, kind and count; and for
     each task rows with slice, weights and seen, the number of tokens behind them."""
+    table = docs.sparkSession.sparkContext.broadcast(start)  # 2 MB
     names = ["word", "kind", "count", "slice", "weights", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, squares, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32), 0
+        weights, squares, seen = table.value.copy(), np.zeros((ROWS, CLASSES), np.float32), 0
         for b in batches:
             for i, j in pieces(b.column(0)):
                 t = Tokens(b.column(0).slice(i, j - i))
@@ -117,8 +150,9 @@ def studied(docs: DataFrame) -> DataFrame:
     return shared.stored(docs.select("text").mapInArrow(run, "word long, kind int, count long, slice int, weights binary, seen long"), "studied")
 
 
-def averaged(parts: DataFrame) -> np.ndarray:
-    """Mean of the tasks' weights, by tokens seen: a table of fixed size, added up in two steps."""
+def averaged(parts: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Mean of the tasks' weights, by tokens seen: a table of fixed size, added up in two steps. Without
+    any, ``start``."""
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, dtype=np.float32) for x in group.column("weights").to_pylist())
@@ -128,7 +162,7 @@ def averaged(parts: DataFrame) -> np.ndarray:
     some = parts.withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16))).groupBy("slice", "salt").applyInArrow(add, schema)
     found = {r["slice"]: r for r in some.groupBy("slice").applyInArrow(add, schema).collect()}
     if not found:
-        return np.zeros((ROWS, CLASSES), np.float32)
+        return start
     return np.concatenate([np.frombuffer(found[i]["weights"], dtype=np.float32) / max(found[i]["seen"], 1) for i in range(SLICES)]).reshape(ROWS, CLASSES)
 
 
@@ -146,9 +180,8 @@ def batched(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 doc = np.repeat(np.arange(j - i), t.length)
                 score = np.zeros(j - i)
                 for at in range(0, len(t.word), 1 << 15):
-                    k = t.kind[at : at + (1 << 15)]
-                    p = softmax(table.value, t.features(at, at + len(k)))[np.arange(len(k)), k]
-                    score += np.bincount(doc[at : at + (1 << 15)], np.log10(p.astype(np.float64)), minlength=j - i)
+                    p = chances(table.value, t, at, min(at + (1 << 15), len(t.word)))
+                    score += np.bincount(doc[at : at + (1 << 15)], p, minlength=j - i)
                 word, first, local = np.unique(t.word, return_index=True, return_inverse=True)
                 place, count = np.unique(doc.astype(np.int64) << 32 | local.reshape(-1), return_counts=True)
                 sparse = [(place >> 32).astype(np.uint32), (place & 0xFFFFFFFF).astype(np.uint32), count.astype(np.uint32)]
@@ -173,13 +206,18 @@ def scored(docs: DataFrame) -> DataFrame:
     text (64 bits).
     """
     docs = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    seen = studied(docs.filter(~F.col("held_out")))
+    weights, passes = np.zeros((ROWS, CLASSES), np.float32), []
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(FIRST)) == 0
+    for share in (first, ~first):
+        passes.append(studied(docs.filter(~F.col("held_out") & share), weights))
+        weights = averaged(passes[-1].filter("slice IS NOT NULL").select("slice", "weights", "seen"), weights)
+    seen = passes[0].unionByName(passes[1])
     counts = shared.stored(seen.filter("word IS NOT NULL").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("count").alias("c")), "counts")
-    kinds = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # a row for each class
+    kinds = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # a row for each kind
     total, distinct = sum(n for n, _ in kinds.values()), sum(v for _, v in kinds.values())
     whole = total + SMOOTH * (distinct + 1)
-    in_kind = np.array([n + SMOOTH * (v + 1) for n, v in (kinds.get(k, (0, 0)) for k in range(CLASSES))])
-    batches = batched(docs, averaged(seen.filter("slice IS NOT NULL").select("slice", "weights", "seen")))
+    in_kind = np.array([n + SMOOTH * (v + 1) for n, v in (kinds.get(k, (0, 0)) for k in range(KINDS))])
+    batches = batched(docs, weights)
     asked = batches.select("batch", F.posexplode("words").alias("i", "word"))
     known = asked.join(counts, "word").groupBy("batch").agg(F.collect_list("i").alias("known"), F.collect_list("c").alias("counts"))
 

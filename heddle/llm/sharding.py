@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ from pyspark.sql import types as T
 from . import shared
 
 SHARDS, BUCKET_BYTES, SEED = 24, 8 << 20, 20240229
+#: Tasks of the second pass at most, and buckets whose row counts are added up together.
+MOST_TASKS, BLOCK = 100_000, 4096
+WORKING = {"bucket", "pos", "_scatter", "shard", "slot", "_rows", "_start", "_total", "_block", "_before"}
 
 
 def record_bytes(text: F.Column) -> F.Column:
@@ -31,19 +35,24 @@ def shuffled_buckets(df: DataFrame, size: F.Column, seed: int = SEED, bucket_byt
     """Every row once, with ``bucket`` and ``pos`` (place within the shuffled bucket), written to
     the shared folder.
 
-    The hash covers the row's place in the scan, not its content: repeated rows, null keys and
+    The hash covers the row's place in the table (its file and row, however the scan is split; for other
+    frames its place in the scan), not its content: repeated rows, null keys and
     groups of copies scatter as evenly as anything else, so no bucket outgrows bucket_bytes by
     more than chance and one record. ``df`` must be a stable scan (a table), whose rows have the
-    same places when a task is run again. Extra columns are kept. An empty table gives no bucket.
+    same places when a task is run again. Extra columns are kept, those named like working ones with
+    ``in_`` before the name. An empty table gives no bucket.
     """
-    clash = {"bucket", "pos", "_scatter"} & {c.lower() for c in df.columns}
-    if clash:
-        df = df.withColumnsRenamed({c: f"in_{c}" for c in df.columns if c.lower() in clash})
+    df = shared.set_aside(df, WORKING)[0]
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    scattered = df.withColumn("_scatter", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).withColumn(
-        "bucket", F.pmod(F.col("_scatter"), F.lit(buckets)).cast("int")
-    )
+    try:
+        place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+        df.select(*place).schema  # noqa: B018  only files have them
+    except AnalysisException:
+        place = [F.monotonically_increasing_id()]
+    scattered = df.withColumn("_scatter", F.xxhash64(F.lit(seed), *place)).withColumn("bucket", F.pmod(F.col("_scatter"), F.lit(buckets)).cast("int"))
+    # A task's share of buckets doesn't grow with the table.
+    tasks = min(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
 
     def fisher_yates(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -55,15 +64,18 @@ def shuffled_buckets(df: DataFrame, size: F.Column, seed: int = SEED, bucket_byt
         return rows.append_column("pos", pa.array(np.arange(len(order), dtype=np.int64)))
 
     schema = T.StructType([f for f in scattered.schema if f.name != "_scatter"] + [T.StructField("pos", T.LongType())])
-    return shared.stored(scattered.groupBy("bucket").applyInArrow(fisher_yates, schema), "shuffled")
+    return shared.stored(scattered.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(fisher_yates, schema), "shuffled")
 
 
 def cut_shards(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``shard`` and ``slot``: the global order cut into equal runs, the first ones a row
     longer where the count doesn't divide. Only the buckets' row counts, one small row each, are
-    added up over all buckets; records are not moved again."""
-    counts = shuffled.groupBy("bucket").agg(F.count("*").alias("_rows"))
-    starts = counts.withColumn("_start", F.sum("_rows").over(Window.orderBy("bucket")) - F.col("_rows"))
+    added up, within blocks of BLOCK buckets and then over the blocks; records are not moved again."""
+    counts = shuffled.groupBy("bucket").agg(F.count("*").alias("_rows")).withColumn("_block", F.floor(F.col("bucket") / BLOCK))
+    blocks = counts.groupBy("_block").agg(F.sum("_rows").alias("_before"))
+    blocks = blocks.select("_block", (F.sum("_before").over(Window.orderBy("_block")) - F.col("_before")).alias("_before"))
+    within = F.sum("_rows").over(Window.partitionBy("_block").orderBy("bucket")) - F.col("_rows")
+    starts = counts.withColumn("_start", within).join(blocks, "_block").select("bucket", "_rows", (F.col("_start") + F.col("_before")).alias("_start"))
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_total"))
     # Both are a row for each bucket, or one row: at 8 MB a bucket 100 TB make 13 million of them,
     # so Spark broadcasts them only while they are below its own threshold.

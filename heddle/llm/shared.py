@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests, a laptop) a new local folder."""
+    """The cluster's spark.checkpoint.dir; only where that is unset and Spark runs locally (tests, a laptop) a
+    new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -28,7 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application, once what was made of them is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +67,20 @@ def names_free(df: DataFrame, *wanted: str) -> dict[str, str]:
     return out
 
 
+def set_aside(df: DataFrame, reserved: set[str], keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that are named like ``reserved`` ones (but for ``keep``) under ``in_`` names that are
+    free, and what they were called before: {new: old}."""
+    taken, back = {c.lower() for c in df.columns} | reserved, {}
+    for c in df.columns:
+        if c.lower() in reserved and c not in keep:
+            name = f"in_{c}"
+            while name.lower() in taken:
+                name = f"in_{name}"
+            taken.add(name.lower())
+            back[name] = c
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 #: Bits of the filter that narrowed() broadcasts: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 

@@ -26,6 +26,8 @@ TRAIN_ROWS = 8000
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 GRADES = 4
+#: Steps of the fit at most; it ends when the mean loss changes by less than this over ten steps.
+STEPS, SETTLED = 400, 1e-6
 
 GAP = np.zeros(256, bool)
 GAP[:128] = [not chr(b).isalpha() for b in range(128)]
@@ -35,7 +37,7 @@ def features(texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
     """Distinct places of a text's words, and for each distinct word the place of its stem, as often
     as words share it."""
     half = np.uint64(PLACES // 2 - 1)
-    for (_, h), (_, stems) in zip(wordhash.words(texts, GAP), wordhash.words(texts, GAP, STEM), strict=True):
+    for _, (h, stems) in wordhash.stemmed(texts, (0, STEM), GAP):
         _, once = np.unique(h, return_index=True)
         yield np.concatenate((np.unique(h & half), (stems[once] & half) + (half + np.uint64(1)))).astype(np.int64)
 
@@ -65,7 +67,7 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> n
     return np.where(toxic, np.minimum(1 + np.searchsorted([3, 6], counts, side="right"), grades - 1), 0)
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least: int = 5, steps: int = 400, lasso: float = 1e-3) -> Model:
+def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least: int = 5, steps: int = STEPS, lasso: float = 1e-3) -> Model:
     """Proximal gradient on the mean log likelihood, over features of at least ``least`` rows.
     Without rows the model finds everything clean."""
     model = Model(np.zeros(PLACES), np.linspace(3.0, 6.0, grades - 1))
@@ -84,13 +86,16 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least:
     w, n = np.zeros(len(used)), len(rows)
     share = np.clip([(grade <= j).mean() for j in range(grades - 1)], 1e-3, 1 - 1e-3)
     cuts = np.log(share / (1 - share))
-    past, past_cuts = np.zeros(len(used)), np.zeros(grades - 1)
+    past, past_cuts, losses = np.zeros(len(used)), np.zeros(grades - 1), []
     for _ in range(steps):
         x = np.bincount(row, w[column] * value, minlength=n)
         lower, upper = np.concatenate(([-60.0], cuts))[grade], np.concatenate((cuts, [60.0]))[grade]
         s = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
         low, high = np.where(grade == 0, 0.0, s(lower - x)), np.where(grade == grades - 1, 1.0, s(upper - x))
         mass = np.maximum(high - low, 1e-9)
+        losses.append(-np.log(mass).mean() + lasso * np.abs(w).sum())
+        if len(losses) > 10 and abs(losses[-11] - losses[-1]) < SETTLED:
+            break
         slope_low, slope_high = low * (1 - low) / mass, high * (1 - high) / mass
         g = np.bincount(column, (slope_high - slope_low)[row] * value, minlength=len(used)) / n
         g_cuts = np.array([(slope_low[grade == j + 1].sum() - slope_high[grade == j].sum()) / n for j in range(grades - 1)])
@@ -106,9 +111,9 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least:
 def train(docs: DataFrame, labels: DataFrame, grade: str | None = None, rows: int = TRAIN_ROWS) -> Model:
     """The model of at most ``rows`` labelled documents. ``labels``: doc_id and either toxic (0 or 1)
     or an integer column named by ``grade``. An id with several labels counts as the highest;
-    texts that repeat count once; null labels and ids don't count."""
+    texts that repeat count once, by the highest label of any; null labels and ids don't count."""
     want = grade or "toxic"
-    found = labels.filter(F.col("doc_id").isNotNull() & F.col(want).isNotNull()).groupBy("doc_id").agg(F.max(want).alias("_label"))
+    found = labels.filter(F.col("doc_id").isNotNull() & F.col(want).isNotNull()).groupBy("doc_id").agg(F.max(want).cast("int").alias("label"))
     some = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, grade: str | None = None, rows: in
             lists = pa.array([np.sort(f).astype(np.int32).tobytes() for f in features(b.column(1))], pa.binary())
             yield pa.record_batch([b.column(0), lists], names=["label", "places"])
 
-    texts = docs.join(F.broadcast(some), "doc_id").select(F.col("_label").cast("int").alias("label"), "text")  # at most ``rows`` rows of two numbers
-    got = texts.mapInArrow(places, "label int, places binary").dropDuplicates(["places"]).orderBy(F.xxhash64("places")).limit(rows).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")  # at most ``rows`` rows of two numbers
+    got = texts.mapInArrow(places, "label int, places binary").groupBy("places").agg(F.max("label").alias("label")).orderBy(F.xxhash64("places"), "places").limit(rows).collect()
     lists = [np.frombuffer(r["places"], dtype=np.int32) for r in got]
     label = np.array([r["label"] for r in got], dtype=np.int64)
     return fit(lists, np.clip(label, 0, GRADES - 1) if grade else graded(lists, label > 0)) if got else fit([], label)

@@ -43,9 +43,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word; no word crosses a cut. ``stem``: of so many first bytes
-    alone, if negative of so many last ones."""
+def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stems: tuple[int, ...] = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes, one array for each of ``stems``, and first byte of each word; no word crosses a cut.
+    A stem of n: of the n first bytes alone, if negative of so many last ones, 0: of all."""
     word = ~gap[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -54,16 +54,18 @@ def _hashed(data: np.ndarray, cuts: np.ndarray, gap: np.ndarray = SPACE, stem: i
     first[at] = word[at]
     at = cuts[cuts > 0] - 1
     last[at] = word[at]
-    s, e = np.flatnonzero(first), np.flatnonzero(last)
-    at = s
-    if stem > 0:
-        e = np.minimum(e, s + stem - 1)
-    elif stem:
-        s = np.maximum(s, e + stem + 1)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     up, down = powers(len(data))
     values = LETTER[data] * down[: len(data)]
-    total = np.cumsum(values)
-    return mixed((total[e] - total[s] + values[s]) * up[e], 1), at
+    total, out = np.cumsum(values), []
+    for stem in stems:
+        s, e = starts, ends
+        if stem > 0:
+            e = np.minimum(e, s + stem - 1)
+        elif stem:
+            s = np.maximum(s, e + stem + 1)
+        out.append(mixed((total[e] - total[s] + values[s]) * up[e], 1))
+    return out, starts
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +78,15 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), places
 
 
-def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE, stem: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its words in order) for each row; null and blank texts have none. ``gap``
-    says which bytes part words, white space among them;
-    with ``stem`` only that many first bytes of each word count, if negative last ones."""
+    says which bytes part words, white space among them."""
+    return ((i, h) for i, (h,) in stemmed(texts, (0,), gap))
+
+
+def stemmed(texts: pa.Array | pa.ChunkedArray, stems: tuple[int, ...], gap: np.ndarray = SPACE) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """As words(), an array of hashes for each stem: of so many first bytes of each word, if negative last
+    ones, 0: of all. All are read off one running sum."""
     for part_at, part in _parts(texts):
         data, places = _bytes(part)
         i = 0
@@ -87,10 +94,10 @@ def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE, stem: int
             j = max(i + 1, int(np.searchsorted(places, places[i] + BLOCK, side="right")) - 1)
             begin, end = places[i], places[j]
             if end - begin <= 2 * BLOCK:
-                found, s = _hashed(data[begin:end], places[i : j + 1] - begin, gap, stem)
+                found, s = _hashed(data[begin:end], places[i : j + 1] - begin, gap, stems)
                 bounds = np.searchsorted(s, places[i : j + 1] - begin)
                 for k in range(j - i):
-                    yield part_at + i + k, found[bounds[k] : bounds[k + 1]]
+                    yield part_at + i + k, [h[bounds[k] : bounds[k + 1]] for h in found]
             else:  # one long text, cut where there is white space
                 some, at = [], begin
                 while at < end:
@@ -98,9 +105,9 @@ def words(texts: pa.Array | pa.ChunkedArray, gap: np.ndarray = SPACE, stem: int
                     while to < end and not SPACE[data[to - 1]]:
                         step = np.flatnonzero(SPACE[data[to : min(to + BLOCK, end)]])
                         to = to + int(step[0]) + 1 if len(step) else min(to + BLOCK, end)
-                    some.append(_hashed(data[at:to], np.array([0, to - at]), gap, stem)[0])
+                    some.append(_hashed(data[at:to], np.array([0, to - at]), gap, stems)[0])
                     at = to
-                yield part_at + i, np.concatenate(some)
+                yield part_at + i, [np.concatenate(hs) for hs in zip(*some, strict=True)]
             i = j
 
 

@@ -65,3 +65,10 @@ def test_chunks_compose():
         for x in raw:
             v = (v * b + x) % E.PRIME
         assert v == whole[i]
+
+
+def test_names_that_clash_stay(spark):
+    df = spark.createDataFrame([(1, "a b", 10, 11, 12), (2, "a  b", 20, 21, 22)], "doc_id long, text string, kept int, in_kept int, _uid int")
+    rows = {r.doc_id: r for r in E.exact_dedup(df).collect()}
+    assert [(rows[i].kept, rows[i].in_in_kept, rows[i].in_kept, rows[i].in__uid) for i in (1, 2)] == [(True, 10, 11, 12), (False, 20, 21, 22)]
+    assert [tuple(r) for r in E.deduplicated(df).collect()] == [(1, "a b", 10, 11, 12)]

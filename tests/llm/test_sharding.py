@@ -33,6 +33,26 @@ def test_many_buckets_nulls_ties_and_clashes(spark):
     assert order != sorted(order)
 
 
+def test_names_that_clash_stay(spark):
+    names = ["shard", "slot", "_rows", "_Start", "_total", "bucket", "in_bucket", "_block"]
+    rows = [(i, "t", *[i * 10 + k for k in range(len(names))]) for i in range(20)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    out = sharding.shard_documents(df, shards=3)
+    check(out.collect(), [(r[0], r[1]) for r in rows], 3)
+    for r in out.collect():
+        assert (r.in_shard, r.in_slot, r.in__rows, r.in__Start, r.in__total, r.in_in_bucket, r.in_bucket, r.in__block) == tuple(r.doc_id * 10 + k for k in range(len(names)))
+
+
+def test_order_does_not_follow_the_splits(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one = sorted((r.shard, r.slot, r.doc_id) for r in sharding.shard_documents(df, bucket_bytes=100_000).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    two = sorted((r.shard, r.slot, r.doc_id) for r in sharding.shard_documents(df, bucket_bytes=100_000).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert one == two
+
+
 def test_more_shards_than_rows_and_empty(spark):
     df = spark.createDataFrame([(i, "a") for i in range(3)], "doc_id long, text string")
     check(sharding.shard_documents(df, shards=5).collect(), [(i, "a") for i in range(3)], 5)
