@@ -29,6 +29,9 @@ from . import shared
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a worker remembers (two generations of this many), and pairs.
 REMEMBERED, PAIRS = 150_000, 400_000
+#: Characters of a text from which its pieces are found one after the other, and packed ids that are digested
+#: at a time: beyond these a text costs no more memory than itself.
+LONG, BLOCK = 1 << 20, 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,6 +42,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class ShortLookahead(ValueError):
+    """A token that was emitted as stable would have to change."""
+
+
 class Transducer:
     """Tables of one vocabulary, and the two machines that use them."""
 
@@ -147,7 +154,7 @@ class Transducer:
             else:  # step back and try the last token shorter
                 dead.add(at)
                 if not held:
-                    raise ValueError("the lookahead is too short for this merge list")
+                    raise ShortLookahead(left)
                 held.pop()
                 limit = at - 1
                 left, at = held[-1] if held else (before, base)
@@ -170,7 +177,11 @@ class Transducer:
         """The packed ids of a piece; words recur, so they are remembered."""
         found = self.old.get(piece)
         if found is None:
-            found = b"".join([self.packed[i] for i in self.stream(piece.encode())])
+            raw = piece.encode()
+            try:
+                found = b"".join([self.packed[i] for i in self.stream(raw)])
+            except ShortLookahead:  # of a merge list for which the bound doesn't hold
+                found = b"".join([self.packed[i] for i in self.merged(raw)])
         if len(piece) <= 64:
             if len(self.new) >= REMEMBERED:
                 self.new, self.old = {}, self.new
@@ -179,18 +190,45 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
+        return b"".join(self.flow(text))
+
+    def flow(self, text: str) -> Iterator[bytes]:
+        """The same piece after piece."""
+        at = 0
         for m in self.mark.finditer(text) if self.mark and any(s in text for s in self.special) else ():
-            out += [self._plain(text[at : m.start()]), self.packed[self.special[m[0]]]]
+            yield from self._plain(text, at, m.start())
+            yield self.packed[self.special[m[0]]]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:] if at else text)])
+        yield from self._plain(text, at, len(text))
 
-    def _plain(self, text: str) -> bytes:
-        found = []
-        for p in self.pieces.findall(text):
+    def _plain(self, text: str, begin: int, end: int) -> Iterator[bytes]:
+        part = text if end - begin == len(text) else text[begin:end]
+        for p in self.pieces.findall(part) if len(part) < LONG else (m[0] for m in self.pieces.finditer(part)):
             x = self.new.get(p)
-            found.append(self.piece(p) if x is None else x)
-        return b"".join(found)
+            yield self.piece(p) if x is None else x
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of the ids and of the decoded text in UTF-8, whose bytes are passed on as
+        they come: encoder, decoder and digests hold a block of ids at most."""
+        ids, decoded, machine, n = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace"), 0
+        held, size = [], 0
+
+        def passed(last: bool) -> None:
+            block = b"".join(held)
+            held.clear()
+            ids.update(block)
+            raw = b"".join([self.bytes_of[i] for i in np.frombuffer(block, dtype="<u4").tolist()])
+            decoded.update(machine.decode(raw, final=last).encode())
+
+        for x in self.flow(text):
+            held.append(x)
+            size += len(x)
+            n += len(x)
+            if size >= BLOCK:
+                passed(False)
+                size = 0
+        passed(True)
+        return n // 4, ids.hexdigest(), decoded.hexdigest()
 
     def decode(self, ids: Iterable[int], block: int = 1 << 16) -> str:
         machine, out = codecs.getincrementaldecoder("utf-8")("replace"), []
@@ -266,14 +304,17 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", vocabulary: st
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """For each row its id, number of tokens and the digests of ids and decoded text."""
-    both = docs.select(F.col(doc_id).alias("doc_id"), round_trip(docs.sparkSession, F.col(text), vocabulary).alias("_r"))
-    return both.select(
-        "doc_id",
-        (F.octet_length("_r.ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("_r.ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("_r.decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """For each row its id, number of tokens and the digests of ids and decoded text, made as these stream by."""
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pa.Array) -> pa.Array:
+        t = built(spec.value)
+        found = [t.digest(x.as_py() or "") for x in texts]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("_r")).select("doc_id", "_r.*")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,7 +318,9 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     """All rows with their main text in ``out``: blocks joined by an empty line, '' if there is none.
 
     Null and empty pages have no text. Pages without a host share one template. Repeated pages and
-    rows come back each. A page that is alone on its host is told by tags and names.
+    rows come back each. A page that is alone on its host is told by tags and names. Elements nested
+    deeper than DEPTH become siblings of the one at that depth, as in browsers, so a tree of any depth
+    is worked on; their texts stay.
     """
     names = shared.names_free(pages, "host", "template")
     rows = pages.withColumn(names["host"], host_of(F.col(url)))

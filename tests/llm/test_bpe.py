@@ -77,3 +77,21 @@ def test_whole_table_and_nulls(spark, sf):
     assert bpe.digests(df.filter("false")).count() == 0
     back = bpe.decode(bpe.encode(df, ids="tokens"), ids="tokens", text="back")
     assert [r.back for r in back.collect()] == [r.text or "" for r in df.collect()]
+
+
+def test_digests_as_they_stream(machine, monkeypatch):
+    """Pieces found one after the other, digested in small blocks, across special tokens and split characters."""
+    monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "BLOCK", 12)
+    for text in ("", "one two  three\n" * 30, "漢🙂é" * 50 + "<|endoftext|>" + "漢" * 60 + " end", "\x00\x1c" * 40):
+        want = LIB.encode(text, add_special_tokens=False).ids
+        n, a, b = machine.digest(text)
+        assert (n, a) == (len(want), hashlib.sha256(np.array(want, dtype="<u4").tobytes()).hexdigest())
+        assert b == hashlib.sha256(LIB.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_a_bound_that_is_too_short_costs_no_result(machine, monkeypatch):
+    monkeypatch.setattr(machine, "lookahead", -10_000)
+    draw = random.Random(8)
+    for text in ("".join(draw.choices("aeiouthng", k=3000)), "".join(draw.choices("tionsae", k=3000))):
+        assert ids(machine, text) == LIB.encode(text, add_special_tokens=False).ids
