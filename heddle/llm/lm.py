@@ -143,7 +143,7 @@ def studied(docs: DataFrame, start: np.ndarray) -> DataFrame:
                 n = len(word)
                 yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(t.kind[first].astype(np.int32)), pa.array(count), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
         if seen:
-            parts = (weights * np.float32(seen)).reshape(SLICES, -1)
+            parts = weights.astype(np.float16).reshape(SLICES, -1)
             none = pa.nulls(SLICES, pa.int64())
             yield pa.record_batch([none, pa.nulls(SLICES, pa.int32()), none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * SLICES, pa.int64())], names=names)
 
@@ -154,12 +154,17 @@ def averaged(parts: DataFrame, start: np.ndarray) -> np.ndarray:
     """Mean of the tasks' weights, by tokens seen: a table of fixed size, added up in two steps. Without
     any, ``start``."""
 
+    def total(group: pa.Table, parts: Iterator[np.ndarray]) -> pa.Table:
+        return pa.table({"slice": group.column("slice")[:1], "weights": pa.array([sum(parts).tobytes()], pa.binary()), "seen": pa.array([sum(group.column("seen").to_pylist())], pa.int64())})
+
+    def weighed(group: pa.Table) -> pa.Table:
+        return total(group, (np.frombuffer(x.as_py(), dtype=np.float16) * np.float32(n.as_py()) for x, n in zip(group.column("weights"), group.column("seen"), strict=True)))
+
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.float32) for x in group.column("weights").to_pylist())
-        return pa.table({"slice": group.column("slice")[:1], "weights": pa.array([total.tobytes()], pa.binary()), "seen": pa.array([sum(group.column("seen").to_pylist())], pa.int64())})
+        return total(group, (np.frombuffer(x.as_py(), dtype=np.float32) for x in group.column("weights")))
 
     schema = "slice int, weights binary, seen long"
-    some = parts.withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16))).groupBy("slice", "salt").applyInArrow(add, schema)
+    some = parts.withColumn("salt", F.pmod(F.xxhash64("weights"), F.lit(16))).groupBy("slice", "salt").applyInArrow(weighed, schema)
     found = {r["slice"]: r for r in some.groupBy("slice").applyInArrow(add, schema).collect()}
     if not found:
         return start
