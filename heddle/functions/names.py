@@ -135,14 +135,22 @@ def best_release_name(names: Column) -> Column:
     return trimmed(best)
 
 
+def best_name_of(name: Column) -> Column:
+    """T25 over all rows of a group, as a minimum that is reduced before rows move: '' where no name has a base."""
+    base = strip_known_ext(name)
+    return trimmed(F.min(F.struct((-F.octet_length(base)).alias("n"), name.alias("name"), base.alias("base")))["base"])
+
+
 def sanitize_nfo(raw: Column) -> Column:
     """Bytes as text, each invalid byte U+FFFD."""
     return trimmed(F.make_valid_utf8(raw.cast("string")))
 
 
 def sanitize_utf8(text: Column) -> Column:
-    """No NUL, each run of invalid bytes one U+FFFD."""
-    return F.regexp_replace(F.replace(F.make_valid_utf8(text), F.char(F.lit(0)), F.lit("")), "�+", "�")
+    """No NUL, each run of invalid bytes one U+FFFD; genuine U+FFFD stay. With NUL gone it holds their place."""
+    nul, mark = F.char(F.lit(0)), F.lit("�")
+    held = F.replace(F.replace(text, nul, F.lit("")), mark, nul)
+    return F.replace(F.regexp_replace(F.make_valid_utf8(held), "�+", "�"), nul, mark)
 
 
 def strip_html(text: Column) -> Column:

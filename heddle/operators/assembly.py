@@ -21,9 +21,10 @@ def overview_scan(lines: DataFrame) -> DataFrame:
 
 
 def overview_date(text: F.Column) -> F.Column:
-    """RFC 5322 dates with or without day name, seconds and named zone; null if it is none."""
+    """RFC 5322 dates with or without day name, seconds and named zone (whatever its name, it counts as
+    +0000); null if it is none."""
     s = F.regexp_replace(text, r"^[A-Za-z]{3}, +", "")
-    s = F.regexp_replace(F.regexp_replace(s, r" *\(.*\)$", ""), r" (GMT|UTC|UT)$", " +0000")
+    s = F.regexp_replace(F.regexp_replace(s, r" *\(.*\)$", ""), r" [A-Za-z]{1,5}$", " +0000")
     s = F.regexp_replace(s, r"^(\d+ [A-Za-z]+ \d+ \d+:\d+) ", "$1:00 ")
     return F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z"))
 
@@ -120,6 +121,28 @@ def merge_binaries(stored: DataFrame, delta: DataFrame) -> DataFrame:
     return both.withColumn("complete", single | group).select(*stored.columns)
 
 
+def partials(parts: DataFrame) -> DataFrame:
+    """A01 and A02 for a batch: what binaries keep of it, a row for each single binary and for each file of a
+    collection, so that a file that comes in several batches counts once."""
+    rows = link_parts(parts).filter("binary_id IS NOT NULL").withColumn("grouped", F.col("collection_key") != "")
+    one = lambda c: F.when(F.col("grouped"), c)
+    rows = rows.select("binary_id", "grouped", "group_id", F.when(F.col("grouped"), "").otherwise(F.col("norm_subject")).alias("norm_subject"), "collection_key", "poster", one(F.col("file_number")).alias("file"), one(F.col("collection_files")).otherwise(F.col("total_parts")).alias("total_parts"), "bytes", "posted_at", F.lit(1).cast("long").alias("collected_parts"), F.col("posted_at").alias("updated_at"))
+    return merged(rows.withColumnRenamed("bytes", "total_bytes"))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Partial rows of several batches added up."""
+    return rows.groupBy("binary_id", "grouped", "group_id", "norm_subject", "collection_key", "poster", "file").agg(F.max("total_parts").alias("total_parts"), F.sum("total_bytes").alias("total_bytes"), F.min("posted_at").alias("posted_at"), F.sum("collected_parts").alias("collected_parts"), F.max("updated_at").alias("updated_at"))
+
+
+def merge_partials(rows: DataFrame) -> DataFrame:
+    """A03 for all binaries: partials() of any batches as binaries. Of collections distinct files count."""
+    each = merged(rows).groupBy("binary_id", "grouped", "group_id", "norm_subject", "collection_key", "poster")
+    out = each.agg(F.when(F.first("grouped"), F.count("file")).otherwise(F.sum("collected_parts")).alias("collected_parts"), F.max("total_parts").alias("total_parts"), F.sum("total_bytes").alias("total_bytes"), F.min("posted_at").alias("posted_at"), F.max("updated_at").alias("updated_at"))
+    full = F.col("collected_parts") >= F.col("total_parts")
+    return out.withColumn("complete", F.when(F.col("grouped"), (F.col("total_parts") > 0) & full).otherwise((F.col("total_parts") == 0) | full)).drop("grouped")
+
+
 def cap_per_key(df: DataFrame, key: list[str], n: int, *order) -> DataFrame:
     """At most n rows of each key, as the feature; top-n pruning happens before rows move."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
@@ -142,6 +165,12 @@ def age_out_stale(bins: DataFrame, cutoff) -> DataFrame:
     return bins.filter(F.col("complete") | (F.col("updated_at") >= cutoff))
 
 
+def age_out_parts(parts: DataFrame, bins: DataFrame, cutoff) -> DataFrame:
+    """ST07: parts that stay: all but those of binaries that go."""
+    gone = bins.filter(~(F.col("complete") | (F.col("updated_at") >= cutoff))).select("binary_id")
+    return link_parts(parts).join(gone, "binary_id", "left_anti").select(*parts.columns)
+
+
 def releasable(bins: DataFrame) -> DataFrame:
     """P04, without its batch limit."""
     return bins.filter("complete AND total_parts > 0")
@@ -181,7 +210,7 @@ def segments_array(segments: DataFrame) -> DataFrame:
 
 def manifest_export(releases: DataFrame, segments: DataFrame, group_names: DataFrame) -> DataFrame:
     """An XML manifest for each release with segments."""
-    joined = releases.join(segments_array(segments), "guid").join(F.broadcast(group_names), "group_id", "left")
+    joined = releases.join(segments_array(segments), "guid").join(group_names, "group_id", "left")
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;"))
     lines = F.transform("segments", lambda s: F.concat(F.lit('<segment bytes="'), s["bytes"].cast("string"), F.lit('" number="'), s["number"].cast("string"), F.lit('">'), esc(s["message_id"]), F.lit("</segment>")))
     subject = F.coalesce(F.nullif(F.get("segments", F.lit(0))["subject"], F.lit("")), F.col("name"))
@@ -198,7 +227,7 @@ def feed_items(releases: DataFrame, base_url: str) -> DataFrame:
 def category_tree(categories: DataFrame) -> DataFrame:
     """S13"""
     kids = categories.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("subcats"))
-    return categories.filter("parent_id IS NULL").join(F.broadcast(kids), "id", "left").select("id", "name", "subcats")
+    return categories.filter("parent_id IS NULL").join(kids, "id", "left").select("id", "name", "subcats")
 
 
 def search_documents(releases: DataFrame, stored: DataFrame | None = None) -> DataFrame:

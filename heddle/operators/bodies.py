@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ids that are numbered together.
+RANGE = 1 << 16
+
+
 def yenc_header_scan(body: Column) -> Column:
     """Struct of ok, part, total, size and name from the =ybegin line in the first 64 KiB."""
     line = F.regexp_extract(F.substring(body.cast("string"), F.lit(1), F.lit(65536)), r"(?m)^=ybegin ([^\r\n]*)", 1)
@@ -34,8 +38,11 @@ def forward_plan(groups: DataFrame, cap: int, batch: int = 10_000) -> DataFrame:
 
 
 def keyset_batches(parts: DataFrame, n: int) -> DataFrame:
-    """Cursors of batches of about n parts in order of id: ranges of ids by group, whose counts are
-    known before ids are read, so nothing is ordered over the whole table."""
-    w = Window.partitionBy("group_id").orderBy("part_id")
-    rows = parts.select("group_id", "part_id").withColumn("k", F.row_number().over(w))
+    """Cursors of batches of n parts in order of id. Ids are counted in ranges of RANGE, the counts added up over
+    each group's ranges, and ids numbered within their range alone, so no group is ordered in one task."""
+    rows = parts.select("group_id", "part_id", F.floor(F.col("part_id") / RANGE).alias("range"))
+    counts = rows.groupBy("group_id", "range").agg(F.count("*").alias("n"))
+    counts = counts.select("group_id", "range", (F.sum("n").over(Window.partitionBy("group_id").orderBy("range")) - F.col("n")).alias("before"))
+    w = Window.partitionBy("group_id", "range").orderBy("part_id")
+    rows = rows.withColumn("k", F.row_number().over(w)).join(counts, ["group_id", "range"]).withColumn("k", F.col("k") + F.col("before"))
     return rows.filter(F.col("k") % n == 0).select("group_id", F.col("part_id").alias("cursor"))

@@ -110,7 +110,7 @@ def pipeline_stats(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> Da
 def group_release_stats(releases: DataFrame, groups: DataFrame) -> DataFrame:
     """A06, J12"""
     g = releases.groupBy("group_id").agg(F.count("*").alias("total"), F.count_if(F.col("pp_status") == "pending").alias("pending"))
-    return g.join(F.broadcast(groups), "group_id").select("group_name", "total", "pending")
+    return g.join(groups, "group_id").select("group_name", "total", "pending")
 
 
 def capacity_stats(parts: DataFrame) -> DataFrame:

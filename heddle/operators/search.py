@@ -82,17 +82,29 @@ def needs_metadata(releases: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def related_releases(releases: DataFrame, k: int = 5) -> DataFrame:
-    """For each release the k newest others that hold its first three search tokens, as tokens.
-    A release meets others by its rarest of the three, not by all."""
-    first = F.slice(F.array_distinct(F.split("search_name", " ")), 1, 3)
-    tokens = releases.select("guid", "posted_at", F.explode(F.array_distinct(F.split("search_name", " "))).alias("t"))
-    df = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    want = releases.select("guid", first.alias("want")).withColumn("t", F.explode("want")).join(df, "t")
-    rare = want.groupBy("guid").agg(F.min(F.struct("df", "t")).alias("r"), F.first("want").alias("want")).select(F.col("guid").alias("of"), F.col("r.t").alias("t"), "want")
-    other = releases.select("guid", "posted_at", F.array_distinct(F.split("search_name", " ")).alias("have"))
-    met = rare.join(tokens.select("t", "guid"), "t").filter("of <> guid").join(other, "guid").filter(F.size(F.array_intersect("want", "have")) == F.size("want"))
-    n = F.row_number().over(Window.partitionBy("of").orderBy(*newest_first()))
-    return met.withColumn("n", n).filter(F.col("n") <= k).select("of", "guid", "n")
+    """For each release the k newest others, obfuscated ones aside, whose search names hold its first three
+    search tokens, as part of words too. A release without tokens has none.
+
+    Releases that ask for the same tokens are answered together. A token's words are found by its first
+    three letters in the vocabulary, and the rarest of the three tokens decides which names are looked at.
+    """
+    words = lambda c: F.filter(F.array_distinct(F.split(c, r"\s+")), lambda x: x != "")
+    want = F.array_sort(F.array_distinct(F.slice(F.filter(F.split("search_name", r"\s+"), lambda x: x != ""), 1, 3)))
+    asking = releases.select(F.col("guid").alias("of"), want.alias("want")).filter(F.size("want") > 0)
+    asked = asking.select("want").distinct().withColumn("t", F.explode("want"))
+    seen = hide_obfuscated(releases)
+    have = seen.select("guid", F.explode(words("search_name")).alias("w"))
+    vocabulary = have.groupBy("w").agg(F.count("*").alias("df"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("w"), i, n)))))
+    held = vocabulary.select("w", "df", F.explode(grams).alias("gram"))
+    inside = asked.select("t").distinct().withColumn("gram", F.substring("t", 1, 3)).join(held, "gram").filter(F.col("w").contains(F.col("t"))).select("t", "w", "df")
+    often = inside.groupBy("t").agg(F.sum("df").alias("df"))
+    rare = asked.join(often, "t").groupBy("want").agg(F.min(F.struct("df", "t"))["t"].alias("t"))
+    met = rare.join(inside.select("t", "w"), "t").join(have, "w").select("want", "guid").distinct()
+    met = met.join(seen.select("guid", "posted_at", "search_name"), "guid").filter(F.forall("want", lambda x: F.col("search_name").contains(x)))
+    newest = met.withColumn("n", F.row_number().over(Window.partitionBy("want").orderBy(*newest_first()))).filter(F.col("n") <= k + 1)
+    found = asking.join(newest.select("want", "guid", "n"), "want").filter("of <> guid")
+    return found.select("of", "guid", F.row_number().over(Window.partitionBy("of").orderBy("n")).alias("n")).filter(F.col("n") <= k)
 
 
 def discovered_vs_known(names: DataFrame, groups: DataFrame) -> DataFrame:

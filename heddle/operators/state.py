@@ -21,10 +21,11 @@ def throughput_ema(passes: DataFrame, weight: float = 0.3) -> DataFrame:
     sample = F.col("articles") / (F.col("duration_ms") / 1000.0)
     good = passes.filter("err = '' AND articles > 0 AND duration_ms > 0").select("group_id", "ts", "event_id", sample.alias("x"))
     w = Window.partitionBy("group_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    n = good.withColumn("age", F.row_number().over(w) - 1).withColumn("first", F.lead("x").over(w).isNull())
+    n = good.withColumn("age", F.row_number().over(w) - 1).filter("age < 400")  # a limited rank: each task keeps so many of a group
+    n = n.join(good.groupBy("group_id").agg(F.min(F.struct("ts", "event_id")).alias("seed")), "group_id")
     keep = 1.0 - weight
-    term = F.col("x") * F.pow(F.lit(keep), F.col("age")) * F.when(F.col("first"), 1.0).otherwise(weight)
-    return n.filter("age < 400 OR first").groupBy("group_id").agg(F.sum(term).alias("ema"))
+    term = F.col("x") * F.pow(F.lit(keep), F.col("age")) * F.when(F.struct("ts", "event_id") == F.col("seed"), 1.0).otherwise(weight)
+    return n.groupBy("group_id").agg(F.sum(term).alias("ema"))
 
 
 def group_state(passes: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def group_state(passes: DataFrame) -> DataFrame:
         F.max(F.when(ok & ~F.col("backfill"), F.col("ts"))).alias("last_forward_at"), F.max(F.when(ok & F.col("backfill"), F.col("ts"))).alias("last_backfill_at"),
         F.max_by(F.when(F.col("server_high") > 0, F.col("server_high")), F.when(F.col("server_high") > 0, at)).alias("server_high"),
     )
-    later = passes.join(F.broadcast(g.select("group_id", "good")), "group_id").filter((F.col("err") != "") & (F.col("good").isNull() | (at > F.col("good"))))
+    later = passes.join(g.select("group_id", "good"), "group_id").filter((F.col("err") != "") & (F.col("good").isNull() | (at > F.col("good"))))
     return g.join(later.groupBy("group_id").agg(F.count("*").alias("consecutive_failures")), "group_id", "left").select(
         "group_id", F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"), F.col("good.ts").alias("last_success_at"), "last_forward_at", "last_backfill_at", "last_error", "server_high"
     )
@@ -47,24 +48,33 @@ def classify_group_health(groups: DataFrame, now: Column) -> DataFrame:
     """Level, reasons and lag of groups (active, server_high, last_scanned_high,
     consecutive_failures, last_success_at)."""
     lag = F.when(F.col("server_high") > 0, F.greatest(F.col("server_high") - F.col("last_scanned_high"), F.lit(0))).otherwise(0)
-    minutes = F.round((F.unix_seconds(now) - F.unix_seconds(F.col("last_success_at").cast("timestamp"))) / 60)
+    age = (F.unix_micros(now) - F.unix_micros(F.col("last_success_at").cast("timestamp"))) / 60_000_000  # in minutes
+    whole = F.round("age").cast("long")
+    hours, rest = F.floor(whole / 60), whole % 60
+    span = F.when(whole == 0, "0s").otherwise(F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), rest.cast("string"), F.lit("m0s")))
     fails = F.col("consecutive_failures")
     by_fail = F.when(fails >= 5, 3).when(fails >= 1, 2).otherwise(1)
     by_lag = F.when(F.col("lag") >= 500_000, 3).when(F.col("lag") >= 50_000, 2).otherwise(1)
-    by_age = F.when(F.col("minutes") >= 1440, 3).when(F.col("minutes") >= 360, 2).otherwise(1)
+    by_age = F.when(F.col("age") >= 1440, 3).when(F.col("age") >= 360, 2).otherwise(1)
     base = F.greatest(by_fail, by_lag)
     never = F.col("last_success_at").isNull()
     rank = F.when(~F.col("active"), 0).when(never, F.when(base == 1, 0).otherwise(base)).otherwise(F.greatest(base, by_age))
     reasons = F.when(~F.col("active"), F.array(F.lit("group inactive"))).otherwise(
-        F.array_compact(F.array(F.when(by_fail > 1, F.concat(fails.cast("string"), F.lit(" consecutive failures"))), F.when(by_lag > 1, F.concat(F.col("lag").cast("string"), F.lit(" articles behind"))), F.when(never & (base == 1), "never scanned successfully").when(~never & (by_age > 1), F.concat(F.lit("no success in "), F.col("minutes").cast("long").cast("string"), F.lit(" minutes")))))
+        F.array_compact(F.array(F.when(by_fail > 1, F.concat(fails.cast("string"), F.lit(" consecutive failures"))), F.when(by_lag > 1, F.concat(F.col("lag").cast("string"), F.lit(" articles behind"))), F.when(never & (base == 1), "never scanned successfully").when(~never & (by_age > 1), F.concat(F.lit("no success in "), span))))
     )
-    out = groups.withColumn("lag", lag).withColumn("minutes", minutes)
+    out = groups.withColumn("lag", lag).withColumn("age", age)
     return out.select("group_id", F.element_at(F.array(*map(F.lit, ("unknown", "ok", "warn", "error"))), rank + 1).alias("level"), F.array_join(reasons, "; ").alias("reasons"), "lag")
 
 
-def group_health_stats(health: DataFrame) -> DataFrame:
-    """A07"""
-    return health.agg(F.count("*").alias("groups"), F.count_if(F.col("lag") > 0).alias("behind"), F.max("lag").alias("max_lag"), F.sum("lag").alias("total_lag"), F.count_if(F.col("level") == "error").alias("failing"))
+def group_health_stats(groups: DataFrame, now: Column) -> DataFrame:
+    """One row over the active groups; zeros without any."""
+    lag = F.when(F.col("server_high") > 0, F.greatest(F.col("server_high") - F.col("last_scanned_high"), F.lit(0)))
+    age = (F.unix_micros(now) - F.unix_micros(F.col("last_success_at").cast("timestamp"))) / 1_000_000
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return groups.filter("active").agg(
+        F.count("*").alias("active"), F.count_if(lag > 0).alias("behind"), zero(F.max(lag)).alias("max_lag"), zero(F.sum(lag)).alias("total_lag"), F.count_if(F.col("consecutive_failures") > 0).alias("failing"),
+        zero(F.max("consecutive_failures")).alias("max_failures"), F.coalesce(F.max(age), F.lit(0.0)).alias("oldest_success_seconds"), F.count_if(F.col("last_success_at").isNull()).alias("never_scanned"),
+    )
 
 
 def project_capacity(stats: DataFrame, retention_days: int, horizons: list[int]) -> DataFrame:
@@ -81,23 +91,23 @@ def pp_backoff_seconds(attempts: Column) -> Column:
 
 def streamed(log: DataFrame, key: str, start: Callable[[], Callable[[int | None], tuple]], fields: list[T.StructField]) -> DataFrame:
     """(key, event_id, *fields) of a log of (key, ts, event_id). Rows are sorted by key and time; each
-    key gets a ``start()``, which is called with the seconds of one row after the other."""
+    key gets a ``start()``, which is called with the microseconds of one row after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
         for b in batches:
             out = []
-            for k, seconds in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for k, micros in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if step is None or k != last:
                     last, step = k, start()
-                out.append(step(seconds))
+                out.append(step(micros))
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.record_batch([b.column(0), b.column(1), *columns], names=[key, "event_id", *[f.name for f in fields]])
 
-    kinds = [pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int32() for f in fields]
+    kinds = [{T.BooleanType(): pa.bool_(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}[f.dataType] for f in fields]
     schema = T.StructType([T.StructField(key, log.schema[key].dataType), T.StructField("event_id", log.schema["event_id"].dataType), *fields])
     rows = log.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id")
-    return rows.select(key, "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds")).mapInArrow(run, schema)
+    return rows.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).mapInArrow(run, schema)
 
 
 def retry_state(log: DataFrame) -> DataFrame:
@@ -113,14 +123,14 @@ def retry_state(log: DataFrame) -> DataFrame:
 
 
 def dedup_window(log: DataFrame, seconds: int = 300) -> DataFrame:
-    """ST09: notifications (id, ts, event_id), each accepted unless its id was accepted in the last seconds."""
+    """ST09: notifications (id, ts, event_id), each accepted unless its id was accepted in the last ``seconds``, their end included."""
 
     def start() -> Callable[[int | None], tuple]:
         last = None
 
         def step(t: int | None) -> tuple:
             nonlocal last
-            ok = last is None or t is None or t - last >= seconds
+            ok = last is None or t is None or t - last > seconds * 1_000_000
             last = t if ok else last
             return (ok,)
 
@@ -130,20 +140,23 @@ def dedup_window(log: DataFrame, seconds: int = 300) -> DataFrame:
 
 
 def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """ST10: requests (key, ts, event_id): a window starts with a key's first request after the last
-    window's end; the first ``limit`` of each are allowed."""
+    """ST10: requests (key, ts, event_id): a window starts with a key's first request after the last one's
+    reset; the first ``limit`` of each are allowed. No limit (0 or less): all are, -1 remain, no reset."""
 
     def start() -> Callable[[int | None], tuple]:
         first, n = None, 0
 
         def step(t: int | None) -> tuple:
             nonlocal first, n
-            first, n = (t, 1) if first is None or t is None or t - first >= seconds else (first, n + 1)
-            return n <= limit, max(limit - n, 0)
+            if limit <= 0:
+                return True, -1, None
+            first, n = (t, 1) if first is None or t is None or t - first > seconds * 1_000_000 else (first, n + 1)
+            return n <= limit, max(limit - n, 0), None if first is None else first + seconds * 1_000_000
 
         return step
 
-    return streamed(log, "key", start, [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType())])
+    out = streamed(log, "key", start, [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType()), T.StructField("reset", T.LongType())])
+    return out.withColumn("reset", F.timestamp_micros("reset").cast("timestamp_ntz"))
 
 
 def backlog_cadence(passes: DataFrame, least: int, configured: int) -> DataFrame:

@@ -68,9 +68,13 @@ LINE = """concat_ws(chr(9), CAST(article_number AS VARCHAR), subject, poster, st
 
 
 def lines(spark, d):
-    date = F.date_format("posted_at", "EEE, d MMM yyyy HH:mm:ss")
+    """Header lines whose dates have six layouts: with and without day name, seconds, zone names and comments."""
+    at = lambda layout, end: F.concat(F.date_format("posted_at", layout), F.lit(end))
+    k = F.col("article_number") % 6
+    date = F.when(k == 0, at("EEE, d MMM yyyy HH:mm:ss", " +0000")).when(k == 1, at("d MMM yyyy HH:mm:ss", " GMT")).when(k == 2, at("EEE, dd MMM yyyy HH:mm:ss", " EST"))
+    date = date.when(k == 3, at("EEE, d MMM yyyy HH:mm", " +0000")).when(k == 4, at("EEE, d MMM yyyy", " 05:30:00 +0530")).otherwise(at("EEE, d MMM yyyy HH:mm:ss", " +0000 (UTC)"))
     h = V.headers(spark, d)
-    return h.select(F.concat_ws("\t", F.col("article_number").cast("string"), "subject", "poster", F.concat(date, F.lit(" +0000")), F.concat(F.lit("<"), "message_id", F.lit(">")), F.lit(""), F.col("bytes").cast("string"), F.lit("9")).alias("value"))
+    return h.select(F.concat_ws("\t", F.col("article_number").cast("string"), "subject", "poster", date, F.concat(F.lit("<"), "message_id", F.lit(">")), F.lit(""), F.col("bytes").cast("string"), F.lit("9")).alias("value"))
 
 
 add("entry_search", q("SELECT guid, name, category_id, group_id, size, posted_at FROM releases WHERE NOT obfuscated AND contains(search_name, '1080p') AND contains(search_name, 'show') AND category_id BETWEEN 5000 AND 5999", "releases"))(flagship)
@@ -81,7 +85,9 @@ add("S02_overview_date", q("SELECT article_number, posted_at FROM headers", "hea
 add("S03_group_catalog_scan", "SELECT 'alt.' || source AS name, max(doc_id) AS high, min(doc_id) AS low, 'y' AS status, greatest(max(doc_id) - min(doc_id) + 1, 0) AS estimated_count FROM documents GROUP BY source")(
     lambda s, d: A.group_catalog_scan(V.table(s, d, "documents").groupBy("source").agg(F.concat_ws(" ", F.concat(F.lit("alt."), "source"), F.max("doc_id").cast("string"), F.min("doc_id").cast("string"), F.lit("y")).alias("value")))
 )
-add("S04_sanitize_utf8", "SELECT doc_id, sha256(text) AS clean FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.sha2(N.sanitize_utf8(F.col("text")).cast("binary"), 256).alias("clean")))
+add("S04_sanitize_utf8", "SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN text || chr(65533) || 'z' WHEN 1 THEN text || chr(65533) || chr(65533) WHEN 2 THEN chr(65533) || chr(65533) || text || chr(65533) ELSE text END) AS clean FROM documents")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", F.sha2(N.sanitize_utf8(soiled(F.col("text").cast("binary")).cast("string")).cast("binary"), 256).alias("clean"))
+)
 add("S05_ingest_parts", q("SELECT part_id, group_id, article_number, message_id, subject, poster, posted_at, bytes FROM parts", "parts"))(lambda s, d: parts(s, d).select("part_id", "group_id", "article_number", "message_id", "subject", "poster", "posted_at", "bytes"))
 add("S06_part_from_header", q(f"SELECT message_id, {PART} FROM parsed", "parsed"))(lambda s, d: parsed(s, d).selectExpr("message_id", *PART.split(", ")))
 MONTHS = "SELECT 'parts_' || strftime(m, '%Y_%m') AS partition_name, CAST(m AS TIMESTAMP) AS from_ts, CAST(m + INTERVAL 1 MONTH AS TIMESTAMP) AS to_ts, n AS rows FROM (SELECT date_trunc('month', posted_at) AS m, count(*) AS n FROM parts GROUP BY 1)"
@@ -111,6 +117,12 @@ def segments_json(s, d):
     return A.segments_array(segments(s, d)).select("guid", back.alias("b")).select("guid", F.size("b").cast("long").alias("n"), F.array_join(F.col("b.message_id"), ",").alias("ids"))
 
 
+def soiled(raw):
+    """Texts with bad bytes and NUL, with genuine U+FFFD, and with both."""
+    k, bad, mark = F.col("doc_id") % 4, F.lit(b"\xff\xfe\0z"), F.lit("\ufffd\ufffd".encode())
+    return F.when(k == 0, F.concat(raw, bad)).when(k == 1, F.concat(raw, mark)).when(k == 2, F.concat(mark, raw, F.lit(b"\xc3"))).otherwise(raw)
+
+
 # Subjects, names and labels.
 def parsed_fields(*cols):
     return lambda s, d: parsed(s, d).select("message_id", *cols)
@@ -156,7 +168,7 @@ add("T23_subject_filename", q("""SELECT message_id, CASE WHEN regexp_matches(sub
 add("T24_looks_like", q("SELECT message_id, ends_with(lower(file_name), '.par2') AS par2, ends_with(lower(file_name), '.nfo') AS nfo FROM parsed", "parsed"))(lambda s, d: parsed(s, d).select("message_id", N.looks_like(F.col("file_name"), ".par2").alias("par2"), N.looks_like(F.col("file_name"), ".nfo").alias("nfo")))
 BASE = sql.rx(sql.rx("file_name", sql.R.KNOWN_EXTENSION), sql.R.VOLUME)
 add("T25_best_release_name", q(f"SELECT group_id, poster, trim(arg_max(b, (strlen(b), -rn))) AS best FROM (SELECT group_id, poster, {BASE} AS b, row_number() OVER (PARTITION BY group_id, poster ORDER BY file_name) AS rn FROM (SELECT DISTINCT group_id, poster, file_name FROM parts)) GROUP BY group_id, poster", "parts"))(
-    lambda s, d: parts(s, d).groupBy("group_id", "poster").agg(F.array_sort(F.collect_set("file_name")).alias("n")).select("group_id", "poster", N.best_release_name(F.col("n")).alias("best"))
+    lambda s, d: parts(s, d).groupBy("group_id", "poster").agg(N.best_name_of(F.col("file_name")).alias("best"))
 )
 add("T26_sanitize_nfo", "SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS clean FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.sha2(N.sanitize_nfo(F.col("text").cast("binary")).cast("binary"), 256).alias("clean")))
 add("T27_strip_html", "SELECT page_id, sha256(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS plain, coalesce(TRY_CAST(regexp_extract(regexp_extract(url, '(\\d+)', 1), '^(\\d{4})', 1) AS INT), 0) AS year FROM pages")(lambda s, d: V.table(s, d, "pages").select("page_id", F.sha2(N.strip_html(F.col("html")).cast("binary"), 256).alias("plain"), N.year_from_date(F.regexp_extract("url", r"(\d+)", 1)).alias("year")))
@@ -185,4 +197,4 @@ LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR+1' WHEN 'signup' THEN 'WARN' W
 add("T35_level_rank", "SELECT event_id, CASE event_type WHEN 'error' THEN 8 WHEN 'signup' THEN 4 WHEN 'view' THEN -4 ELSE 0 END AS rank FROM events")(lambda s, d: V.table(s, d, "events").select("event_id", N.level_rank(F.expr(LEVEL)).alias("rank")))
 
 
-from . import catalogue_jobs  # noqa: E402, F401  (adds its queries)
+from . import catalogue_jobs, catalogue_repair  # noqa: E402, F401  (they add their queries)

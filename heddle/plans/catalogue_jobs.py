@@ -12,7 +12,7 @@ from ..operators import state as T
 from ..sources import views as V
 from ..sources.tables import scratch
 from ..streaming import ingest as I
-from .catalogue import BIN, REL, ROUTES, add, bins, ntz, parts, pick, releases, segments
+from .catalogue import BIN, QUERIES, REL, ROUTES, add, bins, ntz, parts, pick, releases, segments
 from .sql import query as q
 
 R = ("releases",)
@@ -64,12 +64,13 @@ def providers(s, d):
 
 
 add("J12_group_release_stats", sq("SELECT 'alt.group' || group_id AS group_name, count(*) AS total, count(*) FILTER (pp_status = 'pending') AS pending FROM st GROUP BY group_id"))(lambda s, d: J.group_release_stats(states(s, d), releases(s, d).select("group_id").distinct().withColumn("group_name", F.concat(F.lit("alt.group"), F.col("group_id").cast("string")))))
-add("J13_related_releases", q("SELECT \"of\", guid, n FROM (SELECT a.guid AS \"of\", b.guid, CAST(row_number() OVER (PARTITION BY a.guid ORDER BY b.posted_at DESC, b.guid DESC) AS INT) AS n FROM (SELECT guid, list_distinct(string_split(search_name, ' ')) AS x, string_split(search_name, ' ') AS w FROM releases) a JOIN (SELECT guid, posted_at, string_split(search_name, ' ') AS w FROM releases) b ON a.guid <> b.guid AND list_has_all(b.w, list_filter(a.w, lambda t, i: list_position(a.w, t) = i)[1:3])) WHERE n <= 5", "releases"))(lambda s, d: Q.related_releases(releases(s, d)))
+FIRST = "list_filter(string_split(search_name, ' '), lambda t: t <> '')[1:3]"
+add("J13_related_releases", q(f"SELECT \"of\", guid, n FROM (SELECT a.guid AS \"of\", b.guid, CAST(row_number() OVER (PARTITION BY a.guid ORDER BY b.posted_at DESC, b.guid DESC) AS INT) AS n FROM (SELECT guid, {FIRST} AS w FROM releases) a JOIN (SELECT guid, posted_at, search_name AS s FROM releases WHERE NOT obfuscated) b ON a.guid <> b.guid AND len(w) > 0 AND contains(s, w[1]) AND (len(w) < 2 OR contains(s, w[2])) AND (len(w) < 3 OR contains(s, w[3]))) WHERE n <= 5", "releases"))(lambda s, d: Q.related_releases(releases(s, d)))
 add("J14_discovered_vs_known", "SELECT DISTINCT source AS name, CASE WHEN source < 'src3' THEN 'existing' ELSE 'added' END AS status FROM documents")(lambda s, d: Q.discovered_vs_known(V.table(s, d, "documents").select(F.col("source").alias("name")), V.table(s, d, "documents").filter("source < 'src3'").select(F.col("source").alias("name")).distinct()))
 
 for name, f, where in (("A01_assemble_singles", A.assemble_singles, "collection_key = ''"), ("A02_assemble_collections", A.assemble_collections, "collection_key <> ''")):
     add(name, q(f"SELECT {BIN} FROM binaries WHERE {where}", "binaries"))(lambda s, d, f=f: f(parts(s, d)).withColumn("total_parts", F.col("total_parts").cast("int")).drop("updated_at"))
-add("A03_merge_binaries", q("SELECT binary_id, collected_parts, total_bytes, complete FROM binaries WHERE collection_key = ''", "binaries"))(lambda s, d: A.merge_binaries(A.assemble_singles(parts(s, d).filter("part_id % 2 = 0")), A.assemble_singles(parts(s, d).filter("part_id % 2 = 1"))).select("binary_id", "collected_parts", "total_bytes", "complete"))
+add("A03_merge_binaries", q("SELECT binary_id, collected_parts, total_bytes, complete FROM binaries", "binaries"))(lambda s, d: A.merge_partials(A.partials(parts(s, d).filter("part_id % 2 = 0")).unionByName(A.partials(parts(s, d).filter("part_id % 2 = 1")))).select("binary_id", "collected_parts", "total_bytes", "complete"))
 add("A04_is_complete", q("SELECT binary_id, CASE WHEN total_parts > 0 THEN collected_parts >= total_parts ELSE collected_parts >= 1 END AS done FROM binaries", "binaries"))(lambda s, d: bins(s, d).select("binary_id", A.is_complete(F.col("collected_parts"), F.col("total_parts")).alias("done")))
 add("A05_pipeline_stats", sq("SELECT 'parts' AS metric, count(*) AS value FROM linked UNION ALL SELECT 'unassigned', count(*) FILTER (binary_id IS NULL) FROM linked UNION ALL SELECT 'binaries', count(*) FROM binaries UNION ALL SELECT 'complete', count(*) FILTER (complete) FROM binaries UNION ALL SELECT 'releases', count(*) FROM st UNION ALL SELECT 'releases_pending', count(*) FILTER (pp_status = 'pending') FROM st UNION ALL SELECT 'releases_done', count(*) FILTER (pp_status = 'done') FROM st UNION ALL SELECT 'releases_failed', count(*) FILTER (pp_status = 'failed') FROM st UNION ALL SELECT 'exhausted', count(*) FILTER (permanent) FROM st", "linked"))(lambda s, d: J.pipeline_stats(parts(s, d), bins(s, d), states(s, d)))
 add("A08_retention_report", q("SELECT count(*) AS candidate_parts, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS candidate_bytes, count(DISTINCT binary_id) AS binaries, count(DISTINCT group_id) AS groups, min(posted_at) AS oldest, max(posted_at) AS newest, (SELECT count(*) FROM linked) AS all_parts, (SELECT count(*) FROM linked) - count(*) AS retained FROM linked WHERE posted_at < TIMESTAMP '1997-01-01' AND binary_id IN (SELECT binary_id FROM st WHERE pp_status = 'done')", "linked", st=STATUS))(
@@ -82,11 +83,12 @@ for name in ("A11_consecutive_failures", "A12_last_success_times", "ST13_pass_ou
     add(name, q(GROUPS, "passes"))(lambda s, d: T.group_state(V.passes(s, d)))
 add("A13_capacity_stats", q("SELECT group_id, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS articles, round(sum(bytes) / count(*), 6) AS bytes_per_article FROM parts GROUP BY group_id", "parts"))(lambda s, d: J.capacity_stats(parts(s, d)))
 add("A14_capped_count", q("SELECT least(count(*), 100) AS total, count(*) > 100 AS approximate FROM releases", "releases"))(lambda s, d: Q.capped_count(releases(s, d), 100).withColumn("total", F.col("total").cast("long")))
-add("A18_route_metrics", q("SELECT method, path, status, count(*) AS requests, count(*) FILTER (ms <= 100) AS le_100 FROM requests WHERE path = '/metrics' GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d).filter("path = '/metrics'"), [100]).withColumnRenamed("route", "path"))
+
 #: Latency bounds in milliseconds (the client library's default buckets).
 BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 LE = ", ".join(f"count(*) FILTER (ms <= {b}) AS le_{b}" for b in BOUNDS)
-add("A18_route_metrics_all", q(f"SELECT method, {pick(ROUTES)} AS route, status, count(*) AS requests, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d), BOUNDS))
+for name in ("A18_route_metrics", "A18_route_metrics_all"):
+    add(name, q(f"SELECT method, {pick(ROUTES)} AS route, status, count(*) AS requests, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d), BOUNDS))
 add("A20_has_any", sq("SELECT count(*) > 0 AS any FROM st WHERE permanent"))(lambda s, d: states(s, d).filter("permanent").limit(1).agg((F.count("*") > 0).alias("any")))
 
 add("W01_cap_per_key", q("SELECT part_id FROM (SELECT part_id, row_number() OVER (PARTITION BY group_id, poster ORDER BY article_number) AS k FROM parts) WHERE k <= 5", "parts"))(lambda s, d: A.cap_per_key(parts(s, d), ["group_id", "poster"], 5, "article_number").select("part_id"))
@@ -109,13 +111,21 @@ add("B13_reassemble_apply", q("SELECT part_id, CASE WHEN NOT p THEN norm_subject
 )
 add("B14_prune_parts", q("SELECT part_id FROM linked WHERE NOT (posted_at < TIMESTAMP '1997-01-01' AND coalesce(binary_id, '') IN (SELECT binary_id FROM st WHERE pp_status = 'done'))", "linked", st=STATUS))(lambda s, d: J.prune_parts(parts(s, d), J.retention_candidates(parts(s, d), states(s, d), ntz("1997-01-01 00:00:00"))).select("part_id"))
 add("B19_delete_group_cascade", q("SELECT guid, CASE WHEN group_id <> 3 THEN group_id END AS group_id FROM releases", "releases"))(lambda s, d: J.delete_group_cascade(releases(s, d), 3, keep=True).select("guid", "group_id"))
-add("B20_classify_group_health")(lambda s, d: T.classify_group_health(T.group_state(V.passes(s, d)).withColumns({"active": F.col("group_id") % 5 > 0, "last_scanned_high": F.col("server_high") - F.col("group_id") * 20_000}), F.lit("2024-01-30 12:00:00").cast("timestamp")))
+#: Groups of the pass log, every fifth inactive; half a minute from a whole one, so that rounding shows.
+NOW = "2024-01-30 12:00:29.5"
+health = lambda s, d: T.group_state(V.passes(s, d)).withColumns({"active": F.col("group_id") % 5 > 0, "last_scanned_high": F.col("server_high") - F.col("group_id") * 20_000})
+LAG = f"SELECT *, group_id % 5 > 0 AS active, CASE WHEN server_high > 0 THEN greatest(group_id * 20000, 0) ELSE 0 END AS lag, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_success_at)) / 60000000.0::DOUBLE AS age FROM ({GROUPS})"
+RANKS = "SELECT *, CASE WHEN consecutive_failures >= 5 THEN 3 WHEN consecutive_failures >= 1 THEN 2 ELSE 1 END AS f, CASE WHEN lag >= 500000 THEN 3 WHEN lag >= 50000 THEN 2 ELSE 1 END AS l, CASE WHEN age >= 1440 THEN 3 WHEN age >= 360 THEN 2 ELSE 1 END AS a, CAST(round(age) AS BIGINT) AS m FROM (" + LAG + ")"
+add("B20_classify_group_health", q(f"SELECT group_id, CASE WHEN NOT active OR (age IS NULL AND greatest(f, l) = 1) THEN 'unknown' ELSE ['ok', 'warn', 'error'][greatest(f, l, CASE WHEN age IS NULL THEN 1 ELSE a END)] END AS level, CASE WHEN NOT active THEN 'group inactive' ELSE concat_ws('; ', CASE WHEN f > 1 THEN consecutive_failures || ' consecutive failures' END, CASE WHEN l > 1 THEN lag || ' articles behind' END, CASE WHEN age IS NULL AND greatest(f, l) = 1 THEN 'never scanned successfully' WHEN age IS NOT NULL AND a > 1 THEN 'no success in ' || CASE WHEN m >= 60 THEN (m // 60) || 'h' ELSE '' END || (m % 60) || 'm0s' END) END AS reasons, lag FROM ({RANKS})", "passes"))(lambda s, d: T.classify_group_health(health(s, d), F.lit(NOW).cast("timestamp")))
+add("A07_group_health_stats", q(f"SELECT count(*) AS active, count(*) FILTER (lag > 0) AS behind, max(lag) AS max_lag, CAST(sum(lag) AS BIGINT) AS total_lag, count(*) FILTER (consecutive_failures > 0) AS failing, max(consecutive_failures) AS max_failures, round(max(age) * 60, 3) AS oldest_success_seconds, count(*) FILTER (age IS NULL) AS never_scanned FROM ({LAG}) WHERE active", "passes"))(lambda s, d: T.group_health_stats(health(s, d), F.lit(NOW).cast("timestamp")).withColumn("oldest_success_seconds", F.round("oldest_success_seconds", 3)))
 add("B21_project_capacity", q("SELECT days, CAST(b * days AS BIGINT) AS growth_bytes, t + CAST(b * days AS BIGINT) AS projected_bytes, CAST(b * 30 AS BIGINT) AS retained_bytes FROM (SELECT CAST(sum(bytes) AS BIGINT) AS t, 10.0::DOUBLE * 86400 * 1000 AS b FROM parts), (VALUES (30), (90), (365)) v(days)", "parts"))(lambda s, d: T.project_capacity(parts(s, d).agg(F.sum("bytes").alias("db_bytes")).withColumns({"rate": F.lit(10.0), "bytes_per": F.lit(1000.0)}), 30, [30, 90, 365]))
 add("B23_trace_release", q("SELECT part_id, CASE WHEN l.binary_id IS NULL THEN 'unassigned' WHEN NOT complete THEN 'incomplete' WHEN b.total_parts = 0 THEN 'unknown total' WHEN guid IS NULL THEN 'duplicate release' ELSE 'released' END AS stage FROM linked l LEFT JOIN binaries b ON b.binary_id = l.binary_id LEFT JOIN releases r ON r.binary_id = l.binary_id", "linked"))(lambda s, d: J.trace(parts(s, d), bins(s, d), releases(s, d)))
 
 add("ST06_settle_quiet", q("SELECT binary_id, complete OR q AS complete, CASE WHEN q THEN CAST(collected_parts AS INT) ELSE CAST(total_parts AS INT) END AS total_parts FROM (SELECT *, collection_key <> '' AND total_parts = 0 AND updated_at < TIMESTAMP '1998-01-01' AS q FROM binaries)", "binaries"))(lambda s, d: A.settle_quiet(bins(s, d), ntz("1998-01-01 00:00:00")).select("binary_id", "complete", F.col("total_parts").cast("int").alias("total_parts")))
 add("ST07_age_out_stale", q("SELECT binary_id FROM binaries WHERE complete OR updated_at >= TIMESTAMP '1998-01-01'", "binaries"))(lambda s, d: A.age_out_stale(bins(s, d), ntz("1998-01-01 00:00:00")).select("binary_id"))
-add("ST08_retry_state")(lambda s, d: T.retry_state(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))))
+add("ST07_age_out_stale_parts", q("SELECT part_id FROM linked WHERE coalesce(binary_id, '') NOT IN (SELECT binary_id FROM binaries WHERE NOT (complete OR updated_at >= TIMESTAMP '1998-01-01'))", "linked"))(lambda s, d: A.age_out_parts(parts(s, d), bins(s, d), ntz("1998-01-01 00:00:00")).select("part_id"))
+LOG = "SELECT user_id AS key, ts, event_id, event_type = 'error' AS failed FROM events"
+add("ST08_retry_state", f"SELECT key, CAST(n AS INT) AS attempts, CASE WHEN n BETWEEN 1 AND 2 THEN t + to_seconds(300 * CAST(power(2, n - 1) AS BIGINT)) END AS next_retry, n >= 3 AS permanent FROM (SELECT key, count(*) FILTER (failed AND (good IS NULL OR (ts, event_id) > good)) AS n, date_trunc('second', max(ts) FILTER (failed)) AS t FROM (SELECT *, max((ts, event_id)) FILTER (NOT failed) OVER (PARTITION BY key) AS good FROM ({LOG})) GROUP BY key)")(lambda s, d: T.retry_state(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))))
 add("ST09_dedup_window")(lambda s, d: T.dedup_window(V.table(s, d, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("id"), "ts", "event_id")))
 add("ST10_rate_limit")(lambda s, d: T.rate_limit(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 86400, 2))
 add("ST14_backlog_cadence", q("SELECT event_id, CAST(CASE WHEN articles > 0 THEN 5 ELSE 60 END AS INT) AS interval FROM passes", "passes"))(lambda s, d: T.backlog_cadence(V.passes(s, d), 5, 60))
@@ -128,8 +138,7 @@ def written(df, name):
 
 
 add("ST04_stream_ingest_dedup", q("SELECT group_id, article_number FROM parts", "parts"))(lambda s, d: I.stream_ingest(written(V.headers(s, d).repartition(16), "feed"), V.headers(s, d)).select("group_id", "article_number"))
-add("ST05_stream_assemble", q("SELECT binary_id, collected_parts, CAST(total_parts AS INT) AS total_parts, total_bytes, posted_at, complete FROM binaries WHERE collection_key = ''", "binaries"))(lambda s, d: I.stream_assemble(written(parts(s, d).repartition(16), "feed"), parts(s, d)).select("binary_id", "collected_parts", F.col("total_parts").cast("int").alias("total_parts"), "total_bytes", "posted_at", "complete"))
-add("A07_group_health_stats")(lambda s, d: T.group_health_stats(T.classify_group_health(T.group_state(V.passes(s, d)).withColumns({"active": F.lit(True), "last_scanned_high": F.col("server_high") - F.col("group_id") * 20_000}), F.lit("2024-01-30 12:00:00").cast("timestamp"))))
+add("ST05_stream_assemble", q("SELECT binary_id, collected_parts, CAST(total_parts AS INT) AS total_parts, total_bytes, posted_at, complete FROM binaries", "binaries"))(lambda s, d: I.stream_assemble(written(parts(s, d).repartition(16), "feed"), parts(s, d)).select("binary_id", "collected_parts", F.col("total_parts").cast("int").alias("total_parts"), "total_bytes", "posted_at", "complete"))
 add("B02_mark_released", q("SELECT binary_id, complete AND total_parts > 0 AS released FROM binaries", "binaries"))(lambda s, d: bins(s, d).join(A.releasable(bins(s, d)).select("binary_id", F.lit(True).alias("r")), "binary_id", "left").select("binary_id", F.coalesce("r", F.lit(False)).alias("released")))
 add("W03_distinct_on", q("SELECT group_id, poster, min(part_id) AS part_id FROM parts GROUP BY ALL", "parts"))(lambda s, d: A.distinct_on(parts(s, d).select("group_id", "poster", "part_id"), ["group_id", "poster"], "part_id"))
 

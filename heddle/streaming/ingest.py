@@ -19,15 +19,29 @@ def stream_ingest(headers_path: str, like: DataFrame) -> DataFrame:
 
 
 def stream_assemble(parts_path: str, like: DataFrame) -> DataFrame:
-    """ST03, ST05, ST12: parts in any order as a stream. Each batch's aggregate is written under the
+    """ST05, ST12: parts in any order as a stream. What binaries keep of each batch is written under the
     batch's number, so a batch that is run again replaces itself, and late articles count as any;
-    the deltas merge to the binaries (A03)."""
+    these rows merge to the binaries (A03), single ones and collections."""
     spark, out = like.sparkSession, scratch(like.sparkSession, "deltas")
 
     def fold(batch: DataFrame, number: int) -> None:
-        A.assemble_singles(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        A.partials(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 8).parquet(parts_path)
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    deltas = spark.read.schema(A.assemble_singles(like).schema).parquet(out).drop("batch")
-    return A.merge_binaries(deltas, deltas.limit(0))
+    return A.merge_partials(spark.read.schema(A.partials(like).schema).parquet(out))
+
+
+def watermark_advance(headers_path: str, like: DataFrame) -> DataFrame:
+    """ST03: the last position of each group after the batches that were committed. Each is written under its
+    number before the stream's checkpoint moves on: one that fails leaves the position where it was and is
+    run again into the same place."""
+    spark, out = like.sparkSession, scratch(like.sparkSession, "positions")
+
+    def advance(batch: DataFrame, number: int) -> None:
+        batch.groupBy("group_id").agg(F.max("article_number").alias("position")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 8).parquet(headers_path)
+    stream.writeStream.foreachBatch(advance).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    kind = like.schema["group_id"].dataType.simpleString()
+    return spark.read.schema(f"group_id {kind}, position {like.schema['article_number'].dataType.simpleString()}").parquet(out).groupBy("group_id").agg(F.max("position").alias("position"))

@@ -43,12 +43,28 @@ def test_windows(spark):
         last = first = None
         n = 0
         for _, ts, e, _ in h:
-            ok = last is None or (ts - last).total_seconds() >= 300
+            ok = last is None or (ts - last).total_seconds() > 300
             last = ts if ok else last
             accepted.add((k, e, ok))
-            first, n = (ts, 1) if first is None or (ts - first).total_seconds() >= 900 else (first, n + 1)
-            allowed.add((k, e, n <= 2, max(2 - n, 0)))
+            first, n = (ts, 1) if first is None or (ts - first).total_seconds() > 900 else (first, n + 1)
+            allowed.add((k, e, n <= 2, max(2 - n, 0), first + dt.timedelta(seconds=900)))
     one, two = S.dedup_window(df.withColumnRenamed("key", "id")), S.rate_limit(df, 900, 2)
     assert {tuple(r) for r in one.collect()} == accepted and {tuple(r) for r in two.collect()} == allowed
-    assert one.columns == ["id", "event_id", "accepted"] and two.columns == ["key", "event_id", "allowed", "remaining"]
+    assert one.columns == ["id", "event_id", "accepted"] and two.columns == ["key", "event_id", "allowed", "remaining", "reset"]
     assert not gathers(one) and not gathers(two)
+
+
+def test_ends_of_windows_and_no_limit(spark):
+    at = lambda x: START + dt.timedelta(seconds=x)
+    df = spark.createDataFrame([(1, at(t), i) for i, t in enumerate((0, 300, 300.25, 600.25, 600.26))], "key long, ts timestamp_ntz, event_id long")
+    assert {(r.event_id, r.accepted) for r in S.dedup_window(df.withColumnRenamed("key", "id"), 300).collect()} == {(0, True), (1, False), (2, True), (3, False), (4, True)}
+    assert {(r.event_id, r.allowed, r.reset) for r in S.rate_limit(df, 300, 1).collect()} == {(0, True, at(300)), (1, False, at(300)), (2, True, at(600.25)), (3, False, at(600.25)), (4, True, at(900.26))}
+    assert {(r.allowed, r.remaining, r.reset) for r in S.rate_limit(df, 300, 0).collect()} == {(True, -1, None)}
+
+
+def test_health_by_the_exact_age(spark):
+    now = dt.datetime(2026, 1, 2, 12)
+    rows = [(1, True, 0, 0, 0, now - dt.timedelta(minutes=1439.6)), (2, True, 0, 0, 0, now - dt.timedelta(minutes=1440)), (3, True, 0, 0, 0, now - dt.timedelta(minutes=359.9)), (4, True, 0, 0, 5, None), (5, True, 0, 0, 0, None), (6, False, 9, 0, 9, None)]
+    df = spark.createDataFrame(rows, "group_id long, active boolean, server_high long, last_scanned_high long, consecutive_failures long, last_success_at timestamp_ntz")
+    got = {r.group_id: (r.level, r.reasons) for r in S.classify_group_health(df, S.F.lit(now.isoformat(" ")).cast("timestamp")).collect()}
+    assert got == {1: ("warn", "no success in 24h0m0s"), 2: ("error", "no success in 24h0m0s"), 3: ("ok", ""), 4: ("error", "5 consecutive failures"), 5: ("unknown", "never scanned successfully"), 6: ("unknown", "group inactive")}
