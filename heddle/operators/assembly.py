@@ -193,6 +193,11 @@ def build_releases(bins: DataFrame, stored: DataFrame | None = None) -> DataFram
     return first.select(guid.alias("guid"), "release_hash", "name", "search_name", "original_subject", "category_id", "group_id", "poster", "total_parts", F.col("total_bytes").alias("size"), "posted_at", "obfuscated", "binary_id")
 
 
+def build_counts(bins: DataFrame, built: DataFrame) -> DataFrame:
+    """Releases that were created, and binaries that repeat one or a stored one."""
+    return releasable(bins).agg(F.count("*").alias("n")).join(built.agg(F.count("*").alias("created"))).select("created", (F.col("n") - F.col("created")).alias("duplicates"))
+
+
 def release_segments(parts: DataFrame, releases: DataFrame) -> DataFrame:
     """Each release's segments, numbered from 1 in order of part and article number."""
     p = link_parts(parts).filter("binary_id IS NOT NULL AND message_id <> ''").select("binary_id", F.struct("part_number", "article_number", "message_id", "bytes", "subject").alias("s"))
@@ -209,7 +214,7 @@ def segments_array(segments: DataFrame) -> DataFrame:
 
 
 def manifest_export(releases: DataFrame, segments: DataFrame, group_names: DataFrame) -> DataFrame:
-    """An XML manifest for each release with segments."""
+    """An XML manifest for each release with segments; a group without a name has an empty one."""
     joined = releases.join(segments_array(segments), "guid").join(group_names, "group_id", "left")
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;"))
     lines = F.transform("segments", lambda s: F.concat(F.lit('<segment bytes="'), s["bytes"].cast("string"), F.lit('" number="'), s["number"].cast("string"), F.lit('">'), esc(s["message_id"]), F.lit("</segment>")))

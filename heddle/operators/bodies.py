@@ -12,7 +12,7 @@ RANGE = 1 << 16
 
 def yenc_header_scan(body: Column) -> Column:
     """Struct of ok, part, total, size and name from the =ybegin line in the first 64 KiB."""
-    line = F.regexp_extract(F.substring(body.cast("string"), F.lit(1), F.lit(65536)), r"(?m)^=ybegin ([^\r\n]*)", 1)
+    line = F.regexp_extract(F.substring(body.cast("binary"), F.lit(1), F.lit(65536)).cast("string"), r"(?m)^=ybegin ([^\r\n]*)", 1)
     field = lambda k: F.coalesce(F.regexp_extract(line, rf"(?:^| ){k}=(\d+)", 1).try_cast("bigint"), F.lit(0))
     name = F.trim(F.regexp_extract(line, r"name=(.*)$", 1))
     return F.struct((line != "").alias("ok"), field("part").alias("part"), field("total").alias("total"), field("size").alias("size"), name.alias("name"))

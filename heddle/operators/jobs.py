@@ -118,6 +118,12 @@ def capacity_stats(parts: DataFrame) -> DataFrame:
     return parts.groupBy("group_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("articles")).withColumn("bytes_per_article", F.round(F.col("bytes") / F.col("articles"), 6))
 
 
+def capacity_totals(parts: DataFrame) -> DataFrame:
+    """Bytes, articles and bytes of an article over all groups; zeros for an empty table."""
+    t = parts.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("articles"))
+    return t.withColumn("bytes_per_article", F.coalesce(F.round(F.try_divide("bytes", "articles"), 6), F.lit(0.0)))
+
+
 def route_metrics(requests: DataFrame, bounds: list[int]) -> DataFrame:
     """Requests and cumulative latency buckets of each route."""
     return requests.groupBy("method", N.route_pattern(F.col("path")).alias("route"), "status").agg(F.count("*").alias("requests"), *[F.count_if(F.col("ms") <= b).alias(f"le_{b}") for b in bounds])
@@ -132,13 +138,18 @@ def trace(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def enrich_lookup(releases: DataFrame, providers: DataFrame) -> DataFrame:
-    """For each release the match of the provider with the least priority. ``providers``:
-    title, priority, external_id."""
+    """For each release the match of the provider with the least priority that has one. ``providers``:
+    title, priority, external_id (null: looked up without a match)."""
     titles = releases.select("guid", N.parse_title(F.col("name")).alias("t")).select("guid", F.col("t.title").alias("title"))
-    best = providers.groupBy("title").agg(F.min_by("external_id", "priority").alias("external_id"))
+    best = providers.filter("external_id IS NOT NULL").groupBy("title").agg(F.min_by("external_id", F.struct("priority", "external_id")).alias("external_id"))
     return titles.join(best, "title", "left").select("guid", "title", "external_id", F.col("external_id").isNotNull().alias("matched"))
 
 
+def merged_identifiers(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Distinct identifiers (guid, source, identifier) of lookups and stored ones; those without a value are left out."""
+    return stored.unionByName(found).filter("identifier IS NOT NULL AND identifier <> ''").distinct()
+
+
 def upsert_metadata(stored: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace those of the same release."""
     return new.unionByName(stored.join(new.select("guid"), "guid", "left_anti"))

@@ -96,7 +96,12 @@ add("S08_partition_coverage", q("SELECT CAST(m AS DATE) AS month FROM (SELECT un
 add("S09_drop_expired_partitions", q(f"SELECT * FROM ({MONTHS}) WHERE to_ts > TIMESTAMP '1997-06-10'", "parts"))(lambda s, d: A.kept_partitions(A.monthly_partitions(parts(s, d)), "1997-06-10"))
 
 
-@add("S10_manifest_export")
+ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&#34;')"
+XML = f"""'<file poster="' || {ESC('r.poster')} || '" date="' || epoch(CAST(r.posted_at AS TIMESTAMP))::BIGINT || '" subject="' || {ESC("CASE WHEN first.subject <> '' THEN first.subject ELSE r.name END")} || '"><groups><group>alt.group' || r.group_id || '</group></groups><segments>' || g.lines || '</segments></file>'"""
+LINES = f"""SELECT guid, string_agg('<segment bytes="' || bytes || '" number="' || number || '">' || {ESC('message_id')} || '</segment>', '' ORDER BY number) AS lines FROM segments GROUP BY guid"""
+
+
+@add("S10_manifest_export", q(f"SELECT r.guid, CASE WHEN r.name = '' THEN 'release' ELSE translate(r.name, '/\\:*?\"<>|' || chr(10) || chr(13) || chr(9), '____________') END || '.nzb' AS filename, {XML} AS xml FROM releases r JOIN ({LINES}) g USING (guid) JOIN (SELECT guid, subject FROM segments WHERE number = 1) first USING (guid)", "segments"))
 def manifests(s, d):
     r = releases(s, d)
     groups = r.select("group_id").distinct().withColumn("group_name", F.concat(F.lit("alt.group"), F.col("group_id").cast("string")))

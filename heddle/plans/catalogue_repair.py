@@ -177,3 +177,16 @@ add("B22_admin_overview", f"SELECT 'stats' AS section, metric AS name, CAST(valu
 )
 add("ST03_watermark_advance", q("SELECT group_id, max(article_number) AS position FROM headers GROUP BY group_id", "headers"))(lambda s, d: I.watermark_advance(C.written(V.headers(s, d).repartition(16), "feed"), V.headers(s, d)))
 add("ST12_late_data", q("SELECT binary_id, collected_parts, posted_at FROM binaries", "binaries"))(lambda s, d: I.stream_assemble(C.written(parts(s, d).repartitionByRange(16, F.desc("posted_at")), "feed"), parts(s, d)).select("binary_id", "collected_parts", "posted_at"))
+add("B01_build_counts", q("SELECT (SELECT count(*) FROM releases) AS created, (SELECT count(*) FROM n4) - (SELECT count(*) FROM releases) AS duplicates", "releases"))(lambda s, d: A.build_counts(bins(s, d), releases(s, d)))
+add("A13_capacity_totals", q("SELECT CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS articles, round(sum(bytes) / count(*), 6) AS bytes_per_article FROM parts", "parts"))(lambda s, d: J.capacity_totals(parts(s, d)))
+
+
+def first_has_none(s, d):
+    """The first provider has no match for titles of a length that four divides; the second has."""
+    return C.providers(s, d).withColumn("external_id", F.when((F.col("priority") > 0) | (F.length("title") % 4 > 0), F.col("external_id")))
+
+
+add("J10_second_provider", f"SELECT guid, CASE WHEN len(title) % 4 = 0 THEN 'b-' || title ELSE external_id END AS external_id FROM ({SQL['J10_enrich_lookup']}) WHERE matched")(lambda s, d: J.enrich_lookup(releases(s, d), first_has_none(s, d)).filter("matched").select("guid", "external_id"))
+add("J10_merged_identifiers", f"SELECT guid, 'show' AS source, external_id AS identifier FROM ({SQL['J10_enrich_lookup']}) WHERE matched UNION SELECT guid, 'group', CAST(group_id AS VARCHAR) FROM ({C.ids('', 'true').replace('SELECT guid FROM', 'SELECT guid, group_id FROM')})")(
+    lambda s, d: J.merged_identifiers(J.enrich_lookup(releases(s, d), C.providers(s, d)).select("guid", F.lit("show").alias("source"), F.col("external_id").alias("identifier")), releases(s, d).select("guid", F.lit("group").alias("source"), F.explode(F.array(*[F.col("group_id").cast("string")] * 2)).alias("identifier")))
+)

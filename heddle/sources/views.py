@@ -53,9 +53,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan of fewer splits than there are cores, dealt over all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article headers from line items and their orders."""
-    return spark.sql(HEADERS.format(div="div", lineitem="{lineitem}", orders="{orders}"), lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(HEADERS.format(div="div", lineitem="{lineitem}", orders="{orders}"), lineitem=spread(table(spark, sf_dir, "lineitem")), orders=table(spark, sf_dir, "orders"))
 
 
 def categories(spark: SparkSession) -> DataFrame:
