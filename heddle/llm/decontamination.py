@@ -85,16 +85,19 @@ def proximity_matches(index: DataFrame, item_words: DataFrame, slop: int = 20, w
     ranked = rarest(index, item_words, window)
     first = ranked.filter("rank = 1").select("iid", "start", F.col("tid").alias("a"))
     pairs = first.join(ranked.filter("rank = 2").select("iid", "start", F.col("tid").alias("b")), ["iid", "start"]).filter("a <> b")
-    pairs = pairs.join(item_words.select("iid", "item_id").distinct(), "iid")
+    pairs = shared.stored(pairs.join(item_words.select("iid", "item_id").distinct(), "iid").select("item_id", "start", "a", "b"), "near_pairs")
+    both = shared.stored(pairs.select("a", "b").distinct(), "near_terms")
     block = F.floor(F.col("pos") / slop)
-    left = pairs.join(index.select(F.col("tid").alias("a"), "uid", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block")), "a")
-    right = index.select(F.col("tid").alias("b"), "uid", F.col("pos").alias("other"), F.floor(F.col("pos") / slop).alias("block"))
+    left = index.join(bounded(both), F.col("tid") == F.col("a")).select("a", "b", "uid", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = index.join(bounded(both.select("b").distinct()), F.col("tid") == F.col("b")).select("b", "uid", F.col("pos").alias("other"), F.floor(F.col("pos") / slop).alias("block"))
     gap = F.abs(F.col("pos") - F.col("other"))
-    return left.join(right, ["b", "uid", "block"]).filter(gap <= slop).select("uid", "item_id", "start", "pos", gap.alias("gap")).distinct()
+    met = left.join(right, ["b", "uid", "block"]).filter(gap <= slop).groupBy("uid", "a", "b", "pos").agg(F.min(gap).alias("gap"))
+    return met.join(bounded(pairs), ["a", "b"]).groupBy("uid", "item_id", "start", "pos").agg(F.min("gap").alias("gap"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each document its carried columns, n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, carried: tuple[str, ...] = ("doc_id",), slop: int | None = None) -> DataFrame:
+    """For each document its carried columns, n_words, n_hit, n_items, items_sha256, contaminated; with ``slop``
+    also n_near, the number of items of which a window's two rarest words stand within so many words.
 
     Null and empty texts have no words and no hits; rows that repeat are judged each; an item that
     repeats counts once by its id (a null id is the empty string); empty tables give empty or clean
@@ -107,7 +110,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     items = hits.select("uid", "item_id").distinct().groupBy("uid").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
     every = index.filter("tid = -1").select("uid", *carried, F.col("pos").cast("long").alias("n_words"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.join(n_hit.join(items, "uid"), "uid", "left").select(*carried, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    found = n_hit.join(items, "uid")
+    if slop is not None:
+        near = proximity_matches(index, item_words, slop, window).select("uid", "item_id").distinct().groupBy("uid").agg(F.count("*").alias("n_near"))
+        found = near.join(found, "uid", "full")
+    out = every.join(found, "uid", "left")
+    return out.select(*carried, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *[zero("n_near") for _ in [slop] if slop is not None])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -56,3 +56,30 @@ def test_proximity(spark):
     terms, items = D.test_items(bench)
     near = D.proximity_matches(D.build_index(docs, terms, "text", "doc_id"), items, slop=5).collect()
     assert [(r.item_id, r.gap) for r in near] == [("7", 3)]
+    rows = D.contamination(docs, bench, slop=5).collect()
+    assert sorted((r.doc_id, r.n_near, r.n_hit) for r in rows) == [(1, 1, 0), (2, 0, 0)]
+
+
+def test_proximity_against_brute_force(spark):
+    """The two rarest words of each window, by all documents, within so many words of each other, in any order."""
+    draw = random.Random(4)
+    text = lambda n: " ".join(draw.choices([f"w{i}" for i in range(60)], k=n))
+    docs, items, slop = [(i, text(draw.randint(1, 60))) for i in range(40)], [(i, text(draw.choice([2, 9, 10, 14]))) for i in range(8)], 6
+    words = {d: split(t) for d, t in docs}
+    count = {}
+    for w in words.values():
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    want = {d: set() for d, _ in docs}
+    for i, t in items:
+        v = split(t)
+        k = min(10, len(v))
+        for s in range(len(v) - k + 1):
+            if not all(x in count for x in v[s : s + k]):
+                continue
+            a, b = (v[j] for j in sorted(range(s, s + k), key=lambda j: (count[v[j]], j))[:2])
+            for d, w in words.items():
+                if a != b and any(x == a and y == b and abs(p - q) <= slop for p, x in enumerate(w) for q, y in enumerate(w)):
+                    want[d].add(i)
+    out = D.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    assert {r.doc_id: r.n_near for r in out.collect()} == {d: len(i) for d, i in want.items()} and any(want.values())
