@@ -77,11 +77,16 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, least:
     for r in rows:
         found[np.unique(r)] += 1
     often = found >= least
-    pairs = [np.unique(r[often[r]], return_counts=True) for r in rows]  # the others have no weight
-    row, place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p, _ in pairs]), np.concatenate([p for p, _ in pairs])
-    value = np.log2(1 + np.concatenate([c.astype(np.int32) for _, c in pairs]), dtype=np.float32)
-    used, column = np.unique(place, return_inverse=True)
-    del pairs, place
+    used, at = np.flatnonzero(often), np.zeros(PLACES, np.int32)
+    at[used] = np.arange(len(used), dtype=np.int32)
+    columns, values = [], []
+    for r in rows:  # other features have no weight
+        found, n = np.unique(r[often[r]], return_counts=True)
+        columns.append(at[found])
+        values.append(np.log2(1 + n).astype(np.float32))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    column, value = np.concatenate(columns), np.concatenate(values)
+    del columns, values
     count = np.bincount(column, minlength=len(used))
     w, n = np.zeros(len(used)), len(rows)
     share = np.clip([(grade <= j).mean() for j in range(grades - 1)], 1e-3, 1 - 1e-3)
