@@ -88,7 +88,7 @@ def layered(calls: DataFrame) -> DataFrame:
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``calls`` with ``errors``, sorted: not an object, unknown tool, and for parameters missing,
     unknown or of the wrong type. ``schemas``: name, parameter, type (a JSON type), required."""
-    small = schemas.count() <= BROADCAST_ROWS
+    small = shared.small(schemas, BROADCAST_ROWS)
     listed = F.broadcast(schemas) if small else schemas
     tools = schemas.select("name").distinct().withColumn("known", F.lit(True))
     rows = shared.stored(calls.withColumn("_call", F.monotonically_increasing_id()), "calls")

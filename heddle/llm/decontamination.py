@@ -16,7 +16,7 @@ from . import shared
 #: What parts words, before A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows of a table of test terms that may be broadcast (some 50 bytes each); above, joins shuffle.
+#: Rows of a table of test terms that may be broadcast, if its strings are short too (shared.small); above, joins shuffle.
 BROADCAST_ROWS = 500_000
 #: In the vocabulary this stands for a document's end; no word holds U+0000.
 END = "\0"
@@ -27,8 +27,8 @@ def words(text: Column) -> Column:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """To be broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """To be broadcast if its counted rows and the bytes of their strings are few enough."""
+    return F.broadcast(df) if shared.small(df, BROADCAST_ROWS) else df
 
 
 def test_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -43,7 +43,7 @@ def test_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 def build_index(docs: DataFrame, terms: DataFrame, text: str = "text", *carried: str) -> DataFrame:
     """Postings (uid, pos, tid) of the terms in whole texts, stored. For each document one more with
     tid -1, whose pos is the number of words and which alone has the ``carried`` columns."""
-    listed = F.broadcast if terms.count() <= BROADCAST_ROWS else (lambda x: x)
+    listed = F.broadcast if shared.small(terms, BROADCAST_ROWS) else (lambda x: x)
     known = terms.unionByName(terms.sparkSession.createDataFrame([(END, -1)], terms.schema))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text, *carried).select("uid", *carried, F.posexplode(F.array_append(words(F.col(text)), F.lit(END))).alias("pos", "word"))
     rows = rows.withColumn("term", shared.ascii_lower(F.col("word"))).join(listed(known), "term")

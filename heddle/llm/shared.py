@@ -50,6 +50,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of strings in a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether a stored table may be broadcast: at most ``rows`` rows, and BROADCAST_BYTES of strings in all."""
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0).cast("long"))
+    found = df.agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).first()
+    return found["n"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() does just that on ASCII; translate() is for the rest."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

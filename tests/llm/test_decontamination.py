@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from heddle.llm import decontamination as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,3 +85,14 @@ def test_proximity_against_brute_force(spark):
                     want[d].add(i)
     out = D.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
     assert {r.doc_id: r.n_near for r in out.collect()} == {d: len(i) for d, i in want.items()} and any(want.values())
+
+
+@pytest.mark.parametrize("rows,size", [(0, 1 << 20), (1 << 20, 10)])
+def test_without_broadcast(spark, monkeypatch, rows, size):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b c d e f g h i"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("k" * 50, "a b c d e f g h i j"), (None, "y"), ("z", "")], "item_id string, text string")
+    want = sorted(D.contamination(docs, items).collect())
+    assert [(r.n_hit, r.n_items) for r in want] == [(11, 2), (0, 0), (0, 0)]
+    monkeypatch.setattr(D, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(D.shared, "BROADCAST_BYTES", size)
+    assert sorted(D.contamination(docs, items).collect()) == want
