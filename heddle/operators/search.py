@@ -116,8 +116,9 @@ def event_routing(events: DataFrame, destinations: DataFrame) -> DataFrame:
     """P10: events and the enabled destinations that take their type (none listed: all)."""
     d = destinations.filter("enabled").select("destination", F.explode_outer("types").alias("want"))
     named, every = d.filter("want IS NOT NULL"), d.filter("want IS NULL").select("destination")
-    one = events.join(F.broadcast(named), F.col("event_type") == F.col("want")).drop("want")  # destinations are configuration
-    return one.unionByName(events.withColumn("destination", F.explode(F.array(*[F.lit(r["destination"]) for r in every.collect()]).cast("array<string>"))))
+    one = events.join(named, F.col("event_type") == F.col("want")).drop("want")
+    to_all = every.agg(F.collect_list("destination")).scalar()  # destinations are configuration
+    return one.unionByName(events.withColumn("destination", to_all).withColumn("destination", F.explode("destination")))
 
 
 def due_queue(releases: DataFrame, now: Column) -> DataFrame:
