@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, exact_dedup, html, jaccard_join, lm, secrets, sharding, toxicity
+from . import bpe, chat, decontamination, exact_dedup, html, jaccard_join, lm, secrets, sharding, toxicity, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_html": html.op8_html,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_chat": chat.op10_chat,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
