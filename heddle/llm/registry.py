@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, exact_dedup, html, jaccard_join, lm, secrets, sharding, toxicity, whitening
+from . import bpe, chat, decontamination, exact_dedup, html, jaccard_join, lm, merkle, packing, secrets, sharding, toxicity, whitening
 
 
 def queries() -> dict:
@@ -21,6 +21,8 @@ def queries() -> dict:
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_chat": chat.op10_chat,
         "op11_whitening": whitening.op11_whitening,
+        "op12_packing": packing.op12_packing,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict:
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_ngram_jaccard": jaccard_join.SQL,
         "op9_decontamination": decontamination.SQL,
+        "op13_merkle": merkle.SQL,
     }

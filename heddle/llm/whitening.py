@@ -34,7 +34,7 @@ SCALE, OFFSET, LARGEST = 1024.0, 100_000, 2.0**52
 TOLERANCE, FLAT = 1e-13, 1e-11
 #: Passes between two Rayleigh-Ritz steps at most. A block that needs more than SLOW passes to converge is doubled; once
 #: it spans all dimensions one step is exact, so the iteration ends on any spectrum.
-DEGREE, SLOW = 12, 36
+DEGREE, SLOW = 12, 48
 
 
 @dataclass
