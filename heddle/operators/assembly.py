@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -77,11 +77,11 @@ def unassigned_single(parts: DataFrame) -> DataFrame:
 
 
 def ambiguous_parts(parts: DataFrame, limit: int | None = None, most_attempts: int = 5) -> DataFrame:
-    """Parts without a key or a total, those tried too often aside where ``attempts`` is known;
+    """Parts without a key or a total, those whose bodies were tried too often (yenc_attempts, as B10 counts them) aside;
     with ``limit`` the newest so many, as a work queue takes them."""
     rows = parts.filter("collection_key = '' AND total_parts = 0")
-    if "attempts" in parts.columns:
-        rows = rows.filter(F.col("attempts") < most_attempts)
+    if "yenc_attempts" in parts.columns:
+        rows = rows.filter(F.coalesce("yenc_attempts", F.lit(0)) < most_attempts)
     return rows if limit is None else rows.orderBy(F.desc("posted_at"), F.desc("part_id")).limit(limit)
 
 
@@ -160,14 +160,19 @@ def settle_quiet(bins: DataFrame, cutoff) -> DataFrame:
     return bins.withColumns({"complete": F.col("complete") | quiet, "total_parts": F.when(quiet, F.col("collected_parts").cast("int")).otherwise(F.col("total_parts"))})
 
 
+def stays(bins: DataFrame, cutoff) -> Column:
+    released = F.coalesce("released", F.lit(False)) if "released" in bins.columns else F.lit(False)
+    return F.col("complete") | released | (F.col("updated_at") >= cutoff)
+
+
 def age_out_stale(bins: DataFrame, cutoff) -> DataFrame:
-    """ST07: binaries that stay: complete or not idle since cutoff."""
-    return bins.filter(F.col("complete") | (F.col("updated_at") >= cutoff))
+    """ST07: binaries that stay: complete, released (where that is known) or not idle since cutoff."""
+    return bins.filter(stays(bins, cutoff))
 
 
 def age_out_parts(parts: DataFrame, bins: DataFrame, cutoff) -> DataFrame:
     """ST07: parts that stay: all but those of binaries that go."""
-    gone = bins.filter(~(F.col("complete") | (F.col("updated_at") >= cutoff))).select("binary_id")
+    gone = bins.filter(~stays(bins, cutoff)).select("binary_id")
     return link_parts(parts).join(gone, "binary_id", "left_anti").select(*parts.columns)
 
 
@@ -224,9 +229,13 @@ def manifest_export(releases: DataFrame, segments: DataFrame, group_names: DataF
 
 
 def feed_items(releases: DataFrame, base_url: str) -> DataFrame:
-    """S12"""
+    """Items with their attributes: size, grabs (0 where they aren't counted) and, if it has one, category."""
     date = F.date_format(F.col("posted_at").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss Z")
-    return releases.select("guid", F.col("name").alias("title"), F.concat(F.lit(f"{base_url}/api?t=get&id="), "guid").alias("link"), date.alias("pub_date"), F.col("category_id").cast("string").alias("category"), F.col("size").cast("string").alias("size_attr"))
+    link, text = F.concat(F.lit(f"{base_url}/api?t=get&id="), "guid"), lambda c: F.col(c).cast("string")
+    grabs = F.coalesce(text("grabs"), F.lit("0")) if "grabs" in releases.columns else F.lit("0")
+    one = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    attributes = F.filter(F.array(one("size", text("size")), one("grabs", grabs), one("category", text("category_id"))), lambda a: a["value"].isNotNull())
+    return releases.select("guid", F.col("name").alias("title"), link.alias("link"), date.alias("pub_date"), text("category_id").alias("category"), text("size").alias("size_attr"), grabs.alias("grabs_attr"), attributes.alias("attributes"))
 
 
 def category_tree(categories: DataFrame) -> DataFrame:

@@ -30,9 +30,11 @@ def overall_status(checks: DataFrame) -> DataFrame:
 
 
 def forward_plan(groups: DataFrame, cap: int, batch: int = 10_000) -> DataFrame:
-    """ST01: the article ranges that a pass reads next, for groups with last_high, server_low, server_high."""
+    """ST01: the article ranges that a pass reads next, for groups with last_high, server_low, server_high and, if it has one, own_cap, which
+    overrides the cap of all; 0 is none. Groups with nothing new have no range."""
     start = F.greatest(F.col("last_high") + 1, F.col("server_low"))
-    rows = groups.withColumn("start", start).withColumn("stop", F.least("server_high", F.col("start") + (cap - 1)) if cap else F.col("server_high"))
+    most = F.coalesce("own_cap", F.lit(cap)) if "own_cap" in groups.columns else F.lit(cap)
+    rows = groups.withColumn("start", start).withColumn("stop", F.when(most > 0, F.least("server_high", F.col("start") + (most - 1))).otherwise(F.col("server_high")))
     rows = rows.filter("start <= stop").withColumn("begin", F.explode(F.sequence("start", "stop", F.lit(batch).cast("long"))))
     return rows.select("group_id", "begin", F.least(F.col("begin") + (batch - 1), F.col("stop")).alias("end"))
 

@@ -51,22 +51,6 @@ def requeue_failed(releases: DataFrame) -> DataFrame:
     return releases.withColumns({"pp_attempts": F.when(bad, 0).otherwise(F.col("pp_attempts")), "permanent": F.when(bad, False).otherwise(F.col("permanent")), "next_retry": F.when(~bad, F.col("next_retry")), "pp_status": F.when(bad, "pending").otherwise(F.col("pp_status"))})
 
 
-def apply_postprocess(releases: DataFrame, results: DataFrame) -> DataFrame:
-    """``results``: guid, new_name (null: none)."""
-    out = releases.join(results, "guid", "left")
-    named = F.coalesce("new_name", "name")
-    out = out.withColumn("name", named).withColumns({"search_name": N.search_name(F.col("name")), "category_id": N.categorize(F.col("name")), "obfuscated": F.col("obfuscated") & F.col("new_name").isNull(), "pp_status": F.when(F.col("hit"), "done").otherwise(F.col("pp_status"))})
-    return out.drop("new_name", "hit")
-
-
-def verify_parts(parts: DataFrame, checks: DataFrame) -> DataFrame:
-    """``checks`` of bodies: part_id, ok, total, file. Failed: one more attempt; one part: total 1;
-    else the collection yenc:file/total."""
-    out = parts.join(checks, "part_id", "left")
-    one = F.col("ok") & (F.col("total") <= 1)
-    return out.withColumns({"yenc_attempts": F.when(~F.col("ok"), 1).otherwise(0), "total_parts": F.when(one, 1).otherwise(F.col("total_parts")), "collection_key": F.when(F.col("ok") & (F.col("total") > 1), F.concat(F.lit("yenc:"), "file", F.lit("/"), F.col("total").cast("string"))).otherwise(F.col("collection_key"))}).drop("ok", "total", "file")
-
-
 def reparse_plan(stored: DataFrame) -> DataFrame:
     """Parts whose fields change when their subject is parsed again."""
     fields = ["part_number", "total_parts", "norm_subject", "collection_key", "file_number", "collection_files"]
@@ -137,12 +121,29 @@ def trace(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> DataFrame:
     return rows.select("part_id", stage.alias("stage"))
 
 
+def provider_answers(providers: DataFrame) -> DataFrame:
+    """A row for each title: external_id of the provider of least priority that matches, whether any failed, and identifiers, of each
+    source the one from the first provider that matches and has it (of several of one provider the least)."""
+    error = F.coalesce("error", F.lit(False)) if "error" in providers.columns else F.lit(False)
+    listed = F.col("identifiers") if "identifiers" in providers.columns else F.lit(None).cast("array<struct<source:string,identifier:string>>")
+    rows = providers.select("title", "priority", "external_id", error.alias("error"), listed.alias("identifiers"))
+    hit = ~F.col("error") & F.col("external_id").isNotNull()
+    best = rows.groupBy("title").agg(F.min(F.when(hit, F.struct("priority", "external_id")))["external_id"].alias("external_id"), F.bool_or("error").alias("error"))
+    first = rows.filter(hit).select("title", "priority", F.explode("identifiers").alias("i")).filter("i.source IS NOT NULL AND i.identifier IS NOT NULL")
+    first = first.groupBy("title", F.col("i.source").alias("source")).agg(F.min(F.struct("priority", "i.identifier"))["identifier"].alias("identifier"))
+    own = first.groupBy(F.col("title").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("source", "identifier"))).alias("identifiers"))  # one for each source
+    return best.join(own, F.col("title") == F.col("_of"), "left").drop("_of")
+
+
 def enrich_lookup(releases: DataFrame, providers: DataFrame) -> DataFrame:
-    """For each release the match of the provider with the least priority that has one. ``providers``:
-    title, priority, external_id (null: looked up without a match)."""
+    """For each release (guid, name) its title, external_id, matched, identifiers and failed: a provider failed and none
+    matched, so nothing is known. ``providers``: title, priority, external_id (null: a miss), and, where they have them, error (the lookup
+    failed) and identifiers (array of source and identifier). Titles that no provider lists are misses; null ones too."""
     titles = releases.select("guid", N.parse_title(F.col("name")).alias("t")).select("guid", F.col("t.title").alias("title"))
-    best = providers.filter("external_id IS NOT NULL").groupBy("title").agg(F.min_by("external_id", F.struct("priority", "external_id")).alias("external_id"))
-    return titles.join(best, "title", "left").select("guid", "title", "external_id", F.col("external_id").isNotNull().alias("matched"))
+    met = titles.join(provider_answers(providers), "title", "left")
+    none = F.array().cast("array<struct<source:string,identifier:string>>")
+    matched = F.col("external_id").isNotNull()
+    return met.select("guid", "title", "external_id", matched.alias("matched"), F.coalesce("identifiers", none).alias("identifiers"), (~matched & F.coalesce("error", F.lit(False))).alias("failed"))
 
 
 def merged_identifiers(found: DataFrame, stored: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ empty; rows that repeat are worked on each, unless a docstring says otherwise.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names as N
-from ..functions import subjects as S
+from ..functions import regexes as R
+from ..sources import tables
 from . import assembly as A
 from . import jobs as J
+from . import search as Q
 
 #: Fixed values of PAR2 packets: the magic, the header's length, the type of a file description and where its name starts.
 PAR2_MAGIC, PAR2_HEADER, PAR2_FILE, PAR2_NAME = b"PAR2\x00PKT", 64, b"PAR 2.0\x00FileDesc", 56
@@ -86,26 +90,6 @@ def has_par2_magic(body: Column) -> Column:
     return F.coalesce(F.contains(body, F.lit(PAR2_MAGIC)), F.lit(False))
 
 
-def postprocess_resolve(due: DataFrame, segments: DataFrame, bodies: DataFrame, budget: int = 4) -> DataFrame:
-    """For each due release guid, new_name, nfo and failed. The segments most likely to tell (W12) meet their
-    bodies (message_id, body; null: not fetched). The first readable name of at most 512 bytes counts, of
-    parity files by their subject or, for obfuscated releases, of any body with their magic; so does the first
-    description. A release failed if nothing was recovered and a body wasn't fetched."""
-    some = J.smallest_first(segments.join(due.select("guid", "obfuscated"), "guid"), budget)
-    rows = some.join(bodies, "message_id", "left").withColumn("data", yenc_decode(F.col("body")))
-    rows = rows.withColumn("hinted", (F.col("bucket") == 0) | (F.col("obfuscated") & has_par2_magic(F.col("data"))))
-    rows = rows.withColumn("names", F.filter(par2_filenames(F.when(F.col("hinted"), F.col("data"))), lambda x: (F.octet_length(x) <= LONGEST_NAME) & ~N.is_obfuscated(x)))
-    rows = rows.withColumn("name", F.get("names", F.lit(0)))
-    order = F.struct("bucket", "number")
-    found = rows.groupBy("guid").agg(
-        F.min_by("name", F.when(F.col("name").isNotNull(), order)).alias("new_name"),
-        F.min_by("data", F.when((F.col("bucket") == 1) & F.col("data").isNotNull(), order)).alias("nfo"),
-        F.max(F.col("body").isNull()).alias("missed"),
-    )
-    out = due.select("guid").join(found, "guid", "left").withColumn("nfo", N.sanitize_nfo(F.col("nfo")))
-    return out.select("guid", "new_name", "nfo", (F.coalesce("missed", F.lit(True)) & F.col("new_name").isNull() & F.col("nfo").isNull()).alias("failed"))
-
-
 # Segments.
 def number_segments(segments: DataFrame) -> DataFrame:
     """1 to n in each release by part and article number, whatever number was stored."""
@@ -175,30 +159,53 @@ def repair_candidates(releases: DataFrame, segments: DataFrame, parts: DataFrame
     return due.join(first, "guid").join(own, "binary_id", "left").select("guid", "binary_id", F.coalesce("part_id", F.lit(0)).alias("part_id"), "message_id")
 
 
-def repair_releases(releases: DataFrame, bins: DataFrame, parts: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``results``: guid, binary_id, part_id, ok, total, part, file. Standalone: verified. Fragment: the release and
-    its binary go and its part waits under the collection it belongs to. Not ok: nothing changes."""
-    good = results.filter("ok")
-    alone, piece = good.filter("total <= 1"), good.filter("total > 1")
-    left = releases.join(piece.select("guid"), "guid", "left_anti").join(alone.select("guid", F.lit(True).alias("now")).distinct(), "guid", "left")
-    left = left.withColumn("verified", F.col("verified") | F.coalesce("now", F.lit(False))).drop("now")
-    key = F.concat(F.lit("yenc:"), "file", F.lit("/"), F.col("total").cast("string"))
-    moved = piece.select("part_id", key.alias("new_key"), F.col("part").alias("new_file"), F.col("total").alias("new_total")).dropDuplicates(["part_id"])
-    reset = parts.join(moved, "part_id", "left").withColumns({"collection_key": F.coalesce("new_key", "collection_key"), "file_number": F.coalesce("new_file", "file_number"), "collection_files": F.coalesce("new_total", "collection_files")})
-    return left, bins.join(piece.select("binary_id"), "binary_id", "left_anti"), reset.drop("new_key", "new_file", "new_total")
+def recollected(parts: DataFrame) -> DataFrame:
+    """part_id, key, number and count of the collections that subjects name by a leading file counter in brackets and a quoted name.
+    A count of one, or the first file of as many as the first counter of any kind gives, is no collection."""
+    s = F.coalesce("subject", F.lit(""))
+    leading, any_one = R.port(R.LEADING_FILES), R.port(R.FIRST_COUNTER)
+    number, count = (F.regexp_extract(s, leading, i).try_cast("int") for i in (1, 2))
+    name, first = F.regexp_extract(s, R.QUOTED, 1), F.regexp_extract(s, any_one, 2).try_cast("int")
+    rows = parts.filter(s.rlike(leading)).select("part_id", name.alias("n"), number.alias("new_file"), count.alias("new_total"), first.alias("first"))
+    rows = rows.filter((F.col("new_total") >= 2) & (F.col("n") != "") & ~((F.col("new_file") == 1) & (F.col("new_total") == F.col("first"))))
+    return rows.select("part_id", F.concat(volume_base(F.col("n")), F.lit("/"), F.col("new_total").cast("string")).alias("new_key"), "new_file", "new_total")
+
+
+def volume_base(name: Column) -> Column:
+    """A file's name without the endings of archive volumes, behind which another number may stand; the name itself if it has none."""
+    ending, number = R.port(R.VOLUME_FILE), r"\.\d{3,4}\z"
+    cut = F.regexp_replace(name, number, "")
+    strip = lambda x: F.regexp_replace(x, ending, "")
+    bare = F.regexp_replace(name, r"\.[^.]*\z", "")
+    found = F.when(name.rlike(number) & (cut != "") & cut.rlike(ending), strip(cut)).when(name.rlike(ending) & (strip(name) != ""), strip(name)).when(name.rlike(ending), bare)
+    return F.coalesce(F.nullif(found, F.lit("")), name)
+
 
+class Torn(NamedTuple):
+    """What stays after a tear-down, and counts of it."""
 
-def fix_stub_collections(releases: DataFrame, parts: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Parts of stub releases (P13) whose subject counts files are parsed anew; their releases and binaries go.
-    Returns parts, binaries and releases that stay, and counts."""
+    parts: DataFrame
+    binaries: DataFrame
+    releases: DataFrame
+    files: DataFrame
+    counts: DataFrame
+
+
+def fix_stub_collections(releases: DataFrame, parts: DataFrame, bins: DataFrame, files: DataFrame) -> Torn:
+    """Binaries of stub releases (P13) some of whose parts count files in brackets are torn down: their releases, release files (guid, ...)
+    and binaries go, and parts that name a collection get its key, number and count. All four tables follow from one stored list
+    of what goes, so they never disagree; repeated stubs and parts count once."""
     stubs = J.stub_releases(releases).select("binary_id").distinct()
-    linked = A.link_parts(parts)
-    hit = linked.join(stubs, "binary_id", "left_semi").filter(F.col("subject").rlike(r"[\[(]\d{1,6}\s*/\s*\d{1,6}[\])]"))
-    again = S.parse_subject(hit.select("part_id", "binary_id", "subject")).select("part_id", "binary_id", F.col("collection_key").alias("new_key"))
-    torn = again.select("binary_id").distinct()
-    fixed = parts.join(again.select("part_id", "new_key"), "part_id", "left").withColumn("collection_key", F.coalesce("new_key", "collection_key")).drop("new_key")
-    counts = stubs.agg(F.count("*").alias("stubs")).join(again.agg(F.count("*").alias("parts"))).join(releases.join(torn, "binary_id", "left_semi").agg(F.count("*").alias("releases")))
-    return fixed, bins.join(torn, "binary_id", "left_anti"), releases.join(torn, "binary_id", "left_anti"), counts
+    hit = A.link_parts(parts).join(stubs, "binary_id", "left_semi").filter(F.col("subject").rlike(r"\[(?s:.*)/(?s:.*)\]"))
+    hit = tables.stored(hit.select("part_id", "binary_id", "subject"), "torn")
+    again = tables.stored(recollected(hit).distinct(), "recollected")
+    torn = hit.select("binary_id").distinct()
+    met = parts.join(again, "part_id", "left")
+    new = {"collection_key": "new_key", "file_number": "new_file", "collection_files": "new_total"}
+    fixed = met.select(*[F.coalesce(new[c], c).cast(parts.schema[c].dataType).alias(c) if c in new else F.col(c) for c in parts.columns])
+    gone = releases.join(torn, "binary_id", "left_semi")
+    counts = stubs.agg(F.count("*").alias("stubs")).join(again.agg(F.count("*").alias("parts"))).join(torn.agg(F.count("*").alias("binaries"))).join(gone.agg(F.count("*").alias("releases")))  # of a row each
+    return Torn(fixed, bins.join(torn, "binary_id", "left_anti"), releases.join(torn, "binary_id", "left_anti"), files.join(gone.select("guid"), "guid", "left_anti"), counts)
 
 
 # Jobs, listings, reports.
@@ -216,11 +223,20 @@ def cleanup_jobs(jobs: DataFrame, cutoff: Column) -> DataFrame:
     return jobs.filter(~(F.col("state").isin(*ENDED) & (F.coalesce("finished_at", "created_at") < cutoff)))
 
 
-def enrich_pass(releases: DataFrame, metadata: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Metadata with a row for each release looked up, misses too, and counts."""
-    found = J.enrich_lookup(releases.join(metadata.select("guid"), "guid", "left_anti"), providers)
-    counts = found.agg(F.count("*").alias("processed"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("misses"))
-    return J.upsert_metadata(metadata, found.select("guid", "external_id")), counts
+class Enriched(NamedTuple):
+    metadata: DataFrame
+    identifiers: DataFrame
+    counts: DataFrame
+
+
+def enrich_pass(releases: DataFrame, metadata: DataFrame, identifiers: DataFrame, providers: DataFrame) -> Enriched:
+    """For releases that need metadata (J06) a row for each match and each miss, and the identifiers of matches, normalised
+    (T21; others are left out). Where a provider failed and none matched, nothing is stored, so a later pass looks again."""
+    found = tables.stored(J.enrich_lookup(Q.needs_metadata(releases, metadata), providers), "looked_up")
+    counts = found.agg(F.count("*").alias("processed"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched") & ~F.col("failed")).alias("misses"), F.count_if("failed").alias("errors"))
+    rows = found.filter("NOT failed").select("guid", *[c for c in metadata.columns if c != "guid"])
+    new = found.select("guid", F.explode("identifiers").alias("i")).select("guid", N.normalize_identifier(F.col("i.source"), F.col("i.identifier")).alias("i")).filter("i IS NOT NULL").select("guid", "i.source", "i.identifier")
+    return Enriched(J.upsert_metadata(metadata, rows), J.merged_identifiers(new, identifiers), counts)
 
 
 def unanswerable(text: Column, identifiers: Column, *params: Column) -> Column:
@@ -246,6 +262,14 @@ def group_page(groups: DataFrame, search: str = "", status: str = "", errors_onl
     return page(rows, [key, F.col("name")], limit, offset)
 
 
+def group_listing(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """Groups (group_id, server_high, last_scanned_high, ...) with lag behind the server and bytes of their stored parts, as
+    columns to sort a page by; a group without parts stores none."""
+    lag = F.greatest(F.coalesce(F.col("server_high") - F.col("last_scanned_high"), F.lit(0)), F.lit(0))
+    kept = parts.groupBy("group_id").agg(F.sum("bytes").alias("storage"))
+    return groups.withColumn("lag", lag).join(kept, "group_id", "left").withColumn("storage", F.coalesce("storage", F.lit(0)))
+
+
 def catalog_search(catalog: DataFrame, query: str, limit: int, offset: int = 0) -> DataFrame:
     """Names that contain the query, the largest first."""
     return page(catalog.filter(F.lower("name").contains(query.strip().lower())), [F.col("estimated_count").desc(), F.col("name")], limit, offset)
@@ -267,12 +291,17 @@ def pipeline_gauges(stats: DataFrame) -> DataFrame:
     return stats.select(F.when(status != "", "releases_by_status").otherwise(F.col("metric")).alias("gauge"), status.alias("label"), "value")
 
 
-def diagnostics_summary(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """For each source (rows id, at, failed) the number of failing items, the newest of them and a hint."""
+def diagnostics(sources: dict[str, tuple[DataFrame, str]], limit: int = 50) -> DataFrame:
+    """Of each source (rows id, at, message, failed and, if only some can be tried again, permanent) the newest ``limit`` failing items by
+    rank, with the number of all that fail and a hint if some of them aren't permanent. A source without any gives one row without an item."""
     out = None
     for name, (rows, hint) in sources.items():
-        bad = rows.filter("failed").agg(F.count("*").alias("failing"), F.max_by("id", F.struct("at", "id")).cast("string").alias("newest"))
-        one = bad.select(F.lit(name).alias("source"), "failing", "newest", F.when(F.col("failing") > 0, hint).otherwise("").alias("hint"))
+        final = F.coalesce("permanent", F.lit(False)) if "permanent" in rows.columns else F.lit(False)
+        bad = rows.filter("failed").select(F.col("id").cast("string").alias("id"), "at", F.coalesce("message", F.lit("")).alias("message"), final.alias("final"))
+        total = bad.agg(F.count("*").alias("failing"), F.count_if(~F.col("final")).alias("open"))
+        newest = bad.orderBy(F.desc_nulls_last("at"), F.desc("id")).limit(limit)  # the report's length
+        ranked = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("at"), F.desc("id"))))
+        one = total.join(ranked, F.lit(True), "left").select(F.lit(name).alias("source"), "failing", F.when(F.col("open") > 0, hint).otherwise("").alias("hint"), "rank", "id", "at", "message")
         out = one if out is None else out.unionByName(one)
     return out
 

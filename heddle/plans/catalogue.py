@@ -109,7 +109,7 @@ def manifests(s, d):
 
 
 add("S11_safe_filename", q("SELECT part_id, CASE WHEN subject = '' THEN 'release' ELSE translate(subject, '/\\:*?\"<>|' || chr(10) || chr(13) || chr(9), '____________') END AS filename FROM parts", "parts"))(lambda s, d: parts(s, d).select("part_id", N.safe_filename(F.col("subject")).alias("filename")))
-add("S12_feed_items", q("SELECT guid, name AS title, 'http://x/api?t=get&id=' || guid AS link, strftime(posted_at, '%a, %d %b %Y %H:%M:%S +0000') AS pub_date, CAST(category_id AS VARCHAR) AS category, CAST(size AS VARCHAR) AS size_attr FROM releases", "releases"))(lambda s, d: A.feed_items(releases(s, d), "http://x"))
+add("S12_feed_items", q("SELECT guid, name AS title, 'http://x/api?t=get&id=' || guid AS link, strftime(posted_at, '%a, %d %b %Y %H:%M:%S +0000') AS pub_date, CAST(category_id AS VARCHAR) AS category, CAST(size AS VARCHAR) AS size_attr FROM releases", "releases"))(lambda s, d: A.feed_items(releases(s, d), "http://x").select("guid", "title", "link", "pub_date", "category", "size_attr"))
 add("S13_category_tree", q("SELECT p.id, p.name, coalesce(string_agg(c.id || '=' || c.name, ',' ORDER BY c.id), '') AS subcats, count(r.category_id) > 0 AS used FROM (SELECT * FROM categories WHERE parent_id IS NULL) p LEFT JOIN categories c ON c.parent_id = p.id LEFT JOIN (SELECT DISTINCT category_id // 1000 * 1000 AS category_id FROM releases) r ON r.category_id = p.id GROUP BY p.id, p.name", "releases", "categories"))(
     lambda s, d: A.category_tree(V.categories(s)).select("id", "name", F.array_join(F.transform(F.coalesce("subcats", F.array().cast("array<struct<id:int,name:string>>")), lambda c: F.concat(c["id"].cast("string"), F.lit("="), c["name"])), ",").alias("subcats")).join(releases(s, d).select((F.floor(F.col("category_id") / 1000) * 1000).alias("id")).distinct().withColumn("u", F.lit(True)), "id", "left").select("id", "name", "subcats", F.coalesce("u", F.lit(False)).alias("used"))
 )
@@ -202,4 +202,4 @@ LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR+1' WHEN 'signup' THEN 'WARN' W
 add("T35_level_rank", "SELECT event_id, CASE event_type WHEN 'error' THEN 8 WHEN 'signup' THEN 4 WHEN 'view' THEN -4 ELSE 0 END AS rank FROM events")(lambda s, d: V.table(s, d, "events").select("event_id", N.level_rank(F.expr(LEVEL)).alias("rank")))
 
 
-from . import catalogue_jobs, catalogue_repair  # noqa: E402, F401  (they add their queries)
+from . import catalogue_jobs, catalogue_loops, catalogue_repair  # noqa: E402, F401  (they add their queries)

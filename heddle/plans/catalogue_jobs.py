@@ -31,7 +31,6 @@ ids = lambda name, where, needs=R: q(f"SELECT guid FROM releases WHERE {where}",
 
 add("P01_unassigned_single", q("SELECT part_id FROM parts WHERE collection_key = '' AND norm_subject <> '' AND total_parts > 0", "parts"))(lambda s, d: A.unassigned_single(parts(s, d)).select("part_id"))
 add("P02_unassigned_collection", q("SELECT part_id FROM parts WHERE collection_key <> ''", "parts"))(lambda s, d: A.unassigned_collection(parts(s, d)).select("part_id"))
-add("P03_ambiguous_parts", q("SELECT part_id, message_id FROM parts WHERE collection_key = '' AND total_parts = 0 ORDER BY posted_at DESC, part_id DESC LIMIT 200", "parts"))(lambda s, d: A.ambiguous_parts(parts(s, d), 200).select("part_id", "message_id"))
 add("P03_ambiguous_parts_all", q("SELECT part_id, message_id FROM parts WHERE collection_key = '' AND total_parts = 0", "parts"))(lambda s, d: A.ambiguous_parts(parts(s, d)).select("part_id", "message_id"))
 add("P04_releasable", q("SELECT binary_id FROM binaries WHERE complete AND total_parts > 0", "binaries"))(lambda s, d: A.releasable(bins(s, d)).select("binary_id"))
 add("P05_token_and_search", ids("", "contains(search_name, 'movie') AND contains(search_name, '2160')"))(lambda s, d: Q.token_and_search(releases(s, d), "2160 Movie").select("guid"))
@@ -53,7 +52,7 @@ add("J04_retention_candidates", q("SELECT part_id FROM linked WHERE posted_at <
 add("J06_needs_metadata", sq("SELECT guid FROM st WHERE category_id BETWEEN 5000 AND 5999 AND NOT obfuscated AND pp_status <> 'done'"))(lambda s, d: Q.needs_metadata(releases(s, d), states(s, d).filter("pp_status = 'done'")).select("guid"))
 add("J07_not_existing", q("SELECT part_id FROM parts WHERE group_id <> 3", "parts"))(lambda s, d: A.not_existing(parts(s, d), parts(s, d).filter("group_id = 3"), A.NATURAL).select("part_id"))
 add("J10_enrich_lookup", q("SELECT guid, title, CASE WHEN len(title) % 2 = 0 THEN 'a-' || title END AS external_id, len(title) % 2 = 0 AS matched FROM (SELECT guid, title FROM (SELECT guid, trim(trim(regexp_replace(lower(w[1 : least(CASE WHEN regexp_matches(w, '(?i)\\bs(\\d{1,2})\\s*e(\\d{1,3})\\b') THEN strpos(w, regexp_extract(w, '(?i)\\bs(\\d{1,2})\\s*e(\\d{1,3})\\b')) ELSE len(w) + 1 END, CASE WHEN regexp_matches(w, '\\b(19\\d{2}|20\\d{2})\\b') THEN len(regexp_extract(w, '^(.*?)\\b(19\\d{2}|20\\d{2})\\b', 1)) + 1 ELSE len(w) + 1 END) - 1]), '[\\t\\n\\f\\r ]+', ' ', 'g'), ' -–_.')) AS title FROM (SELECT guid, translate(name, '._', '  ') AS w FROM releases)))", "releases"))(
-    lambda s, d: J.enrich_lookup(releases(s, d), providers(s, d))
+    lambda s, d: J.enrich_lookup(releases(s, d), providers(s, d)).select("guid", "title", "external_id", "matched")
 )
 
 

@@ -65,29 +65,11 @@ add("U03_par2_filenames", "SELECT doc_id, source || '.' || doc_id || '.mkv,' ||
 )
 
 
-def resolved(s, d):
-    """Bodies of parity files that declare their release's name, of others none; every fifth isn't fetched."""
-    due = C.states(s, d).filter("pp_status = 'pending'")
-    own = segments(s, d).join(due.select("guid", "name"), "guid").withColumn("f", N.subject_filename(F.col("subject")))
-    packet = par2_packet(F.concat(F.lit("Real.Name."), F.substring("guid", 1, 4), F.lit(".mkv")))
-    body = F.when(F.col("bytes") % 5 > 0, F.when(N.looks_like(F.col("f"), ".par2"), yenc_encoded_binary(packet)).otherwise(F.lit(b"none")))
-    return P.postprocess_resolve(due, segments(s, d), own.select("message_id", body.alias("body")))
-
-
 @F.arrow_udf(Y.BinaryType())
 def yenc_encoded_binary(raw: pa.Array) -> pa.Array:
     return pa.array([None if x is None else b"=ybegin line=128 name=a\r\n" + b"".join(b"=" + bytes([(v + 106) % 256]) if (v + 42) % 256 in (0, 10, 13, 61) else bytes([(v + 42) % 256]) for v in x) + b"\r\n=yend" for x in raw.to_pylist()], pa.binary())
 
 
-PICKED = "SELECT *, row_number() OVER (PARTITION BY guid ORDER BY b, CASE WHEN b = 2 THEN bytes ELSE 0 END, number) AS k FROM (SELECT *, CASE WHEN ends_with(lower(trim(f)), '.par2') THEN 0 WHEN ends_with(lower(trim(f)), '.nfo') THEN 1 ELSE 2 END AS b FROM (SELECT s.*, CASE WHEN regexp_matches(subject, '\"[^\"]*\"') THEN regexp_extract(subject, '\"([^\"]*)\"', 1) ELSE trim(subject) END AS f FROM segments s JOIN st USING (guid) WHERE pp_status = 'pending'))"
-add("B05_postprocess_resolve", q(f"SELECT st.guid, CASE WHEN g.hit THEN 'Real.Name.' || substr(st.guid, 1, 4) || '.mkv' END AS new_name, coalesce(g.missed, true) AND NOT coalesce(g.hit, false) AS failed FROM st LEFT JOIN (SELECT guid, bool_or(b = 0 AND bytes % 5 > 0) AS hit, bool_or(bytes % 5 = 0) AS missed FROM ({PICKED}) WHERE k <= 4 GROUP BY guid) g USING (guid) WHERE pp_status = 'pending'", "segments", st=C.STATUS))(lambda s, d: resolved(s, d).select("guid", "new_name", "failed"))
-add("B06_apply_postprocess", C.sq(f"SELECT guid, CASE WHEN {H} % 2 = 0 AND {K} % 2 = 0 THEN 'Fixed Name 2024 2160p' ELSE name END AS name, CASE WHEN {H} % 2 = 0 THEN 'done' ELSE pp_status END AS pp_status, obfuscated AND NOT ({H} % 2 = 0 AND {K} % 2 = 0) AS obfuscated FROM st"))(
-    lambda s, d: J.apply_postprocess(C.states(s, d), C.states(s, d).filter(digits(1) % 2 == 0).select("guid", F.when(digits(5) % 2 == 0, "Fixed Name 2024 2160p").alias("new_name"), F.lit(True).alias("hit"))).select("guid", "name", "pp_status", "obfuscated")
-)
-add("B10_verify_parts", q("SELECT part_id, CASE WHEN part_id % 3 = 0 THEN 1 ELSE 0 END AS yenc_attempts, CASE WHEN part_id % 3 > 0 AND part_id % 4 <= 1 THEN 1 ELSE total_parts END AS total_parts, CASE WHEN part_id % 3 > 0 AND part_id % 4 > 1 THEN 'yenc:file ' || poster || '/' || part_id % 4 ELSE collection_key END AS collection_key FROM parts WHERE collection_key = '' AND total_parts = 0", "parts"))(
-    lambda s, d: J.verify_parts(A.ambiguous_parts(parts(s, d)), A.ambiguous_parts(parts(s, d)).select("part_id", (F.col("part_id") % 3 > 0).alias("ok"), (F.col("part_id") % 4).alias("total"), F.concat(F.lit("file "), "poster").alias("file"))).select("part_id", "yenc_attempts", F.col("total_parts").cast("int").alias("total_parts"), "collection_key")
-)
-
 # Segments.
 add("W04_segment_numbering", q("SELECT guid, message_id, number FROM segments", "segments"))(lambda s, d: P.number_segments(segments(s, d).withColumn("number", 99 - F.col("number"))).select("guid", "message_id", F.col("number").cast("long").alias("number")))
 add("B03_snapshot_segments", q("SELECT r.guid, count(number) AS n, coalesce(string_agg(message_id, ',' ORDER BY number), '') AS ids FROM releases r LEFT JOIN segments s ON s.guid = r.guid GROUP BY r.guid", "segments"))(
@@ -120,20 +102,6 @@ DUE = f"SELECT * FROM st WHERE {K} % 2 = 0 AND pp_status = 'done' AND {K9} % 4 <
 add("J09_repair_candidates", q(f"SELECT r.guid, r.binary_id, p.part_id, s.message_id FROM ({DUE}) r JOIN segments s ON s.guid = r.guid AND s.number = 1 JOIN linked p ON p.binary_id = r.binary_id", "segments", st=C.STATUS))(lambda s, d: P.repair_candidates(stubs(s, d), segments(s, d), parts(s, d)))
 
 
-def repaired(s, d):
-    found = P.repair_candidates(stubs(s, d), segments(s, d), parts(s, d)).join(releases(s, d).select("guid", "release_hash"), "guid")
-    results = found.select("guid", "binary_id", "part_id", (digits(13) % 3 > 0).alias("ok"), (digits(17) % 3).alias("total"), F.lit(1).alias("part"), F.lit("f").alias("file"))
-    r, b, p = P.repair_releases(stubs(s, d), bins(s, d), parts(s, d), results)
-    return r.select(F.lit("release").alias("kind"), F.col("guid").alias("id"), F.col("verified").cast("string").alias("value")).unionByName(b.select(F.lit("binary").alias("kind"), F.col("binary_id").alias("id"), F.lit("").alias("value"))).unionByName(p.select(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("id"), F.col("collection_key").alias("value")))
-
-
-OK, TOTAL = "CAST('0x' || substr(release_hash, 13, 4) AS INT) % 3 > 0", "CAST('0x' || substr(release_hash, 17, 4) AS INT) % 3"
-HAS = "guid IN (SELECT guid FROM segments)"
-PIECE = f"SELECT guid, binary_id FROM ({DUE}) WHERE {HAS} AND {OK} AND {TOTAL} > 1"
-add("B11_repair_releases", q(f"SELECT 'release' AS kind, guid AS id, CASE WHEN {K9} % 4 = 0 OR ({K} % 2 = 0 AND pp_status = 'done' AND {HAS} AND {OK} AND {TOTAL} <= 1) THEN 'true' ELSE 'false' END AS value FROM st WHERE guid NOT IN (SELECT guid FROM ({PIECE})) UNION ALL SELECT 'binary', binary_id, '' FROM binaries WHERE binary_id NOT IN (SELECT binary_id FROM ({PIECE})) UNION ALL SELECT 'part', CAST(part_id AS VARCHAR), CASE WHEN coalesce(binary_id, '') IN (SELECT binary_id FROM ({PIECE})) THEN 'yenc:f/2' ELSE collection_key END FROM linked", "segments", st=C.STATUS))(repaired)
-STUB = "SELECT binary_id FROM st WHERE size < 5000000 AND total_parts <= 3 AND pp_status = 'done' AND regexp_matches(name, '^[A-Za-z0-9.]{15,}$')"
-REKEYED = rf"SELECT part_id, binary_id FROM linked WHERE binary_id IN ({STUB}) AND regexp_matches(subject, '[\[(]\d{{1,6}}\s*/\s*\d{{1,6}}[\])]')"
-add("B18_fix_stub_collections", q(f"SELECT (SELECT count(DISTINCT binary_id) FROM ({STUB})) AS stubs, (SELECT count(*) FROM ({REKEYED})) AS parts, (SELECT count(*) FROM st WHERE binary_id IN (SELECT binary_id FROM ({REKEYED}))) AS releases", "linked", st=C.STATUS))(lambda s, d: P.fix_stub_collections(C.states(s, d), parts(s, d), bins(s, d))[3])
 add("B19_delete_group_cascade_all", q("SELECT 'part' AS kind, CAST(part_id AS VARCHAR) AS id FROM parts WHERE group_id <> 3 UNION ALL SELECT 'binary', binary_id FROM binaries WHERE group_id <> 3 UNION ALL SELECT 'release', guid FROM releases", "releases"))(
     lambda s, d: J.delete_group_cascade(parts(s, d), 3).select(F.lit("part").alias("kind"), F.col("part_id").cast("string").alias("id")).unionByName(J.delete_group_cascade(bins(s, d), 3).select(F.lit("binary").alias("kind"), F.col("binary_id").alias("id"))).unionByName(J.delete_group_cascade(releases(s, d), 3, keep=True).select(F.lit("release").alias("kind"), F.col("guid").alias("id")))
 )
@@ -152,7 +120,6 @@ add("B15_requeue_jobs", f"SELECT event_id AS id, {AFTER} AS state, CASE WHEN eve
 add("B16_upsert_metadata", C.ids("", "true").replace("SELECT guid FROM", "SELECT guid, CASE WHEN group_id % 2 = 0 THEN 'new' ELSE 'old' END AS external_id FROM").replace("WHERE true", "WHERE group_id % 3 = 0 OR group_id % 2 = 0"))(
     lambda s, d: J.upsert_metadata(releases(s, d).filter("group_id % 3 = 0").select("guid", F.lit("old").alias("external_id")), releases(s, d).filter("group_id % 2 = 0").select("guid", F.lit("new").alias("external_id")))
 )
-add("B17_enrich_pass", f"SELECT count(*) AS processed, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS misses FROM ({SQL['J10_enrich_lookup']}) WHERE guid >= '4'")(lambda s, d: P.enrich_pass(releases(s, d), releases(s, d).filter("guid < '4'").select("guid", F.lit("x").alias("external_id")), C.providers(s, d))[1])
 add("U04_lookup_provider", f"SELECT DISTINCT title, external_id FROM ({SQL['J10_enrich_lookup']})")(lambda s, d: J.enrich_lookup(releases(s, d), C.providers(s, d)).select("title", "external_id").distinct())
 add("P09_unanswerable_id_query", "SELECT event_id, event_id % 3 = 0 AND event_id % 4 = 2 AS unanswerable FROM events")(
     lambda s, d: V.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).otherwise(" ").alias("t"), F.expr("CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'tt0000123' WHEN 2 THEN 'bogus' END").alias("p")).select("event_id", P.unanswerable(F.col("t"), F.array(F.when(F.col("p").rlike(r"^tt\d+$"), F.col("p"))), F.col("p")).alias("unanswerable"))
@@ -169,9 +136,6 @@ add("SET2_first_seen", q("SELECT binary_id, array_to_string(list_transform(list_
 add("SET3_difference", q("SELECT part_id FROM parts WHERE posted_at >= TIMESTAMP '1995-01-01'", "parts"))(lambda s, d: A.not_existing(parts(s, d), parts(s, d).filter(F.col("posted_at") < ntz("1995-01-01 00:00:00")), ["part_id"]).select("part_id"))
 add("A06_group_release_stats", C.sq("SELECT 'alt.group' || group_id AS group_name, count(*) AS total, count(*) FILTER (pp_status = 'pending') AS pending FROM st GROUP BY group_id"))(lambda s, d: J.group_release_stats(C.states(s, d), V.headers(s, d).select("group_id").distinct().withColumn("group_name", F.concat(F.lit("alt.group"), F.col("group_id").cast("string")))).orderBy(F.desc("total"), "group_name"))
 add("A19_pipeline_gauges", f"SELECT CASE WHEN starts_with(metric, 'releases_') THEN 'releases_by_status' ELSE metric END AS gauge, regexp_extract(metric, '^releases_(.*)$', 1) AS label, value FROM ({SQL['A05_pipeline_stats']})")(lambda s, d: P.pipeline_gauges(C.QUERIES["A05_pipeline_stats"](s, d)))
-add("A15_diagnostics_summary", q(f"SELECT 'groups' AS source, count(*) AS failing, CAST(arg_max(group_id, (last_success_at, group_id)) AS VARCHAR) AS newest, CASE WHEN count(*) > 0 THEN 'check the server' ELSE '' END AS hint FROM ({C.GROUPS}) WHERE consecutive_failures > 0 UNION ALL SELECT 'releases', count(*), arg_max(guid, (posted_at, guid)), CASE WHEN count(*) > 0 THEN 'requeue' ELSE '' END FROM st WHERE pp_status = 'failed' UNION ALL SELECT 'jobs', count(*), CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR), CASE WHEN count(*) > 0 THEN 'see the log' ELSE '' END FROM events WHERE event_id % 5 = 3", "releases", "passes", st=C.STATUS))(
-    lambda s, d: P.diagnostics_summary({"groups": (groups(s, d).select("group_id", F.col("last_success_at").alias("at"), (F.col("consecutive_failures") > 0).alias("failed")).withColumnRenamed("group_id", "id").withColumn("id", F.col("id")), "check the server"), "releases": (C.states(s, d).select(F.col("guid").alias("id"), F.col("posted_at").alias("at"), (F.col("pp_status") == "failed").alias("failed")), "requeue"), "jobs": (jobs(s, d).select("id", F.col("created_at").alias("at"), (F.col("state") == "failed").alias("failed")), "see the log")})
-)
 add("B22_admin_overview", f"SELECT 'stats' AS section, metric AS name, CAST(value AS VARCHAR) AS value FROM ({SQL['A05_pipeline_stats']}) UNION ALL SELECT 'groups', name, CAST(consecutive_failures AS VARCHAR) FROM ({SQL['W08_group_page']}) UNION ALL SELECT 'errors', guid, name FROM ({SQL['W10_recent_errors']})")(
     lambda s, d: P.admin_overview(stats=C.QUERIES["A05_pipeline_stats"](s, d), groups=C.QUERIES["W08_group_page"](s, d), errors=C.QUERIES["W10_recent_errors"](s, d))
 )
