@@ -1,17 +1,15 @@
 """Folds of logs: group state, retries, windows, circuits (A10-A13, A07, ST08-ST14, B08, B20-B21).
 
-No key's history is gathered: folds that maxima and counts can express are aggregates, the others
-stream each key's sorted rows with a state of fixed size.
+No key's history is gathered or folded in one task: folds that maxima and counts can express are aggregates, windows that
+start one after the other are chains whose links are doubled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources import tables
 
 
 def throughput_ema(passes: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -89,27 +87,6 @@ def pp_backoff_seconds(attempts: Column) -> Column:
     return F.least(F.lit(300) * F.pow(F.lit(2), F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(20))), F.lit(21600)).cast("long")
 
 
-def streamed(log: DataFrame, key: str, start: Callable[[], Callable[[int | None], tuple]], fields: list[T.StructField]) -> DataFrame:
-    """(key, event_id, *fields) of a log of (key, ts, event_id). Rows are sorted by key and time; each
-    key gets a ``start()``, which is called with the microseconds of one row after the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, step = None, None
-        for b in batches:
-            out = []
-            for k, micros in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if step is None or k != last:
-                    last, step = k, start()
-                out.append(step(micros))
-            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], names=[key, "event_id", *[f.name for f in fields]])
-
-    kinds = [{T.BooleanType(): pa.bool_(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}[f.dataType] for f in fields]
-    schema = T.StructType([T.StructField(key, log.schema[key].dataType), T.StructField("event_id", log.schema["event_id"].dataType), *fields])
-    rows = log.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id")
-    return rows.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).mapInArrow(run, schema)
-
-
 def retry_state(log: DataFrame) -> DataFrame:
     """ST08: attempts, next retry and permanence after a log of (key, ts, event_id, failed); success resets.
     Only the failures since the last success count, and the last of them."""
@@ -122,41 +99,81 @@ def retry_state(log: DataFrame) -> DataFrame:
     return good.join(fails, F.col("of").eqNullSafe(F.col("failing")), "left").select(F.col("of").alias("key"), n.alias("attempts"), retry.alias("next_retry"), (n >= 3).alias("permanent"))
 
 
-def dedup_window(log: DataFrame, seconds: int = 300) -> DataFrame:
-    """ST09: notifications (id, ts, event_id), each accepted unless its id was accepted in the last ``seconds``, their end included."""
-
-    def start() -> Callable[[int | None], tuple]:
-        last = None
-
-        def step(t: int | None) -> tuple:
-            nonlocal last
-            ok = last is None or t is None or t - last > seconds * 1_000_000
-            last = t if ok else last
-            return (ok,)
+def _written(log: DataFrame, key: str) -> DataFrame:
+    """key, ts, event_id and the row's own number, written once: rows are named by it and read several times."""
+    return tables.stored(log.select(F.col(key).alias("key"), "ts", "event_id").withColumn("row", F.monotonically_increasing_id()), "log")
+
+
+def window_starts(log: DataFrame, seconds: int) -> DataFrame:
+    """(key, start): for each key its first event, and after each start the first event more than ``seconds`` later, in microseconds.
+
+    A key's starts are a chain through its events: each has one successor. Links are doubled (2, 4, 8, ... steps) until none is left, and
+    the chain is then collected from the longest links down, so a key of any number of events takes as many rounds as its chain has binary
+    digits, each an equi-join on key and time that spreads over all tasks. Successors are looked for within slots of time as long as
+    the window: behind an event's window the rest of that slot, or else the first event of the key's next slot that has any."""
+    wide = max(seconds, 0) * 1_000_000 + 1  # in whole microseconds "more than" is "at least one more"
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    nodes = tables.stored(log.filter("ts IS NOT NULL").select("key", at.alias("t")).distinct(), "nodes")
+    slot = lambda t: F.floor(t / wide).cast("long")
+    slots = nodes.groupBy("key", slot(F.col("t")).alias("slot")).agg(F.min("t").alias("first"))
+    in_order = Window.partitionBy("key").orderBy("slot")  # a row for each slot with events
+    slots = slots.select(F.col("key").alias("k"), F.col("slot").alias("s"), F.lead("first").over(in_order).alias("next"), F.lead("first", 2).over(in_order).alias("after"))
+    asks = nodes.select("key", (F.col("t") + wide).alias("due"), "t", F.lit(1).alias("asking"))
+    both = asks.unionByName(nodes.select("key", F.col("t").alias("due"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("asking"))).withColumn("slot", slot(F.col("due")))
+    # Behind a question the nearest event of the same slot: the last one seen when the slot is read backwards.
+    back = Window.partitionBy("key", "slot").orderBy(F.desc("due"), "asking").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("near", F.last(F.when(F.col("asking") == 0, F.col("due")), ignorenulls=True).over(back)).filter("asking = 1")
+    # Without one the first event of the next slot that has any: the slot in question may have only earlier ones.
+    far = near.filter("near IS NULL").join(slots, F.col("key").eqNullSafe(F.col("k")) & (F.col("slot") - 1 == F.col("s")))
+    far = far.select("key", "t", F.when(slot(F.col("next")) > F.col("slot"), F.col("next")).otherwise(F.col("after")).alias("to")).filter("to IS NOT NULL")
+    links = near.filter("near IS NOT NULL").select("key", "t", F.col("near").alias("to")).unionByName(far)
+    doubled = [tables.stored(links, "links")]
+    while doubled[-1].limit(1).count():
+        one, two = doubled[-1], doubled[-1].select(F.col("key").alias("k"), F.col("t").alias("via"), F.col("to").alias("end"))
+        doubled.append(tables.stored(one.join(two, F.col("key").eqNullSafe(F.col("k")) & (F.col("to") == F.col("via"))).select("key", "t", F.col("end").alias("to")), "links"))
+    found = nodes.groupBy("key").agg(F.min("t").alias("start"))
+    for jump in reversed(doubled[:-1]):
+        more = found.join(jump.select(F.col("key").alias("k"), "t", "to"), F.col("key").eqNullSafe(F.col("k")) & (F.col("start") == F.col("t"))).select("key", F.col("to").alias("start"))
+        found = tables.stored(found.unionByName(more), "starts")
+    return found
 
-        return step
 
-    return streamed(log, "id", start, [T.StructField("accepted", T.BooleanType())])
+def dedup_window(log: DataFrame, seconds: int = 300) -> DataFrame:
+    """ST09: notifications (id, ts, event_id), each accepted unless its id was accepted in the last ``seconds``, their end included. Of
+    several at one time the one with the least event_id is first; without a time each is accepted and doesn't count. A null id is one too."""
+    rows = _written(log, "id")
+    starts = window_starts(rows, seconds)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = rows.filter("ts IS NOT NULL").groupBy(F.col("key").alias("k"), t.alias("start")).agg(F.min(F.struct("event_id", "row"))["row"].alias("row"))
+    taken = first.join(starts, F.col("k").eqNullSafe(F.col("key")) & (first["start"] == starts["start"]), "left_semi").select("row", F.lit(True).alias("hit"))
+    return rows.join(taken, "row", "left").select(F.col("key").alias("id"), "event_id", (F.coalesce("hit", F.lit(False)) | F.col("ts").isNull()).alias("accepted"))
 
 
 def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
     """ST10: requests (key, ts, event_id): a window starts with a key's first request after the last one's
-    reset; the first ``limit`` of each are allowed. No limit (0 or less): all are, -1 remain, no reset."""
-
-    def start() -> Callable[[int | None], tuple]:
-        first, n = None, 0
-
-        def step(t: int | None) -> tuple:
-            nonlocal first, n
-            if limit <= 0:
-                return True, -1, None
-            first, n = (t, 1) if first is None or t is None or t - first > seconds * 1_000_000 else (first, n + 1)
-            return n <= limit, max(limit - n, 0), None if first is None else first + seconds * 1_000_000
-
-        return step
-
-    out = streamed(log, "key", start, [T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType()), T.StructField("reset", T.LongType())])
-    return out.withColumn("reset", F.timestamp_micros("reset").cast("timestamp_ntz"))
+    reset; the first ``limit`` of each are allowed, by time and event_id. No limit (0 or less): all are, -1 remain, no reset. A request
+    without a time is a window by itself, without a reset.
+
+    Only the first ``limit`` of a window are ranked, which Spark prunes before it moves rows; the others are told by the last of these."""
+    if limit <= 0:
+        return log.select("key", "event_id", F.lit(True).alias("allowed"), F.lit(-1).alias("remaining"), F.lit(None).cast("timestamp_ntz").alias("reset"))
+    rows, wide = _written(log, "key"), seconds * 1_000_000
+    starts = window_starts(rows, seconds)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    slot = lambda c: F.floor(c / (wide + 1)).cast("long")
+    # A window ends in the slot in which it starts or in the next, and no two of a key overlap.
+    cover = starts.select(F.col("key").alias("k"), "start", F.explode(F.array(slot(F.col("start")), slot(F.col("start")) + 1)).alias("s"))
+    timed = rows.filter("ts IS NOT NULL").withColumn("t", t)
+    met = timed.join(cover, F.col("key").eqNullSafe(F.col("k")) & (slot(F.col("t")) == F.col("s")) & F.col("t").between(F.col("start"), F.col("start") + wide)).select("key", "event_id", "row", "t", "start")
+    met = tables.stored(met, "windows")
+    order = Window.partitionBy("key", "start").orderBy("t", "event_id", "row")
+    early = tables.stored(met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit), "early")
+    last = early.filter(F.col("n") == limit).select(F.col("key").alias("k"), F.col("start").alias("b"), F.struct("t", "event_id", "row").alias("last"))
+    late = met.join(last, F.col("key").eqNullSafe(F.col("k")) & (F.col("start") == F.col("b"))).filter(F.struct("t", "event_id", "row") > F.col("last"))
+    reset = F.timestamp_micros(F.col("start") + wide).cast("timestamp_ntz").alias("reset")
+    out = early.select("key", "event_id", F.lit(True).alias("allowed"), (F.lit(limit) - F.col("n")).cast("int").alias("remaining"), reset)
+    out = out.unionByName(late.select("key", "event_id", F.lit(False).alias("allowed"), F.lit(0).alias("remaining"), reset))
+    return out.unionByName(rows.filter("ts IS NULL").select("key", "event_id", F.lit(True).alias("allowed"), F.lit(limit - 1).alias("remaining"), F.lit(None).cast("timestamp_ntz").alias("reset")))
 
 
 def backlog_cadence(passes: DataFrame, least: int, configured: int) -> DataFrame:

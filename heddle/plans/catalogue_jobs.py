@@ -10,7 +10,7 @@ from ..operators import jobs as J
 from ..operators import search as Q
 from ..operators import state as T
 from ..sources import views as V
-from ..sources.tables import scratch
+from ..sources.tables import once, scratch
 from ..streaming import ingest as I
 from .catalogue import BIN, QUERIES, REL, ROUTES, add, bins, ntz, parts, pick, releases, segments
 from .sql import query as q
@@ -125,8 +125,15 @@ add("ST07_age_out_stale", q("SELECT binary_id FROM binaries WHERE complete OR up
 add("ST07_age_out_stale_parts", q("SELECT part_id FROM linked WHERE coalesce(binary_id, '') NOT IN (SELECT binary_id FROM binaries WHERE NOT (complete OR updated_at >= TIMESTAMP '1998-01-01'))", "linked"))(lambda s, d: A.age_out_parts(parts(s, d), bins(s, d), ntz("1998-01-01 00:00:00")).select("part_id"))
 LOG = "SELECT user_id AS key, ts, event_id, event_type = 'error' AS failed FROM events"
 add("ST08_retry_state", f"SELECT key, CAST(n AS INT) AS attempts, CASE WHEN n BETWEEN 1 AND 2 THEN t + to_seconds(300 * CAST(power(2, n - 1) AS BIGINT)) END AS next_retry, n >= 3 AS permanent FROM (SELECT key, count(*) FILTER (failed AND (good IS NULL OR (ts, event_id) > good)) AS n, date_trunc('second', max(ts) FILTER (failed)) AS t FROM (SELECT *, max((ts, event_id)) FILTER (NOT failed) OVER (PARTITION BY key) AS good FROM ({LOG})) GROUP BY key)")(lambda s, d: T.retry_state(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))))
-add("ST09_dedup_window")(lambda s, d: T.dedup_window(V.table(s, d, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("id"), "ts", "event_id")))
-add("ST10_rate_limit")(lambda s, d: T.rate_limit(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 86400, 2))
+def chain(key, seconds):
+    """Rows of the log with microseconds, and each key's window starts."""
+    log = f"SELECT {key} AS key, ts, event_id, epoch_us(ts) AS t FROM events"
+    return f"WITH RECURSIVE log AS ({log}), starts AS (SELECT key, min(t) AS t FROM log GROUP BY key UNION ALL SELECT l.key, min(l.t) FROM starts a JOIN log l ON l.key = a.key AND l.t > a.t + {seconds * 1_000_000} GROUP BY l.key)"
+
+
+add("ST09_dedup_window", chain("event_type || '-' || user_id", 300) + " SELECT l.key AS id, event_id, s.t IS NOT NULL AND row_number() OVER (PARTITION BY l.key, l.t ORDER BY event_id) = 1 AS accepted FROM log l LEFT JOIN starts s ON s.key = l.key AND s.t = l.t")(lambda s, d: T.dedup_window(V.table(s, d, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("id"), "ts", "event_id")))
+add("ST10_rate_limit", chain("user_id", 86400) + " SELECT key, event_id, n <= 2 AS allowed, CAST(greatest(2 - n, 0) AS INT) AS remaining, make_timestamp(s + 86400000000) AS reset FROM (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY t, event_id) AS n FROM (SELECT l.key, l.t, event_id, max(s.t) AS s FROM log l JOIN starts s ON s.key = l.key AND s.t <= l.t GROUP BY ALL))")(lambda s, d: T.rate_limit(V.table(s, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id"), 86400, 2))
+add("ST10_rate_limit_all", chain("event_type", 3600) + " SELECT key, event_id, n <= 3 AS allowed, CAST(greatest(3 - n, 0) AS INT) AS remaining, make_timestamp(s + 3600000000) AS reset FROM (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY t, event_id) AS n FROM (SELECT l.key, l.t, event_id, max(s.t) AS s FROM log l JOIN starts s ON s.key = l.key AND s.t <= l.t GROUP BY ALL))")(lambda s, d: T.rate_limit(V.table(s, d, "events").select(F.col("event_type").alias("key"), "ts", "event_id"), 3600, 3))
 add("ST14_backlog_cadence", q("SELECT event_id, CAST(CASE WHEN articles > 0 THEN 5 ELSE 60 END AS INT) AS interval FROM passes", "passes"))(lambda s, d: T.backlog_cadence(V.passes(s, d), 5, 60))
 
 
@@ -138,6 +145,18 @@ def written(df, name):
 
 add("ST04_stream_ingest_dedup", q("SELECT group_id, article_number FROM parts", "parts"))(lambda s, d: I.stream_ingest(written(V.headers(s, d).repartition(16), "feed"), V.headers(s, d)).select("group_id", "article_number"))
 add("ST05_stream_assemble", q("SELECT binary_id, collected_parts, CAST(total_parts AS INT) AS total_parts, total_bytes, posted_at, complete FROM binaries", "binaries"))(lambda s, d: I.stream_assemble(written(parts(s, d).repartition(16), "feed"), parts(s, d)).select("binary_id", "collected_parts", F.col("total_parts").cast("int").alias("total_parts"), "total_bytes", "posted_at", "complete"))
+QUIET, STALE = "30 days 1 second", "400 days 1 second"
+
+
+def idle(s, d):
+    """One batch, so that its files' order doesn't matter; the stream's time is the newest article's, less the quiet time."""
+    done = bins(s, d).filter("binary_id < '4'")
+    return once(s, d, "idle", lambda: I.stream_idle(written(parts(s, d).repartition(4), "feed"), parts(s, d), done, QUIET, STALE, files=1000))
+
+
+SESSIONS = "SELECT binary_id, max(posted_at) AS idle_since, count(*) AS parts, count(DISTINCT file_number) AS files, max(CASE WHEN collection_key <> '' THEN collection_files ELSE total_parts END) AS total, bool_and(collection_key = '') AS single FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY binary_id ORDER BY posted_at, part_id) AS session FROM (SELECT *, coalesce(posted_at - lag(posted_at) OVER (PARTITION BY binary_id ORDER BY posted_at, part_id) >= {gap}, true) AS fresh FROM linked WHERE binary_id IS NOT NULL)) GROUP BY binary_id, session HAVING max(posted_at) + {gap} <= (SELECT max(posted_at) FROM linked WHERE binary_id IS NOT NULL) - INTERVAL '30 days 1 second'"
+add("ST06_stream_settle", q(f"SELECT binary_id, idle_since, parts, files FROM ({SESSIONS.format(gap="INTERVAL '30 days 1 second'")}) WHERE NOT single AND total = 0", "linked"))(lambda s, d: idle(s, d).filter("event = 'settled'").drop("event"))
+add("ST07_stream_age_out", q(f"SELECT binary_id, idle_since, parts, files FROM ({SESSIONS.format(gap="INTERVAL '400 days 1 second'")}) WHERE NOT CASE WHEN single THEN total = 0 OR parts >= total ELSE total > 0 AND files >= total END AND binary_id >= '4'", "linked"))(lambda s, d: idle(s, d).filter("event = 'aged_out'").drop("event"))
 add("B02_mark_released", q("SELECT binary_id, complete AND total_parts > 0 AS released FROM binaries", "binaries"))(lambda s, d: bins(s, d).join(A.releasable(bins(s, d)).select("binary_id", F.lit(True).alias("r")), "binary_id", "left").select("binary_id", F.coalesce("r", F.lit(False)).alias("released")))
 add("W03_distinct_on", q("SELECT group_id, poster, min(part_id) AS part_id FROM parts GROUP BY ALL", "parts"))(lambda s, d: A.distinct_on(parts(s, d).select("group_id", "poster", "part_id"), ["group_id", "poster"], "part_id"))
 

@@ -68,3 +68,28 @@ def test_health_by_the_exact_age(spark):
     df = spark.createDataFrame(rows, "group_id long, active boolean, server_high long, last_scanned_high long, consecutive_failures long, last_success_at timestamp_ntz")
     got = {r.group_id: (r.level, r.reasons) for r in S.classify_group_health(df, S.F.lit(now.isoformat(" ")).cast("timestamp")).collect()}
     assert got == {1: ("warn", "no success in 24h0m0s"), 2: ("error", "no success in 24h0m0s"), 3: ("ok", ""), 4: ("error", "5 consecutive failures"), 5: ("unknown", "never scanned successfully"), 6: ("unknown", "group inactive")}
+
+
+def test_a_hot_key_spreads_and_null_times_and_repeats_count(spark):
+    """Two thirds of the events are of one key, many at the same moment, some rows repeat."""
+    draw = random.Random(4)
+    rows = [("hot" if draw.random() < 0.7 else draw.choice(["a", None, "b"]), None if draw.random() < 0.02 else START + dt.timedelta(seconds=draw.choice([draw.randrange(4000), draw.randrange(400_000)])), draw.randrange(2000)) for _ in range(3000)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id long").repartition(4)
+    want, taken = [], []
+    for key in {r[0] for r in rows}:
+        first = last = None
+        n = 0
+        for _, ts, e in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or START, r[2])):
+            if ts is None:
+                want.append((key, e, True, 1, None))
+                taken.append((key, e, True))
+                continue
+            first, n = (ts, 1) if first is None or ts - first > dt.timedelta(seconds=500) else (first, n + 1)
+            want.append((key, e, n <= 2, max(2 - n, 0), first + dt.timedelta(seconds=500)))
+            ok = last is None or ts - last > dt.timedelta(seconds=500)
+            last = ts if ok else last
+            taken.append((key, e, ok))
+    assert sorted(map(str, map(tuple, S.rate_limit(df, 500, 2).collect()))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, S.dedup_window(df.withColumnRenamed("key", "id"), 500).collect()))) == sorted(map(str, taken))
+    assert S.dedup_window(df.withColumnRenamed("key", "id").filter("false")).count() == 0 == S.rate_limit(df.filter("false"), 5, 1).count()
