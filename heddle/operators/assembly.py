@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import subjects as S
+from ..sources.layout import bucketed
 
 NATURAL = ["group_id", "article_number"]
 
@@ -107,7 +108,10 @@ def binaries(parts: DataFrame) -> DataFrame:
 
 
 def link_parts(parts: DataFrame) -> DataFrame:
-    """Parts with their binary's id, which follows from the key, so nothing is joined."""
+    """Parts with their binary's id, which follows from the key, so nothing is joined. Parts of a layout that keeps the
+    id (linked_layout) are taken as they are."""
+    if "binary_id" in parts.columns:
+        return parts
     ident = F.when(F.col("collection_key") != "", binary_id("c", "collection_key")).when((F.col("norm_subject") != "") & (F.col("total_parts") > 0), binary_id("s", "norm_subject"))
     return parts.withColumn("binary_id", ident)
 
@@ -207,10 +211,18 @@ def release_segments(parts: DataFrame, releases: DataFrame) -> DataFrame:
     """Each release's segments, numbered from 1 in order of part and article number."""
     p = link_parts(parts).filter("binary_id IS NOT NULL AND message_id <> ''").select("binary_id", F.struct("part_number", "article_number", "message_id", "bytes", "subject").alias("s"))
     joined = p.join(releases.select("guid", "binary_id"), "binary_id")
-    order = Window.partitionBy("guid").orderBy("s.part_number", "s.article_number")
+    order = Window.partitionBy("binary_id", "guid").orderBy("s.part_number", "s.article_number")  # as the join has dealt them
     return joined.select("guid", F.row_number().over(order).alias("number"), "s.part_number", "s.article_number", "s.message_id", "s.bytes", "s.subject")
 
 
+def linked_layout(parts: DataFrame, bins: DataFrame, releases: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts, binaries and releases in buckets of binary_id, for J02, J04, J08, B13 and B23, which then move no parts. Jobs that change
+    a part's key must drop its binary_id, as it follows from the key. A binary has as many parts as its release has articles, so no
+    bucket is hot; parts without a binary, which may be many, are dealt by their own id."""
+    linked = link_parts(parts).withColumn("binary_id", F.coalesce("binary_id", F.concat(F.lit("-"), F.col("part_id").cast("string"))))
+    return bucketed(linked, "parts", "binary_id", buckets, ("part_id",)), bucketed(bins, "binaries", "binary_id", buckets), bucketed(releases, "releases", "binary_id", buckets)
+
+
 def segments_array(segments: DataFrame) -> DataFrame:
     """The ordered list of each release, as array and as JSON. A release's list is one value by
     its definition."""

@@ -117,7 +117,7 @@ def trace(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> DataFrame:
     """The first stage at which an article stops."""
     b = bins.select("binary_id", "complete", "total_parts")
     rows = A.link_parts(parts).select("part_id", "binary_id").join(b, "binary_id", "left").join(releases.select("binary_id", F.lit(True).alias("released")), "binary_id", "left")
-    stage = F.when(F.col("binary_id").isNull(), "unassigned").when(~F.col("complete"), "incomplete").when(F.col("total_parts") == 0, "unknown total").when(F.col("released").isNull(), "duplicate release").otherwise("released")
+    stage = F.when(F.col("binary_id").isNull() | F.startswith(F.col("binary_id"), F.lit("-")), "unassigned").when(~F.col("complete"), "incomplete").when(F.col("total_parts") == 0, "unknown total").when(F.col("released").isNull(), "duplicate release").otherwise("released")
     return rows.select("part_id", stage.alias("stage"))
 
 

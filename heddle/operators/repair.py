@@ -21,6 +21,7 @@ from ..sources import tables
 from . import assembly as A
 from . import jobs as J
 from . import search as Q
+from . import trigrams
 
 #: Fixed values of PAR2 packets: the magic, the header's length, the type of a file description and where its name starts.
 PAR2_MAGIC, PAR2_HEADER, PAR2_FILE, PAR2_NAME = b"PAR2\x00PKT", 64, b"PAR 2.0\x00FileDesc", 56
@@ -270,9 +271,10 @@ def group_listing(groups: DataFrame, parts: DataFrame) -> DataFrame:
     return groups.withColumn("lag", lag).join(kept, "group_id", "left").withColumn("storage", F.coalesce("storage", F.lit(0)))
 
 
-def catalog_search(catalog: DataFrame, query: str, limit: int, offset: int = 0) -> DataFrame:
-    """Names that contain the query, the largest first."""
-    return page(catalog.filter(F.lower("name").contains(query.strip().lower())), [F.col("estimated_count").desc(), F.col("name")], limit, offset)
+def catalog_search(catalog: DataFrame, query: str, limit: int, offset: int = 0, index: trigrams.Index | None = None) -> DataFrame:
+    """Names that contain the query, the largest first; by an index of whole names if there is one."""
+    text = query.strip().lower()
+    return page(trigrams.matching(catalog, index, "name", [text]) if index else catalog.filter(F.lower("name").contains(text)), [F.col("estimated_count").desc(), F.col("name")], limit, offset)
 
 
 def recent_errors(releases: DataFrame, limit: int = 50) -> DataFrame:

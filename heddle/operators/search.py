@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RECENT = (F.desc, "posted_at", "guid")
+from ..sources.layout import positions
+from . import trigrams
 
 
 def newest_first() -> list[Column]:
     return [F.col("posted_at").desc(), F.col("guid").desc()]
 
 
-def token_and_search(releases: DataFrame, query: str) -> DataFrame:
-    """Every white-space token of the lowered query occurs in the search name."""
+def token_and_search(releases: DataFrame, query: str, index: trigrams.Index | None = None) -> DataFrame:
+    """Every white-space token of the lowered query occurs in the search name. With an index of search names only what that
+    finds is read."""
+    if index:
+        return trigrams.matching(releases, index, "guid", query.lower().split())
     out = releases
     for token in query.lower().split():
         out = out.filter(F.col("search_name").contains(token))
@@ -52,14 +56,9 @@ def offset_page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 def keyset_pages(df: DataFrame, size: int) -> DataFrame:
     """W07 for a whole listing: each row's page and whether it is its page's last, whose (posted_at,
-    guid) is the next page's cursor. Rows are numbered by adding up the days' counts, so each day is
-    ordered on its own."""
-    day = F.to_date("posted_at")
-    days = df.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    starts = days.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("day"))) - F.col("n"))  # a row for each day
-    at = F.row_number().over(Window.partitionBy("day").orderBy(*newest_first())) + F.col("before")
-    rows = df.withColumn("day", day).join(starts, "day").withColumn("at", at)
-    return rows.withColumn("page", F.ceil(F.col("at") / size).cast("long")).withColumn("last", F.col("at") % size == 0)
+    guid) is the next page's cursor. Rows are numbered in ranges of that order, so a day, or a moment, with a third of all rows is cut too."""
+    at = F.col("at") + 1
+    return positions(df, newest_first()).select("*", F.ceil(at / size).cast("long").alias("page"), (at % size == 0).alias("last"))
 
 
 def keyset_page(df: DataFrame, cursor: tuple | None, limit: int) -> DataFrame:
@@ -81,30 +80,16 @@ def needs_metadata(releases: DataFrame, metadata: DataFrame) -> DataFrame:
     return hide_obfuscated(releases).filter("category_id BETWEEN 5000 AND 5999").join(metadata.select("guid"), "guid", "left_anti")
 
 
-def related_releases(releases: DataFrame, k: int = 5) -> DataFrame:
+def related_releases(releases: DataFrame, k: int = 5, index: trigrams.Index | None = None) -> DataFrame:
     """For each release the k newest others, obfuscated ones aside, whose search names hold its first three
-    search tokens, as part of words too. A release without tokens has none.
-
-    Releases that ask for the same tokens are answered together. A token's words are found by its first
-    three letters in the vocabulary, and the rarest of the three tokens decides which names are looked at.
-    """
-    words = lambda c: F.filter(F.array_distinct(F.split(c, r"\s+")), lambda x: x != "")
+    search tokens, as part of words too. A release without tokens has none. Releases that ask for the same tokens are answered
+    together, by the stored index of names (built if none is given), newest names first."""
     want = F.array_sort(F.array_distinct(F.slice(F.filter(F.split("search_name", r"\s+"), lambda x: x != ""), 1, 3)))
     asking = releases.select(F.col("guid").alias("of"), want.alias("want")).filter(F.size("want") > 0)
-    asked = asking.select("want").distinct().withColumn("t", F.explode("want"))
     seen = hide_obfuscated(releases)
-    have = seen.select("guid", F.explode(words("search_name")).alias("w"))
-    vocabulary = have.groupBy("w").agg(F.count("*").alias("df"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("w"), i, n)))))
-    held = vocabulary.select("w", "df", F.explode(grams).alias("gram"))
-    inside = asked.select("t").distinct().withColumn("gram", F.substring("t", 1, 3)).join(held, "gram").filter(F.col("w").contains(F.col("t"))).select("t", "w", "df")
-    often = inside.groupBy("t").agg(F.sum("df").alias("df"))
-    rare = asked.join(often, "t").groupBy("want").agg(F.min(F.struct("df", "t"))["t"].alias("t"))
-    met = rare.join(inside.select("t", "w"), "t").join(have, "w").select("want", "guid").distinct()
-    met = met.join(seen.select("guid", "posted_at", "search_name"), "guid").filter(F.forall("want", lambda x: F.col("search_name").contains(x)))
-    newest = met.withColumn("n", F.row_number().over(Window.partitionBy("want").orderBy(*newest_first()))).filter(F.col("n") <= k + 1)
-    found = asking.join(newest.select("want", "guid", "n"), "want").filter("of <> guid")
-    return found.select("of", "guid", F.row_number().over(Window.partitionBy("of").orderBy("n")).alias("n")).filter(F.col("n") <= k)
+    newest = trigrams.newest_with_all(index or trigrams.build(seen, "guid", "search_name"), seen, asking, k + 1)
+    found = asking.join(newest.select("want", "guid", "at"), "want").filter("of <> guid")
+    return found.select("of", "guid", F.row_number().over(Window.partitionBy("of").orderBy("at")).alias("n")).filter(F.col("n") <= k)
 
 
 def discovered_vs_known(names: DataFrame, groups: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ from ..operators import jobs as J
 from ..operators import postprocess as O
 from ..operators import repair as P
 from ..operators import search as Q
+from ..operators import trigrams as G
 from ..operators import verify as X
 from ..sources import monthly as M
 from ..sources import views as V
-from ..sources.tables import once, scratch
+from ..sources.tables import once, scratch, stamp
 from . import catalogue_jobs as C
 from . import catalogue_repair as D
 from . import sql
@@ -287,3 +288,29 @@ add("A15_diagnostics_summary", q(" UNION ALL ".join([
     newest("releases", FAILED, "requeue"), newest("permanent", f"SELECT * FROM ({FAILED}) WHERE final", "requeue"),
     newest("jobs", "SELECT CAST(event_id AS VARCHAR) AS id, ts AS \"at\", CASE WHEN event_id % 3 = 0 THEN 'boom' ELSE '' END AS message, false AS final FROM events WHERE event_id % 5 = 3", ""),
 ]), "releases", "passes", st=C.STATUS))(diagnosed)
+
+
+# Search by the stored index of trigrams (P05, P11, W09), and joins in one layout.
+name_index = lambda s, d: once_made(s, d, "names", lambda: G.build(releases(s, d), "guid", "search_name"))
+_MADE: dict[tuple, object] = {}
+
+
+def once_made(s, d, name, make):
+    """What consists of several tables, built at its first use."""
+    key = (s.sparkContext.applicationId, d, name, stamp(s, d))
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+found_by = lambda query: q(f"SELECT guid FROM releases WHERE {' AND '.join(f"contains(search_name, '{t}')" for t in query.lower().split())}", "releases")
+for name, text in {"P05_indexed_search": "2160 Movie", "P05_indexed_short": "s0 1 w", "P05_indexed_inside": "luray x26 ovi"}.items():
+    add(name, found_by(text))(lambda s, d, text=text: Q.token_and_search(releases(s, d), text, name_index(s, d)).select("guid"))
+customers = lambda s, d: once_made(s, d, "customers", lambda: G.build(V.table(s, d, "customer"), "c_custkey", "c_name", whole=True))
+add("P11_indexed_filter", "SELECT c_custkey AS k FROM customer WHERE contains(lower(c_name), 'er#0000000')")(lambda s, d: G.matching(V.table(s, d, "customer"), customers(s, d), "c_custkey", ["eR#0000000"]).select(F.col("c_custkey").alias("k")))
+add("W09_indexed_search", SQL["W09_catalog_search"])(lambda s, d: P.catalog_search(C.QUERIES["S03_group_catalog_scan"](s, d), " SRC", 4, 1, G.build(C.QUERIES["S03_group_catalog_scan"](s, d), "name", "name", whole=True)).select("name", "estimated_count", "total"))
+laid = lambda s, d: once_made(s, d, "layout", lambda: A.linked_layout(parts(s, d), bins(s, d), C.states(s, d)))
+add("J02_bucketed_segments", SQL["J02_release_segments"])(lambda s, d: A.release_segments(laid(s, d)[0], laid(s, d)[2]).select("guid", F.col("number").cast("long").alias("number"), "message_id", "bytes"))
+add("J04_bucketed_candidates", SQL["J04_retention_candidates"])(lambda s, d: J.retention_candidates(laid(s, d)[0], laid(s, d)[2], ntz("1997-01-01 00:00:00")).select("part_id"))
+add("J08_bucketed_protected", q(f"SELECT DISTINCT binary_id FROM linked WHERE part_id % 3 = 0 AND binary_id IN {D.DONE}", "linked", st=C.STATUS))(lambda s, d: P.protected_binaries(laid(s, d)[0].filter("part_id % 3 = 0"), laid(s, d)[2]))
+add("B23_bucketed_trace", SQL["B23_trace_release"])(lambda s, d: J.trace(*laid(s, d)))

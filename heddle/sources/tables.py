@@ -20,7 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables, once what was made of them is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _KNOWN.clear()
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables in a folder: other ones after a table has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,12 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KNOWN: dict[tuple[str, str, str], DataFrame] = {}
+_KNOWN: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The table of this session and input, built at its first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table of this application and input, built at its first use and after the input has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, stamp(spark, sf_dir))
     if key not in _KNOWN:
         _KNOWN[key] = stored(make(), name)
     return _KNOWN[key]
