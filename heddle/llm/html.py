@@ -2,10 +2,14 @@
 
 Pages of one host share a template. Each page's DOM tree, with runs of like siblings folded, is
 merged into its host's tree by simple tree matching: children are aligned in order so that most
-nodes match, matched nodes add up their counts, others become optional nodes. Own text that is the
-same on all pages of a host is template, own text that varies is a slot. Slots that stand in
-navigation, adverts, forms and the like, told by their tags and class names, aren't content. Article
-and main elements only choose among the slots that are left.
+nodes match, matched nodes add up their counts and lengths of text, others become optional nodes. Own text that is the
+same on all pages of a host is template, be it of a node or of one among like siblings; own text that varies is a slot.
+
+Which slots are the article follows from how much varies where, over all of the host's pages: from the root down, while one
+container that each page has once holds most of the varying text that isn't links, that container is gone into. Where it ends is
+the article's place; slots outside of it, and containers within it whose text is mostly links, aren't content. Tags and class names (navigation,
+adverts, forms and the like) further exclude what they mark. Only where no container holds most of the text, article and main
+elements choose among the slots that are left.
 
 Trees are merged in each task first and then by host in two steps, so a host with very many pages
 costs a row for each task. A template's size follows its distinct nodes, not the number of pages.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -41,8 +46,9 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: Those that mark an article element too, which says itself that it is content of some kind.
 ASIDE_ARTICLES = frozenset("ad ads advert adverts advertisement advertising comment comments promo promoted promotion related replies reply sponsor sponsored teaser teasers".split())
 VARIES = -1
-#: Elements nested deeper become siblings, as in browsers; no text is lost.
-DEPTH = 200
+#: Distinct pages from which on a host's constant nodes count as template, and texts that stand anywhere on all of them; shares of varying text that make a container the article's place, and of
+#: links that make one no content.
+ENOUGH, MANY, MOST, LINKS = 3, 8, 0.6, 0.7
 
 
 class Node:
@@ -101,40 +107,83 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     return root
 
 
 class Fold:
-    """Like siblings as one node, or the same place on many pages: sign, pages, own text (its
-    checksum, 0 for none, VARIES) and children in order."""
+    """Like siblings as one node, or the same place on many pages: sign, pages, elements (``nodes``), own text (its checksum, 0 for
+    none, VARIES), characters of own text and children in order."""
 
-    __slots__ = ("sign", "pages", "text", "kids", "of")
+    __slots__ = ("sign", "pages", "nodes", "text", "chars", "kids", "of")
 
-    def __init__(self, sign: str, pages: int, text: int, kids: list[Fold], of: list[Node] | None = None):
-        self.sign, self.pages, self.text, self.kids, self.of = sign, pages, text, kids, of
+    def __init__(self, sign: str, pages: int, nodes: int, text: int, chars: int, kids: list[Fold], of: list[Node] | None = None):
+        self.sign, self.pages, self.nodes, self.text, self.chars, self.kids, self.of = sign, pages, nodes, text, chars, kids, of
 
     def plain(self) -> list:
-        return [self.sign, self.pages, self.text, [k.plain() for k in self.kids]]
+        """All nodes, parents first, in one flat list: trees may be deeper than JSON can nest."""
+        out, steps = [], [self]
+        while steps:
+            x = steps.pop()
+            out.append([x.sign, x.pages, x.nodes, x.text, x.chars, len(x.kids)])
+            steps += reversed(x.kids)
+        return out
+
+
+def thaw(rows: list) -> Fold:
+    top, open_ = None, []
+    for *own, kids in rows:
+        x = Fold(*own, [])
+        if open_:
+            open_[-1][0].kids.append(x)
+            open_[-1][1] -= 1
+        else:
+            top = x
+        while open_ and open_[-1][1] == 0:
+            open_.pop()
+        if kids:
+            open_.append([x, kids])
+    return top
+
+
+def checksum(texts: list[str]) -> int:
+    return crc32(" ".join(" ".join(texts).split()).encode("utf-8", "replace")) + 1 if texts else 0
+
 
+def own_texts(node: Node) -> list[str]:
+    return [k for k in node.kids if isinstance(k, str) and not k.isspace()]
 
-def thaw(x: list) -> Fold:
-    return Fold(x[0], x[1], x[2], [thaw(k) for k in x[3]])
+
+def shape(node: Node, levels: int = 2) -> tuple:
+    """What siblings must share to be folded: the sign, and of containers what they hold, two levels down."""
+    kids = [k for k in node.kids if not isinstance(k, str)]
+    holds = levels and any(k.tag in BLOCK for k in kids)
+    return node.sign, frozenset(shape(k, levels - 1) for k in kids) if holds else None
 
 
 def folded(nodes: list[Node]) -> Fold:
-    groups: dict[str, list[Node]] = {}
-    texts = []
+    groups: dict[tuple, list[Node]] = {}
+    texts, kids = [], []
     for node in nodes:
+        texts += own_texts(node)
         for k in node.kids:
-            if isinstance(k, str):
-                if not k.isspace():
-                    texts.append(k)
-            elif k.tag not in RAW:
-                groups.setdefault(k.sign, []).append(k)
-    text = crc32(" ".join(texts).encode("utf-8", "replace")) + 1 if texts else 0
-    return Fold(nodes[0].sign, 1, text, [folded(g) for g in groups.values()], nodes)
+            if not isinstance(k, str) and k.tag not in RAW:
+                groups.setdefault(shape(k), []).append(k)
+    for g in groups.values():
+        kids.append(folded(g))
+    return Fold(nodes[0].sign, 1, len(nodes), checksum(texts), sum(map(len, texts)), kids, nodes)
+
+
+def all_texts(root: Node) -> set[int]:
+    """Checksums of the elements' own texts."""
+    out, steps = set(), [root]
+    while steps:
+        node = steps.pop()
+        if texts := own_texts(node):
+            out.add(checksum(texts))
+        steps += [k for k in node.kids if not isinstance(k, str) and k.tag not in RAW]
+    return out
 
 
 Memo = dict[tuple[int, int], tuple[int, list[tuple["Fold | None", "Fold | None"]]]]
@@ -170,15 +219,88 @@ def match(a: Fold, b: Fold, memo: Memo) -> tuple[int, list]:
     """Nodes that the best alignment of two trees with like roots pairs, and how their children pair."""
     key = id(a), id(b)
     if key not in memo:
-        pairs = aligned(a.kids, b.kids, memo)
-        memo[key] = 1 + sum(match(x, y, memo)[0] for x, y in pairs if x is not None and y is not None), pairs
+        pairs, n = aligned(a.kids, b.kids, memo), 1
+        for x, y in pairs:
+            if x is not None and y is not None:
+                n += match(x, y, memo)[0]
+        memo[key] = n, pairs
     return memo[key]
 
 
 def merged(a: Fold, b: Fold, memo: Memo | None = None) -> Fold:
     memo = {} if memo is None else memo
     kids = [merged(x, y, memo) if x is not None and y is not None else x or y for x, y in match(a, b, memo)[1]]
-    return Fold(a.sign, a.pages + b.pages, a.text if a.text == b.text else VARIES, kids)
+    return Fold(a.sign, a.pages + b.pages, a.nodes + b.nodes, a.text if a.text == b.text else VARIES, a.chars + b.chars, kids)
+
+
+class Template:
+    """A host's merged tree, the checksums of own texts that all of its pages with any text have, and up to MANY distinct pages."""
+
+    def __init__(self, tree: Fold, common: set[int] | None, seen: set[int]):
+        self.tree, self.common, self.seen, self._place = tree, common, seen, None
+
+    def add(self, other: Template) -> None:
+        self.tree = merged(self.tree, other.tree)
+        self.common = other.common if self.common is None else self.common if other.common is None else self.common & other.common
+        self.seen = set(sorted(self.seen | other.seen)[:MANY])
+
+    def dumps(self) -> str:
+        return json.dumps([self.tree.plain(), None if self.common is None else sorted(self.common), sorted(self.seen)])
+
+    @property
+    def enough(self) -> bool:
+        return len(self.seen) >= ENOUGH
+
+    def place(self) -> tuple[Fold | None, set[int]]:
+        """The container that is the article's place (None: there is none), and the ids of containers of links within it."""
+        if self._place is None:
+            self._place = article_place(self.tree) if self.enough else (None, set())
+        return self._place
+
+
+def loads(text: str) -> Template:
+    tree, common, seen = json.loads(text)
+    return Template(thaw(tree), None if common is None else set(common), set(seen))
+
+
+def induced(page: str) -> Template:
+    """The template of one page."""
+    root = parse(page)
+    texts = all_texts(root)
+    return Template(folded([root]), texts or None, {crc32(page.encode("utf-8", "replace"))} if texts else set())
+
+
+def article_place(tree: Fold) -> tuple[Fold | None, set[int]]:
+    """See Template.place(). Nodes that tags and names mark don't count, nor do constant texts."""
+    sums: dict[int, list[int]] = {}  # characters of varying text and of links below each node
+    order, steps = [], [(tree, False, False)]
+    while steps:
+        x, link, main = steps.pop()
+        order.append((x, link))
+        tag = x.sign.partition(" ")[0]
+        for k in x.kids:
+            if not marked(Node(k.sign.partition(" ")[0], k.sign), main or tag in MAIN_TAGS):
+                steps.append((k, link or k.sign.partition(" ")[0] == "a", main or tag in MAIN_TAGS))
+    for x, link in reversed(order):
+        own = 0 if x.text > 0 else x.chars
+        sums[id(x)] = [0 if link else own, own if link else 0]
+        for k in x.kids:
+            if id(k) in sums:
+                sums[id(x)][0] += sums[id(k)][0]
+                sums[id(x)][1] += sums[id(k)][1]
+    place, found = tree, None
+    while sums[id(place)][0]:
+        holds = [k for k in place.kids if id(k) in sums and k.nodes == k.pages and sums[id(k)][0] >= MOST * sums[id(place)][0] and any(g.sign.partition(" ")[0] in BLOCK for g in k.kids)]
+        if not holds:
+            break
+        place = holds[0]
+        found = place if place.sign.partition(" ")[0] not in ("html", "body") else found
+    links = set()
+    for x, _ in order:
+        text, linked = sums[id(x)]
+        if linked and linked >= LINKS * (text + linked) and x.sign.partition(" ")[0] in BLOCK and any(g.sign.partition(" ")[0] in BLOCK for g in x.kids):
+            links.add(id(x))
+    return found, links
 
 
 def marked(node: Node, in_main: bool) -> bool:
@@ -190,13 +312,29 @@ def marked(node: Node, in_main: bool) -> bool:
     return bool(names) and node.tag not in ("main", "body", "html") and not words.isdisjoint(re.split(r"[^a-z]+", names))
 
 
-def template_nodes(page: Fold, host: Fold, found: set[int], memo: Memo) -> None:
-    """Adds the page's elements whose own text is constant on the host's pages."""
-    if host.pages >= 3 and host.text > 0:
-        found.update(map(id, page.of))
-    for x, y in match(page, host, memo)[1]:
-        if x is not None and y is not None:
-            template_nodes(x, y, found, memo)
+def placed_nodes(page: Fold, host: Template) -> tuple[set[int], set[int], list[Node]]:
+    """Of a page: elements whose own text is constant on the host's pages, containers of links, and those at the article's place."""
+    constant: set[int] = set()
+    without: set[int] = set()
+    place, links = host.place()
+    inside, memo, steps = [], {}, [(page, host.tree)]
+    while steps:
+        x, y = steps.pop()
+        if host.enough and y.text > 0 and host.tree.pages >= ENOUGH:
+            constant.update(map(id, x.of))
+        if id(y) in links:
+            without.update(map(id, x.of))
+        if y is place:
+            inside += x.of
+        steps += [(a, b) for a, b in match(x, y, memo)[1] if a is not None and b is not None]
+    if len(host.seen) >= MANY and host.common:
+        todo = list(page.of)
+        while todo:
+            node = todo.pop()
+            if (texts := own_texts(node)) and checksum(texts) in host.common:
+                constant.add(id(node))
+            todo += [k for k in node.kids if not isinstance(k, str)]
+    return constant, without, inside
 
 
 def blocks(root: Node, constant: set[int], without: set[int] = frozenset()) -> list[str]:
@@ -249,18 +387,20 @@ def regions(root: Node) -> list[Node]:
     return out
 
 
-def main_text(page: str, template: Fold | None) -> str:
-    """The article of a page, of the slots of its host's template: those in its main element or its
-    articles, if it has any and no more varies outside of them; else its body's slots, without the
+def main_text(page: str, template: Template | None) -> str:
+    """The article of a page: the slots at its host's place of the article. Where the host has none, or the page nothing there, the slots in its
+    main element or its articles, if it has any and no more varies outside of them; else its body's slots, without the
     articles where there are several, as cards are. Should the template cover all of an article or
     page, nothing tells it apart, and all its unmarked text stays."""
     root = parse(page)
-    constant: set[int] = set()
-    if template is not None:
-        template_nodes(folded([root]), template, constant, {})
+    template = template or induced(page)
+    constant, without, inside = placed_nodes(folded([root]), template)
+    found = [b for r in inside for b in blocks(r, constant, without)]
+    if found:
+        return "\n\n".join(found)
     places = _in_order(root, regions(root))
     found = [b for r in places for b in blocks(r, constant)] or [b for r in places for b in blocks(r, set())]
-    if found and template is not None and template.pages >= 3 and all(r.tag == "article" for r in places):
+    if found and template.enough and all(r.tag == "article" for r in places):
         outside = blocks(root, constant, set(map(id, places)))
         if sum(map(len, outside)) > sum(map(len, found)):
             found = outside if len(places) > 1 else blocks(root, constant)
@@ -285,23 +425,36 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+def any_depth() -> None:
+    """Trees as deep as pages nest them: Python's own functions may call each other as often as memory allows."""
+    sys.setrecursionlimit(1 << 30)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): each host's merged tree as JSON. ``pages``: host, html."""
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_depth()
         for b in batches:
-            trees: dict[str, Fold] = {}
+            found: dict[str, Template] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tree = folded([parse(page.as_py() or "")])
-                trees[host] = merged(trees[host], tree) if host in trees else tree
-            yield pa.record_batch([pa.array(list(trees), pa.string()), pa.array([json.dumps(t.plain()) for t in trees.values()], pa.string())], names=["host", "template"])
+                one = induced(page.as_py() or "")
+                if host in found:
+                    found[host].add(one)
+                else:
+                    found[host] = one
+            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([t.dumps() for t in found.values()], pa.string())], names=["host", "template"])
 
     def add(group: pa.Table) -> pa.Table:
+        any_depth()
         total = None
         for x in group.column("template"):
-            tree = thaw(json.loads(x.as_py()))
-            total = tree if total is None else merged(total, tree)
-        return pa.table({"host": group.column("host")[:1], "template": pa.array([json.dumps(total.plain())])})
+            one = loads(x.as_py())
+            if total is None:
+                total = one
+            else:
+                total.add(one)
+        return pa.table({"host": group.column("host")[:1], "template": pa.array([total.dumps()])})
 
     schema = "host string, template string"
     parts = pages.select("host", "html").mapInArrow(some, schema)
@@ -310,38 +463,36 @@ def templates(pages: DataFrame) -> DataFrame:
     return parts
 
 
-#: Templates of so many bytes in all may be broadcast; with more, pages are joined by host.
-BROADCAST_BYTES = 64 << 20
+#: Hosts whose templates may be broadcast, if these are small enough; with more, pages are joined by host, a hot host in parts.
+TEMPLATES = 100_000
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """All rows with their main text in ``out``: blocks joined by an empty line, '' if there is none.
 
     Null and empty pages have no text. Pages without a host share one template. Repeated pages and
-    rows come back each. A page that is alone on its host is told by tags and names. Elements nested
-    deeper than DEPTH become siblings of the one at that depth, as in browsers, so a tree of any depth
-    is worked on; their texts stay.
+    rows come back each. Of a host with few pages nothing counts as constant. Elements may nest to any depth.
     """
     names = shared.names_free(pages, "host", "template")
     rows = pages.withColumn(names["host"], host_of(F.col(url)))
     found = shared.stored(templates(rows.select(F.col(names["host"]).alias("host"), F.col(html).alias("html"))), "templates")
-    size = found.agg(F.sum(F.length("template"))).first()[0] or 0
     found = found.withColumnsRenamed({"host": names["host"], "template": names["template"]})
-    known: dict[str, Fold] = {}
+    known: dict[str, Template] = {}
 
     @F.arrow_udf("string")
     def text(page: pa.Array, template: pa.Array) -> pa.Array:
+        any_depth()
         texts = []
         for x, t in zip(page, template, strict=True):
             t = t.as_py()
             if t is not None and t not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[t] = thaw(json.loads(t))
+                known[t] = loads(t)
             texts.append(main_text(x.as_py() or "", known.get(t)))
         return pa.array(texts, pa.string())
 
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, names["host"], "left")
+    joined = shared.met(rows, found, names["host"], TEMPLATES, "left")
     return joined.withColumn(out, text(F.col(html), F.col(names["template"]))).select(*[c for c in pages.columns if c != out], out)
 
 

@@ -61,6 +61,20 @@ def small(df: DataFrame, rows: int) -> bool:
     return found["n"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES
 
 
+#: Parts of a key's rows in a join that can't be broadcast.
+SALTS = 16
+
+
+def met(big: DataFrame, few: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``few`` (a stored table with few rows for each key): broadcast if its counted rows and bytes allow it; else
+    the rows of each key are dealt over SALTS parts, so that a hot key is split whatever the planner sees."""
+    if small(few, rows):
+        return big.join(F.broadcast(few), key, how)
+    salt = names_free(big.join(few.limit(0), key, how), "_salt")["_salt"]
+    dealt = big.withColumn(salt, (F.rand(SALTS) * SALTS).cast("int"))
+    return dealt.join(few.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS))))), [key, salt], how).drop(salt)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() does just that on ASCII; translate() is for the rest."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
