@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -205,7 +205,28 @@ class Transducer:
         part = text if end - begin == len(text) else text[begin:end]
         for p in self.pieces.findall(part) if len(part) < LONG else (m[0] for m in self.pieces.finditer(part)):
             x = self.new.get(p)
-            yield self.piece(p) if x is None else x
+            if x is not None:
+                yield x
+            elif len(p) < BLOCK // 4:
+                yield self.piece(p)
+            else:
+                yield from self.passed_on(p)
+
+    def passed_on(self, piece: str) -> Iterator[bytes]:
+        """The packed ids of a long piece in blocks, each as soon as its ids are stable."""
+        held, gone = [], False
+        raw = piece.encode()
+        try:
+            for i in self.stream(raw):
+                held.append(self.packed[i])
+                if len(held) >= BLOCK // 4:
+                    yield b"".join(held)
+                    held, gone = [], True
+        except ShortLookahead:  # of a merge list for which the bound doesn't hold
+            if gone:
+                raise
+            held = [self.packed[i] for i in self.merged(raw)]
+        yield b"".join(held)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids and of the decoded text in UTF-8, whose bytes are passed on as
@@ -256,27 +277,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def round_trip(spark: SparkSession, text: Column, vocabulary: str | None = None) -> Column:
-    """Struct of ``ids`` (packed as little-endian unsigned 32-bit integers) and ``decoded``.
-
-    Null counts as empty, which has no ids; a text of any length is cut into pieces and each piece
-    streamed. Strings of special tokens become those tokens.
-    """
-    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-
-    @F.arrow_udf("ids binary, decoded string")
-    def transduce(texts: pa.Array) -> pa.Array:
-        t, ids, back = built(spec.value), [pa.array([], pa.binary())], [pa.array([], pa.string())]
-        for at in range(0, len(texts), 200):  # a batch's Python objects live no longer than these few texts'
-            packed = [t.encode(x.as_py() or "") for x in texts[at : at + 200]]
-            ids.append(pa.array(packed, pa.binary()))
-            back.append(pa.array([t.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in packed], pa.string()))
-        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
-
-    return transduce(text)
-
-
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """All rows with their token ids in an array column."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:

@@ -8,6 +8,7 @@ serialised as canonical JSON (sorted keys, no spaces). No conversation is gather
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pyarrow as pa
@@ -109,20 +110,46 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.join(errors, "_call", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))).drop("_call")
 
 
+class Digits:
+    """A number that neither int nor float can hold, as it was written."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+def whole(text: str) -> int | Digits:
+    return Digits(text) if len(text) > 4000 else int(text)
+
+
+def fraction(text: str) -> float | Digits:
+    return x if math.isfinite(x := float(text)) else Digits(text)
+
+
+def refused(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def written(x: object) -> str:
+    """Canonical JSON of a parsed value."""
+    if isinstance(x, dict):
+        return "{" + ",".join([json.dumps(k, ensure_ascii=False) + ":" + written(v) for k, v in sorted(x.items())]) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join([written(v) for v in x]) + "]"
+    return x.text if isinstance(x, Digits) else json.dumps(x, ensure_ascii=False, allow_nan=False)
+
+
 def canonical(column: Column) -> Column:
     """JSON with sorted keys and no spaces; what isn't JSON (NaN and infinities aren't) or nests deeper than
     Python follows, as a JSON string; null stays null. Of keys that repeat the last counts; half a surrogate
-    pair, which UTF-8 can't hold, stays an escape."""
-
-    def refuse(name: str) -> None:
-        raise ValueError(f"{name} isn't JSON")
+    pair, which UTF-8 can't hold, stays an escape. Numbers beyond a double's range and whole ones of thousands of digits stay as they are
+    written; others have one form."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for x in texts.to_pylist():
             try:
-                text = None if x is None else json.dumps(json.loads(x, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                text = None if x is None else written(json.loads(x, parse_constant=refused, parse_int=whole, parse_float=fraction))
             except (ValueError, RecursionError):
                 text = json.dumps(x, ensure_ascii=False)
             out.append(text and re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text))

@@ -16,7 +16,9 @@ from . import shared
 #: What parts words, before A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows of a table of test terms that may be broadcast, if its strings are short too (shared.small); above, joins shuffle.
+#: Words within which the two rarest terms of a window count as near each other.
+SLOP = 20
+#: Rows of a table of test terms that may be broadcast, if its strings are short too (shared.small); above, joins shuffle, frequent terms in parts.
 BROADCAST_ROWS = 500_000
 #: In the vocabulary this stands for a document's end; no word holds U+0000.
 END = "\0"
@@ -43,10 +45,9 @@ def test_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
 def build_index(docs: DataFrame, terms: DataFrame, text: str = "text", *carried: str) -> DataFrame:
     """Postings (uid, pos, tid) of the terms in whole texts, stored. For each document one more with
     tid -1, whose pos is the number of words and which alone has the ``carried`` columns."""
-    listed = F.broadcast if shared.small(terms, BROADCAST_ROWS) else (lambda x: x)
     known = terms.unionByName(terms.sparkSession.createDataFrame([(END, -1)], terms.schema))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text, *carried).select("uid", *carried, F.posexplode(F.array_append(words(F.col(text)), F.lit(END))).alias("pos", "word"))
-    rows = rows.withColumn("term", shared.ascii_lower(F.col("word"))).join(listed(known), "term")
+    rows = shared.met(rows.withColumn("term", shared.ascii_lower(F.col("word"))), known, "term", BROADCAST_ROWS)
     return shared.stored(rows.select("uid", "pos", "tid", *[F.when(F.col("tid") == -1, F.col(c)).alias(c) for c in carried]), "postings")
 
 
@@ -65,10 +66,10 @@ def rarest(index: DataFrame, item_words: DataFrame, window: int = WINDOW, n: int
 def exact_matches(index: DataFrame, item_words: DataFrame, window: int = WINDOW) -> DataFrame:
     """Positions (uid, pos, item_id) inside an occurrence of a window of the item. An item of fewer
     words is one window; one without words has none."""
-    anchors = bounded(shared.stored(rarest(index, item_words, window).select("iid", "ipos", "tid", "need").distinct(), "anchors"))
-    met = index.join(anchors, "tid").select("uid", "iid", (F.col("pos") - F.col("ipos")).alias("shift"), "need")
+    anchors = shared.stored(rarest(index, item_words, window).select("iid", "ipos", "tid", "need").distinct(), "anchors")
+    met = shared.met(index.select("uid", "pos", "tid"), anchors, "tid", BROADCAST_ROWS).select("uid", "iid", (F.col("pos") - F.col("ipos")).alias("shift"), "need")
     places = shared.stored(met.groupBy("uid", "iid", "shift").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("uid", "iid", "shift"), "places")
-    wanted = places.join(bounded(item_words), "iid").withColumn("pos", F.col("shift") + F.col("ipos"))
+    wanted = shared.met(places, item_words, "iid", BROADCAST_ROWS).withColumn("pos", F.col("shift") + F.col("ipos"))
     there = shared.narrowed(index.select("uid", "pos", "tid"), F.col("uid"), places.select("uid"))
     found = wanted.join(there, ["uid", "pos", "tid"])
     # Runs of neighbouring positions on one alignment; no partition is longer than its item.
@@ -78,7 +79,7 @@ def exact_matches(index: DataFrame, item_words: DataFrame, window: int = WINDOW)
     return long.select("uid", "pos", "item_id")
 
 
-def proximity_matches(index: DataFrame, item_words: DataFrame, slop: int = 20, window: int = WINDOW) -> DataFrame:
+def proximity_matches(index: DataFrame, item_words: DataFrame, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
     """Places (uid, item_id, start, pos, gap) where the two rarest terms of a window stand within
     ``slop`` words, in any order. Positions are joined by blocks of slop words, so frequent
     terms in one document don't meet all with all."""
@@ -88,8 +89,9 @@ def proximity_matches(index: DataFrame, item_words: DataFrame, slop: int = 20, w
     pairs = shared.stored(pairs.join(item_words.select("iid", "item_id").distinct(), "iid").select("item_id", "start", "a", "b"), "near_pairs")
     both = shared.stored(pairs.select("a", "b").distinct(), "near_terms")
     block = F.floor(F.col("pos") / slop)
-    left = index.join(bounded(both), F.col("tid") == F.col("a")).select("a", "b", "uid", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = index.join(bounded(both.select("b").distinct()), F.col("tid") == F.col("b")).select("b", "uid", F.col("pos").alias("other"), F.floor(F.col("pos") / slop).alias("block"))
+    places = index.select("uid", "pos", "tid")
+    left = shared.met(places, both.select(F.col("a").alias("tid"), "a", "b"), "tid", BROADCAST_ROWS).select("a", "b", "uid", "pos", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = shared.met(places, shared.stored(both.select(F.col("b").alias("tid"), "b").distinct(), "near_second"), "tid", BROADCAST_ROWS).select("b", "uid", F.col("pos").alias("other"), F.floor(F.col("pos") / slop).alias("block"))
     gap = F.abs(F.col("pos") - F.col("other"))
     met = left.join(right, ["b", "uid", "block"]).filter(gap <= slop).groupBy("uid", "a", "b", "pos").agg(F.min(gap).alias("gap"))
     return met.join(bounded(pairs), ["a", "b"]).groupBy("uid", "item_id", "start", "pos").agg(F.min("gap").alias("gap"))
@@ -127,7 +129,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), shared.table(spark, sf_dir, "benchmark"))
+    return contamination(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), shared.table(spark, sf_dir, "benchmark"), slop=SLOP)
 
 
 SQL = r"""
@@ -142,8 +144,16 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id,
      m AS (SELECT r, p, dp.k, item_id FROM dp JOIN iw ON iw.k = dp.k AND iw.g = array_to_string(w[p : p + dp.k - 1], ' ')),
      q AS (SELECT DISTINCT r, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT r, p, k FROM m)),
      h AS (SELECT r, count(*) AS n_hit FROM q GROUP BY r),
+     ii AS (SELECT row_number() OVER () AS iid, item_id, w, k FROM k),
+     ip AS (SELECT iid, item_id, k, len(w) AS size, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS ipos FROM ii),
+     dt AS (SELECT r, t, pos FROM (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM d) WHERE t IN (SELECT t FROM ip)),
+     cf AS (SELECT t, count(*) AS cf FROM dt GROUP BY t),
+     wt AS (SELECT iid, item_id, k, ipos, t, cf, unnest(range(greatest(ipos - k + 1, 0), least(ipos, size - k) + 1)) AS b FROM ip LEFT JOIN cf USING (t)),
+     rk AS (SELECT *, count(cf) OVER (PARTITION BY iid, b) AS seen, row_number() OVER (PARTITION BY iid, b ORDER BY cf NULLS FIRST, ipos) AS rank FROM wt),
+     pr AS (SELECT DISTINCT x.item_id, x.t AS a, y.t AS z FROM rk x JOIN rk y ON x.iid = y.iid AND x.b = y.b AND x.rank = 1 AND y.rank = 2 WHERE x.seen = x.k AND x.t <> y.t),
+     nr AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT p.r, p.t AS a, q.t AS z FROM dt p JOIN dt q ON p.r = q.r AND abs(p.pos - q.pos) <= 20 AND p.t <> q.t) JOIN pr USING (a, z) GROUP BY r),
      t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN nr USING (r)
 """

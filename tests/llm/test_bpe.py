@@ -95,3 +95,14 @@ def test_a_bound_that_is_too_short_costs_no_result(machine, monkeypatch):
     draw = random.Random(8)
     for text in ("".join(draw.choices("aeiouthng", k=3000)), "".join(draw.choices("tionsae", k=3000))):
         assert ids(machine, text) == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_piece_is_passed_on_in_blocks(machine):
+    t = machine
+    draw = random.Random(3)
+    piece = "".join(draw.choice("abcdefgh") for _ in range(150_000))
+    blocks = list(t.flow(piece))
+    assert len(blocks) > 2 and max(map(len, blocks)) <= bpe.BLOCK
+    assert np.frombuffer(b"".join(blocks), "<u4").tolist() == LIB.encode(piece, add_special_tokens=False).ids
+    n, ids, _ = t.digest(piece)
+    assert (4 * n, ids) == (len(b"".join(blocks)), hashlib.sha256(b"".join(blocks)).hexdigest())

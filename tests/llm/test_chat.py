@@ -118,3 +118,10 @@ def test_nulls_long_texts_and_empty_tables(spark):
     for r in rows:
         json.loads(r.json)
     assert chat.formatted(*chat.derived(conv.filter("false"))).count() == 0
+
+
+def test_numbers_of_any_size_stay_numbers(spark):
+    long = "9" * 5000
+    cases = {'{"b":1e400,"a":-1E999}': '{"a":-1E999,"b":1e400}', f"[{long}, -{long}, 1]": f"[{long},-{long},1]", "1.50": "1.5", "[1E2, 1e-400]": "[100.0,0.0]", '{"a":NaN}': '"{\\"a\\":NaN}"', '{"z":[{"y":1,"x":[]}],"z":{}}': '{"z":{}}', "-0": "0", '"\\ud800"': '"\\ud800"'}
+    got = {r.x: r.y for r in spark.createDataFrame([(c,) for c in cases], "x string").select("x", chat.canonical(chat.F.col("x")).alias("y")).collect()}
+    assert got == cases
