@@ -126,6 +126,15 @@ def pieces(texts: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An array's bytes, first all lowest ones, then all next: nothing is lost, and what varies little is written in little."""
+    return np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def studied(docs: DataFrame, start: np.ndarray) -> DataFrame:
     """One pass over training texts (column text), stored: rows with word, kind and count; and for
     each task rows with slice, weights and seen, the number of tokens behind them."""
@@ -143,9 +152,9 @@ def studied(docs: DataFrame, start: np.ndarray) -> DataFrame:
                 n = len(word)
                 yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(t.kind[first].astype(np.int32)), pa.array(count), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
         if seen:
-            parts = weights.astype(np.float16).reshape(SLICES, -1)
+            parts = weights.reshape(SLICES, -1)
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.record_batch([none, pa.nulls(SLICES, pa.int32()), none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * SLICES, pa.int64())], names=names)
+            yield pa.record_batch([none, pa.nulls(SLICES, pa.int32()), none, pa.array(range(SLICES), pa.int32()), pa.array([planes(p) for p in parts], pa.binary()), pa.array([seen] * SLICES, pa.int64())], names=names)
 
     return shared.stored(docs.select("text").mapInArrow(run, "word long, kind int, count long, slice int, weights binary, seen long"), "studied")
 
@@ -158,7 +167,7 @@ def averaged(parts: DataFrame, start: np.ndarray) -> np.ndarray:
         return pa.table({"slice": group.column("slice")[:1], "weights": pa.array([sum(parts).tobytes()], pa.binary()), "seen": pa.array([sum(group.column("seen").to_pylist())], pa.int64())})
 
     def weighed(group: pa.Table) -> pa.Table:
-        return total(group, (np.frombuffer(x.as_py(), dtype=np.float16) * np.float32(n.as_py()) for x, n in zip(group.column("weights"), group.column("seen"), strict=True)))
+        return total(group, (unplaned(x.as_py(), "<f4") * np.float32(n.as_py()) for x, n in zip(group.column("weights"), group.column("seen"), strict=True)))
 
     def add(group: pa.Table) -> pa.Table:
         return total(group, (np.frombuffer(x.as_py(), dtype=np.float32) for x in group.column("weights")))
@@ -192,7 +201,7 @@ def batched(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 sparse = [(place >> 32).astype(np.uint32), (place & 0xFFFFFFFF).astype(np.uint32), count.astype(np.uint32)]
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.record_batch(
-                    [pa.array([task << 32 | done], pa.int64()), one(b.column(0).slice(i, j - i)), one(b.column(1).slice(i, j - i)), one(pa.array(t.length)), one(pa.array(score)), one(pa.array(word.view(np.int64))), pa.array([t.kind[first].astype(np.uint8).tobytes()], pa.binary()), pa.array([np.concatenate(sparse).tobytes()], pa.binary())],
+                    [pa.array([task << 32 | done], pa.int64()), one(b.column(0).slice(i, j - i)), one(b.column(1).slice(i, j - i)), one(pa.array(t.length)), one(pa.array(score)), one(pa.array(word.view(np.int64))), pa.array([t.kind[first].astype(np.uint8).tobytes()], pa.binary()), pa.array([planes(np.concatenate(sparse))], pa.binary())],
                     names=names,
                 )
                 done += 1
@@ -233,7 +242,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 x = {c: b.column(c)[r] for c in b.schema.names}
                 n = len(x["ids"])
                 kind = np.frombuffer(x["kinds"].as_py(), dtype=np.uint8)
-                doc, word, count = np.frombuffer(x["places"].as_py(), dtype=np.uint32).reshape(3, -1).astype(np.int64)
+                doc, word, count = unplaned(x["places"].as_py(), "<u4").reshape(3, -1).astype(np.int64)
                 c = np.zeros(len(kind))
                 if x["known"].is_valid:
                     c[x["known"].values.to_numpy()] = x["counts"].values.to_numpy()
