@@ -52,13 +52,14 @@ def requeue_failed(releases: DataFrame) -> DataFrame:
 
 
 def reparse_plan(stored: DataFrame) -> DataFrame:
-    """Parts whose fields change when their subject is parsed again."""
+    """Parts whose fields change when their subject is parsed again. Only these are kept: the comparison stays above the parser
+    (tables.held), which so runs once for each part. Null and missing fields count as different from any other."""
     fields = ["part_number", "total_parts", "norm_subject", "collection_key", "file_number", "collection_files"]
-    again = tables.stored(S.parse_subject(stored.withColumnsRenamed({c: f"old_{c}" for c in fields})), "reparsed")
+    again, barrier = tables.held(S.parse_subject(stored.withColumnsRenamed({c: f"old_{c}" for c in fields})))
     changed = F.lit(False)
     for c in fields:
         changed |= ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    return again.filter(changed).select("part_id", *fields)
+    return again.filter(changed & barrier).select("part_id", *fields)
 
 
 def reassemble_apply(parts: DataFrame, releases: DataFrame, updates: DataFrame) -> DataFrame:
@@ -92,11 +93,17 @@ def pipeline_stats(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> Da
 
 
 def group_release_stats(releases: DataFrame, groups: DataFrame) -> DataFrame:
-    """A06, J12"""
+    """Releases of each group that has a name, all and pending ones."""
     g = releases.groupBy("group_id").agg(F.count("*").alias("total"), F.count_if(F.col("pp_status") == "pending").alias("pending"))
     return g.join(groups, "group_id").select("group_name", "total", "pending")
 
 
+def group_names(releases: DataFrame, groups: DataFrame) -> DataFrame:
+    """Releases with group_name, empty where the group has none or is gone."""
+    named = groups.select("group_id", "group_name").distinct()
+    return releases.join(named, "group_id", "left").withColumn("group_name", F.coalesce("group_name", F.lit("")))
+
+
 def capacity_stats(parts: DataFrame) -> DataFrame:
     """Bytes and articles of each group, ranked by bytes."""
     return parts.groupBy("group_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("articles")).withColumn("bytes_per_article", F.round(F.col("bytes") / F.col("articles"), 6))
@@ -113,6 +120,12 @@ def route_metrics(requests: DataFrame, bounds: list[int]) -> DataFrame:
     return requests.groupBy("method", N.route_pattern(F.col("path")).alias("route"), "status").agg(F.count("*").alias("requests"), *[F.count_if(F.col("ms") <= b).alias(f"le_{b}") for b in bounds])
 
 
+def route_totals(metrics: DataFrame) -> DataFrame:
+    """A18's rows of each route added up over methods and statuses, with the number of server errors."""
+    buckets = [c for c in metrics.columns if c.startswith("le_")]
+    return metrics.groupBy("route").agg(F.sum("requests").alias("requests"), F.sum(F.when(F.col("status") >= 500, F.col("requests")).otherwise(0)).alias("errors"), *[F.sum(c).alias(c) for c in buckets])
+
+
 def trace(parts: DataFrame, bins: DataFrame, releases: DataFrame) -> DataFrame:
     """The first stage at which an article stops."""
     b = bins.select("binary_id", "complete", "total_parts")

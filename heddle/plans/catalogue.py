@@ -113,6 +113,9 @@ add("S12_feed_items", q("SELECT guid, name AS title, 'http://x/api?t=get&id=' ||
 add("S13_category_tree", q("SELECT p.id, p.name, coalesce(string_agg(c.id || '=' || c.name, ',' ORDER BY c.id), '') AS subcats, count(r.category_id) > 0 AS used FROM (SELECT * FROM categories WHERE parent_id IS NULL) p LEFT JOIN categories c ON c.parent_id = p.id LEFT JOIN (SELECT DISTINCT category_id // 1000 * 1000 AS category_id FROM releases) r ON r.category_id = p.id GROUP BY p.id, p.name", "releases", "categories"))(
     lambda s, d: A.category_tree(V.categories(s)).select("id", "name", F.array_join(F.transform(F.coalesce("subcats", F.array().cast("array<struct<id:int,name:string>>")), lambda c: F.concat(c["id"].cast("string"), F.lit("="), c["name"])), ",").alias("subcats")).join(releases(s, d).select((F.floor(F.col("category_id") / 1000) * 1000).alias("id")).distinct().withColumn("u", F.lit(True)), "id", "left").select("id", "name", "subcats", F.coalesce("u", F.lit(False)).alias("used"))
 )
+add("S14_upserted_documents", q("SELECT guid, name, search_name, category_id, size, obfuscated, posted_at AS sort_at FROM releases WHERE guid < 'c' UNION ALL SELECT guid, 'old', '', 8000, 0, true, posted_at FROM releases WHERE guid >= 'c'", "releases"))(
+    lambda s, d: A.search_documents(releases(s, d).filter("guid < 'c'"), A.search_documents(releases(s, d)).withColumns({"name": F.lit("old"), "search_name": F.lit(""), "category_id": F.lit(8000), "size": F.lit(0).cast("long"), "obfuscated": F.lit(True)}))
+)
 add("S14_search_documents", q("SELECT guid, name, search_name, category_id, size, obfuscated, posted_at AS sort_at FROM releases", "releases"))(lambda s, d: A.search_documents(releases(s, d)))
 
 

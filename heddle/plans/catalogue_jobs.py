@@ -62,7 +62,7 @@ def providers(s, d):
     return one.unionByName(t.select("title", F.lit(1).alias("priority"), F.concat(F.lit("b-"), "title").alias("external_id")))
 
 
-add("J12_group_release_stats", sq("SELECT 'alt.group' || group_id AS group_name, count(*) AS total, count(*) FILTER (pp_status = 'pending') AS pending FROM st GROUP BY group_id"))(lambda s, d: J.group_release_stats(states(s, d), releases(s, d).select("group_id").distinct().withColumn("group_name", F.concat(F.lit("alt.group"), F.col("group_id").cast("string")))))
+add("J12_group_names", q("SELECT guid, CASE WHEN group_id < 5 THEN 'alt.group' || group_id ELSE '' END AS group_name FROM releases", "releases"))(lambda s, d: J.group_names(releases(s, d), V.headers(s, d).filter("group_id < 5").select("group_id").distinct().withColumn("group_name", F.concat(F.lit("alt.group"), F.col("group_id").cast("string")))).select("guid", "group_name"))
 FIRST = "list_filter(string_split(search_name, ' '), lambda t: t <> '')[1:3]"
 add("J13_related_releases", q(f"SELECT \"of\", guid, n FROM (SELECT a.guid AS \"of\", b.guid, CAST(row_number() OVER (PARTITION BY a.guid ORDER BY b.posted_at DESC, b.guid DESC) AS INT) AS n FROM (SELECT guid, {FIRST} AS w FROM releases) a JOIN (SELECT guid, posted_at, search_name AS s FROM releases WHERE NOT obfuscated) b ON a.guid <> b.guid AND len(w) > 0 AND contains(s, w[1]) AND (len(w) < 2 OR contains(s, w[2])) AND (len(w) < 3 OR contains(s, w[3]))) WHERE n <= 5", "releases"))(lambda s, d: Q.related_releases(releases(s, d)))
 add("J14_discovered_vs_known", "SELECT DISTINCT source AS name, CASE WHEN source < 'src3' THEN 'existing' ELSE 'added' END AS status FROM documents")(lambda s, d: Q.discovered_vs_known(V.table(s, d, "documents").select(F.col("source").alias("name")), V.table(s, d, "documents").filter("source < 'src3'").select(F.col("source").alias("name")).distinct()))
@@ -78,16 +78,16 @@ add("A08_retention_report", q("SELECT count(*) AS candidate_parts, CAST(coalesce
 add("A09_failed_release_counts", sq("SELECT count(*) FILTER (pp_status = 'failed') AS total, count(*) FILTER (permanent) AS permanent FROM st"))(lambda s, d: states(s, d).agg(F.count_if(F.col("pp_status") == "failed").alias("total"), F.count_if("permanent").alias("permanent")))
 add("A10_throughput_ema", q("SELECT group_id, round(list_reduce(xs, lambda a, x: a + 0.3 * (x - a)), 4) AS ema FROM (SELECT group_id, list(articles / (duration_ms / 1000.0) ORDER BY ts, event_id) AS xs FROM passes WHERE err = '' AND articles > 0 AND duration_ms > 0 GROUP BY group_id)", "passes"))(lambda s, d: T.throughput_ema(V.passes(s, d)).select("group_id", F.round("ema", 4).alias("ema")))
 GROUPS = "SELECT group_id, count(*) FILTER (err <> '' AND (good IS NULL OR (ts, event_id) > good)) AS consecutive_failures, max(ts) FILTER (err = '') AS last_success_at, max(ts) FILTER (err = '' AND NOT backfill) AS last_forward_at, max(ts) FILTER (err = '' AND backfill) AS last_backfill_at, arg_max(err, (ts, event_id)) AS last_error, arg_max(server_high, (ts, event_id)) FILTER (server_high > 0) AS server_high FROM (SELECT *, max((ts, event_id)) FILTER (err = '') OVER (PARTITION BY group_id) AS good FROM passes) GROUP BY group_id"
-for name in ("A11_consecutive_failures", "A12_last_success_times", "ST13_pass_outcomes"):
-    add(name, q(GROUPS, "passes"))(lambda s, d: T.group_state(V.passes(s, d)))
+for name, columns in {"A11_consecutive_failures": ["group_id", "consecutive_failures", "last_error"], "A12_last_success_times": ["group_id", "last_success_at", "last_forward_at", "last_backfill_at"], "ST13_pass_outcomes": ["*"]}.items():
+    add(name, q(f"SELECT {', '.join(columns)} FROM ({GROUPS})", "passes"))(lambda s, d, columns=columns: T.group_state(V.passes(s, d)).select(*columns))
 add("A13_capacity_stats", q("SELECT group_id, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS articles, round(sum(bytes) / count(*), 6) AS bytes_per_article FROM parts GROUP BY group_id", "parts"))(lambda s, d: J.capacity_stats(parts(s, d)))
 add("A14_capped_count", q("SELECT least(count(*), 100) AS total, count(*) > 100 AS approximate FROM releases", "releases"))(lambda s, d: Q.capped_count(releases(s, d), 100).withColumn("total", F.col("total").cast("long")))
 
 #: Latency bounds in milliseconds (the client library's default buckets).
 BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000]
 LE = ", ".join(f"count(*) FILTER (ms <= {b}) AS le_{b}" for b in BOUNDS)
-for name in ("A18_route_metrics", "A18_route_metrics_all"):
-    add(name, q(f"SELECT method, {pick(ROUTES)} AS route, status, count(*) AS requests, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d), BOUNDS))
+add("A18_route_metrics", q(f"SELECT method, {pick(ROUTES)} AS route, status, count(*) AS requests, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_metrics(V.requests(s, d), BOUNDS))
+add("A18_route_metrics_all", q(f"SELECT {pick(ROUTES)} AS route, count(*) AS requests, count(*) FILTER (status >= 500) AS errors, {LE} FROM requests GROUP BY ALL", "requests"))(lambda s, d: J.route_totals(J.route_metrics(V.requests(s, d), BOUNDS)))
 add("A20_has_any", sq("SELECT count(*) > 0 AS any FROM st WHERE permanent"))(lambda s, d: states(s, d).filter("permanent").limit(1).agg((F.count("*") > 0).alias("any")))
 
 add("W01_cap_per_key", q("SELECT part_id FROM (SELECT part_id, row_number() OVER (PARTITION BY group_id, poster ORDER BY article_number) AS k FROM parts) WHERE k <= 5", "parts"))(lambda s, d: A.cap_per_key(parts(s, d), ["group_id", "poster"], 5, "article_number").select("part_id"))

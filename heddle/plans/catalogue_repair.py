@@ -82,8 +82,14 @@ def half_stored(s, d):
     return all_of.withColumn("segments", F.when(F.col("guid") < "8", F.col("segments")).otherwise(F.slice("segments", 1, 0)))
 
 
-add("J03_segments_or_parts", q("SELECT r.guid, count(number) AS n, r.guid < '8' AS stored FROM releases r LEFT JOIN segments s ON s.guid = r.guid GROUP BY r.guid", "segments"))(lambda s, d: P.segments_or_parts(half_stored(s, d), parts(s, d)).select("guid", F.size("segments").cast("long").alias("n"), "stored"))
-add("B04_backfill_segments", q("SELECT count(*) FILTER (group_id <> 3) AS repaired, count(*) FILTER (group_id = 3) AS unresolved FROM releases WHERE guid >= '8'", "releases"))(lambda s, d: P.backfill_segments(half_stored(s, d), parts(s, d).filter("group_id <> 3"))[1])
+def each_segment(df, *more):
+    """A row for each segment, and one with nulls for a release without any."""
+    return df.select("guid", *more, F.explode_outer("segments").alias("s")).select("guid", *more, F.col("s.number").cast("long").alias("number"), "s.message_id", "s.bytes")
+
+
+add("J03_segments_or_parts", q("SELECT r.guid, r.guid < '8' AS stored, number, message_id, bytes FROM releases r LEFT JOIN segments s ON s.guid = r.guid", "segments"))(lambda s, d: each_segment(P.segments_or_parts(half_stored(s, d), parts(s, d)), "stored"))
+add("B04_backfill_segments", q("SELECT r.guid, number, message_id, bytes FROM releases r LEFT JOIN segments s ON s.guid = r.guid AND (r.guid < '8' OR group_id <> 3)", "segments"))(lambda s, d: each_segment(P.backfill_segments(half_stored(s, d), parts(s, d).filter("group_id <> 3"))[0]))
+add("B04_backfill_counts", q("SELECT count(*) FILTER (group_id <> 3) AS repaired, count(*) FILTER (group_id = 3) AS unresolved FROM releases WHERE guid >= '8'", "releases"))(lambda s, d: P.backfill_segments(half_stored(s, d), parts(s, d).filter("group_id <> 3"))[1])
 
 # Repair.
 DONE = "(SELECT binary_id FROM st WHERE pp_status = 'done')"

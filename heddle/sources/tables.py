@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,12 @@ def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
 
 
+def held(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` and a condition, always true, that keeps a filter which holds it from being pushed below ``df``'s columns, so that dear
+    ones are computed once and not in the filter again. Nothing is written."""
+    return df.withColumn("_held", F.monotonically_increasing_id()), F.col("_held") >= 0
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Parts, binaries and releases are tables: they are parsed and folded once and read many times.
     It also keeps filters on parsed fields from being pushed into, and so repeating, the parser."""

@@ -203,3 +203,13 @@ def test_bases_of_volumes(spark):
     cases = {"a.part01.rar": "a", "a.rar.0001": "a", "a.vol1+02.PAR2": "a", "a.bin": "a.bin", ".part1.rar": ".part1", ".rar": ".rar", "a.rar.x": "a.rar.x", "a.1234": "a.1234", "": "", ".rar.001": ".rar.001"}
     got = {r.n: r.b for r in spark.createDataFrame([(c,) for c in cases], "n string").select("n", P.volume_base(F.col("n")).alias("b")).collect()}
     assert got == cases
+
+
+def test_reparsing_runs_the_parser_once(spark):
+    rows = [(1, "[1/3] - \"a.rar\" yEnc (1/1)", 9, 9, "x", "y", 9, 9), (2, None, None, None, None, None, None, None), (3, "", 0, 0, "", "", 0, 0)]
+    df = spark.createDataFrame(rows, "part_id long, subject string, part_number int, total_parts int, norm_subject string, collection_key string, file_number int, collection_files int")
+    out = J.reparse_plan(df)
+    filters = [line for line in plan(out).splitlines() if "Filter" in line]
+    assert filters and not any("regexp" in line for line in filters)
+    assert {r.part_id for r in out.collect()} >= {1} and 3 not in {r.part_id for r in out.collect()}
+    assert J.reparse_plan(df.filter("false")).count() == 0
