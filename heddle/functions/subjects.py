@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.tables import free
 from . import regexes as R
 
 WS = r"[\t\n\f\r ]+"
@@ -66,7 +67,8 @@ def parse_subject(df, subject: str = "subject"):
     Every step is a plain column that later steps name, so that none is evaluated, or optimised, more
     than once. The name is the last quoted token that looks like a file, else the last one. The segment
     counter is the last n/m, else n of m, else .partN. alone. The file counter is the last other one
-    that isn't a range of years and, where a name is quoted, ends at most 64 bytes before it.
+    that isn't a range of years and, where a name is quoted, ends at most 64 bytes before it. A null subject
+    is parsed as an empty one; columns that are called like the results are replaced, all others stay.
     """
     C, c = R.port(R.COUNTER), F.col
     num = lambda text, pattern, g: F.regexp_extract(text, pattern, g).try_cast("int")
@@ -104,10 +106,12 @@ def parse_subject(df, subject: str = "subject"):
         },
         {"file_number": F.when(c("_ok") & (c("collection_key") != ""), c("_n")).otherwise(0), "collection_files": F.when(c("_ok") & (c("collection_key") != ""), c("_m")).otherwise(0), "norm_subject": _normal(c("_cut"))},
     ]
-    out = df
+    working = {k for step in steps for k in step if k.startswith("_")}
+    aside = {x: free(f"in{x}", df) for x in df.columns if x.lower() in working}
+    out = df.withColumnsRenamed(aside)
     for step in steps:
         out = out.withColumns(step)
-    return out.drop(*[k for step in steps for k in step if k.startswith("_")])
+    return out.drop(*working).withColumnsRenamed({kept: x for x, kept in aside.items()})
 
 
 def _normal(s: Column) -> Column:

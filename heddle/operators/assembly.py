@@ -1,4 +1,10 @@
-"""From headers to parts, binaries and releases."""
+"""From headers to parts, binaries and releases.
+
+Empty tables give empty results. Headers without a message id are dropped; a null subject parses as an empty one; null keys (a group,
+article number, poster) are one value like any other where rows are grouped, and match nothing where they are joined. Of rows that
+repeat a key the least by the order stated stays, then the least in all columns, so ties have one outcome. Columns that an
+operator doesn't know come along where rows are kept as they are (parts, cap_per_key, distinct_on, settle_quiet); working columns take names that are free.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import subjects as S
 from ..sources.layout import bucketed
+from ..sources.tables import free
 
 NATURAL = ["group_id", "article_number"]
 
@@ -40,9 +47,9 @@ def group_catalog_scan(lines: DataFrame) -> DataFrame:
 
 def distinct_on(df: DataFrame, key: list[str], *order) -> DataFrame:
     """The first row of each key. Plain minima over structs, which are reduced before they move."""
-    cols = [c for c in df.columns if c not in key]
-    first = df.groupBy(*key).agg(F.min(F.struct(*order, *[c for c in cols if c not in order])).alias("_r"))
-    return first.select(*[c if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    cols, r = [c for c in df.columns if c not in key], free("_r", df)
+    first = df.groupBy(*key).agg(F.min(F.struct(*order, *[c for c in cols if c not in order])).alias(r))
+    return first.select(*[c if c in key else F.col(f"{r}.{c}").alias(c) for c in df.columns])
 
 
 def not_existing(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
@@ -149,7 +156,8 @@ def merge_partials(rows: DataFrame) -> DataFrame:
 
 def cap_per_key(df: DataFrame, key: list[str], n: int, *order) -> DataFrame:
     """At most n rows of each key, as the feature; top-n pruning happens before rows move."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+    k = free("_n", df)
+    return df.withColumn(k, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(k) <= n).drop(k)
 
 
 def first_keys(df: DataFrame, key: list[str], n: int) -> DataFrame:
@@ -187,8 +195,9 @@ def releasable(bins: DataFrame) -> DataFrame:
 
 def named_binaries(bins: DataFrame, strip_all_prefixes: bool = False) -> DataFrame:
     subject = F.when(F.col("collection_key") != "", N.collection_base_name(F.col("collection_key"), strip_all_prefixes)).otherwise(F.col("norm_subject"))
-    out = bins.withColumn("original_subject", subject).withColumn("_n", N.clean_name(F.col("original_subject")))
-    out = out.withColumn("name", F.when(F.col("_n") == "", F.col("original_subject")).otherwise(F.col("_n"))).drop("_n")
+    clean = free("_n", bins)
+    out = bins.withColumn("original_subject", subject).withColumn(clean, N.clean_name(F.col("original_subject")))
+    out = out.withColumn("name", F.when(F.col(clean) == "", F.col("original_subject")).otherwise(F.col(clean))).drop(clean)
     return out.withColumns({"search_name": N.search_name(F.col("name")), "obfuscated": N.is_obfuscated(F.col("name")), "category_id": N.categorize(F.col("name")), "release_hash": N.release_hash(F.col("name"), F.col("total_bytes"), F.col("group_id"))})
 
 

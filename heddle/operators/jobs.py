@@ -1,4 +1,9 @@
-"""Retention, post-processing, repair and re-parse jobs, snapshot to snapshot."""
+"""Retention, post-processing, repair and re-parse jobs, snapshot to snapshot.
+
+Empty tables give empty results, reports zeros. Null keys match nothing where tables are joined; a part without a binary is never a
+candidate of retention and never protected. A null status is none of the known ones. Rows that repeat are each kept or dropped by the
+same rule. Unknown columns come along; working columns take names that are free.
+"""
 
 from __future__ import annotations
 
@@ -37,12 +42,15 @@ def with_status(releases: DataFrame) -> DataFrame:
 
 
 def record_failure(releases: DataFrame, failures: DataFrame) -> DataFrame:
-    """``failures``: guid, permanent_failure, at."""
-    out = releases.join(failures, "guid", "left")
-    hit, n = F.col("at").isNotNull(), F.col("pp_attempts") + 1
-    final = F.col("permanent_failure") | (n >= 3)
-    later = F.timestamp_seconds(F.unix_seconds(F.col("at").cast("timestamp")) + pp_backoff_seconds(n)).cast("timestamp_ntz")
-    return out.withColumns({"pp_status": F.when(hit, "failed").otherwise(F.col("pp_status")), "permanent": F.when(hit, final).otherwise(F.col("permanent")), "next_retry": F.when(hit, F.when(~final, later)).otherwise(F.col("next_retry")), "pp_attempts": F.when(hit, n).otherwise(F.col("pp_attempts"))}).drop("permanent_failure", "at")
+    """``failures``: guid, permanent_failure, at. Several of one release count once: permanent if one is, at the latest time; a null
+    time leaves no time to retry, and the failure counts all the same."""
+    final, late, seen = (tables.free(c, releases) for c in ("_final", "_late", "_seen"))
+    once = failures.groupBy("guid").agg(F.coalesce(F.bool_or("permanent_failure"), F.lit(False)).alias(final), F.max("at").alias(late), F.lit(True).alias(seen))
+    out = releases.join(once, "guid", "left")
+    hit, n = F.col(seen).isNotNull(), F.col("pp_attempts") + 1
+    ended = F.col(final) | (n >= 3)
+    later = F.timestamp_seconds(F.unix_seconds(F.col(late).cast("timestamp")) + pp_backoff_seconds(n)).cast("timestamp_ntz")
+    return out.withColumns({"pp_status": F.when(hit, "failed").otherwise(F.col("pp_status")), "permanent": F.when(hit, ended).otherwise(F.col("permanent")), "next_retry": F.when(hit, F.when(~ended, later)).otherwise(F.col("next_retry")), "pp_attempts": F.when(hit, n).otherwise(F.col("pp_attempts"))}).drop(final, late, seen)
 
 
 def requeue_failed(releases: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Search, pages and catalogue joins."""
+"""Search, pages and catalogue joins.
+
+Null names, categories and times match no search and no filter, and stand last in listings from the newest; rows with one time are ordered by
+their guid, and rows that are equal in both in any order. Empty tables give empty pages and a count of zero.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from . import trigrams
 
 
 def newest_first() -> list[Column]:
-    return [F.col("posted_at").desc(), F.col("guid").desc()]
+    return [F.col("posted_at").desc_nulls_last(), F.col("guid").desc_nulls_last()]
 
 
 def token_and_search(releases: DataFrame, query: str, index: trigrams.Index | None = None) -> DataFrame:

@@ -37,10 +37,19 @@ def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A name for a working column that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held(df: DataFrame) -> tuple[DataFrame, Column]:
     """``df`` and a condition, always true, that keeps a filter which holds it from being pushed below ``df``'s columns, so that dear
     ones are computed once and not in the filter again. Nothing is written."""
-    return df.withColumn("_held", F.monotonically_increasing_id()), F.col("_held") >= 0
+    name = free("_held", df)
+    return df.withColumn(name, F.monotonically_increasing_id()), F.col(name) >= 0
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
