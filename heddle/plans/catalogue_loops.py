@@ -106,20 +106,18 @@ def yenc_encoded_bytes(raw: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-K = F.col("bytes")
-
-
 def probed(s, d):
     """Due releases, segments by kind (every fourth a parity file, every fourth a description) and their bodies."""
+    size = F.col("bytes")
     due = C.states(s, d).filter("pp_status <> 'done'")
-    own = segments(s, d).withColumn("subject", F.when(K % 4 == 0, F.lit('x "a.PAR2" yEnc (1/2)')).when(K % 4 == 1, F.lit('"b.nfo" yEnc')).otherwise(F.lit("c.bin")))
+    own = segments(s, d).withColumn("subject", F.when(size % 4 == 0, F.lit('x "a.PAR2" yEnc (1/2)')).when(size % 4 == 1, F.lit('"b.nfo" yEnc')).otherwise(F.lit("c.bin")))
     tag = F.substring("guid", 1, 4)
     real = F.concat(D.par2_packet(F.lit("a.nfo")), D.par2_packet(F.concat(F.lit("Real.Name."), tag, F.lit(".2024.1080p.BluRay.part01.rar"))), D.par2_packet(F.concat(F.lit("Real.Name."), tag, F.lit(".r05"))))
     hidden = D.par2_packet(F.lit("9c914cea0eb54d4892abd3a5b681032a.par2"))
-    parity = F.when(K % 3 > 0, real).otherwise(hidden)
-    note = F.when(K % 3 > 0, F.concat(F.lit("  See IMDB tt"), F.lpad((K % 100000).cast("string"), 7, "0"), F.lit(" https://thetvdb.com/?tab=series&id="), (K % 1000).cast("string"), F.lit("\n"))).otherwise(F.lit(" \r\n")).cast("binary")
-    body = F.when(K % 4 == 1, note).when((K % 4 == 0) | (K % 7 == 0), yenc_encoded_bytes(parity)).otherwise(F.lit(b"junk"))
-    found = own.select("message_id", F.when(K % 5 > 0, body).alias("body"), F.when(K % 5 == 0, F.when(K % 10 == 0, 430).when(K % 15 == 0, 500)).alias("code"))
+    parity = F.when(size % 3 > 0, real).otherwise(hidden)
+    note = F.when(size % 3 > 0, F.concat(F.lit("  See IMDB tt"), F.lpad((size % 100000).cast("string"), 7, "0"), F.lit(" https://thetvdb.com/?tab=series&id="), (size % 1000).cast("string"), F.lit("\n"))).otherwise(F.lit(" \r\n")).cast("binary")
+    body = F.when(size % 4 == 1, note).when((size % 4 == 0) | (size % 7 == 0), yenc_encoded_bytes(parity)).otherwise(F.lit(b"junk"))
+    found = own.select("message_id", F.when(size % 5 > 0, body).alias("body"), F.when(size % 5 == 0, F.when(size % 10 == 0, 430).when(size % 15 == 0, 500)).alias("code"))
     return due, own, found
 
 
