@@ -46,14 +46,16 @@ def test_filter_and_certificate_on_many_dimensions(spark):
     blocks = W.packed(frame(spark, rows, "double").repartition(5))
     model = W.fit(blocks)
     assert model.vectors.shape == (120, 8) and (model.residuals < 1e-12 * model.values[0]).all() and model.passes < 40
-    compare(W.whiten(frame(spark, rows, "double").repartition(5)).collect(), rows)
+    compare(W.whitened(blocks, model, W.identity_error(blocks, model)).collect(), rows)
 
 
 def test_flat_spectrum_widens_the_block(spark):
     draw = np.random.default_rng(4)
     rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(3000, 48)))]
-    assert W.fit(W.packed(frame(spark, rows, "double"))).passes < 80
-    compare(W.whiten(frame(spark, rows, "double")).collect(), rows)
+    blocks = W.packed(frame(spark, rows, "double"))
+    model = W.fit(blocks)
+    assert model.passes < 80
+    compare(W.whitened(blocks, model, W.identity_error(blocks, model)).collect(), rows)
 
 
 def test_a_hidden_direction_is_found():
