@@ -164,7 +164,7 @@ def recollected(parts: DataFrame) -> DataFrame:
     """part_id, key, number and count of the collections that subjects name by a leading file counter in brackets and a quoted name.
     A count of one, or the first file of as many as the first counter of any kind gives, is no collection."""
     s = F.coalesce("subject", F.lit(""))
-    leading, any_one = R.port(R.LEADING_FILES), R.port(R.FIRST_COUNTER)
+    leading, any_one = R.port(R.LEADING_FILES), R.port(R.COUNTER)
     number, count = (F.regexp_extract(s, leading, i).try_cast("int") for i in (1, 2))
     name, first = F.regexp_extract(s, R.QUOTED, 1), F.regexp_extract(s, any_one, 2).try_cast("int")
     rows = parts.filter(s.rlike(leading)).select("part_id", name.alias("n"), number.alias("new_file"), count.alias("new_total"), first.alias("first"))
