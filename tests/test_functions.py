@@ -1,5 +1,6 @@
 import pytest
 from heddle.functions import names as N
+from heddle.functions import regexes as R
 from heddle.functions import subjects as S
 from pyspark.sql import functions as F
 
@@ -38,3 +39,18 @@ def test_names_and_identifiers(spark):
     assert one(spark, N.episode_query(F.lit("x"), F.lit("1"), F.lit("12"))) == "x s01e12"
     title = one(spark, N.parse_title(F.lit("My.Show.S02E03.2011.x264")))
     assert tuple(title) == ("my show", 2011, 2, 3)
+
+
+def test_ported_boundaries(spark):
+    """Ported boundaries look at one side each, and find what RE2's do; subjects with several names and counters parse as with general patterns."""
+    import re
+
+    texts = ["yEnc", "xyenc", "a yenc_", "éyencé", "(yenc)", "win x", "winx", "win  7z", "s01 e2", "a1s01e02", "hdtv.s01", "hdtv xs01", "web dl episode", "2020 x264", "2020x264", "720p in 1999é", "3 of 7", "a3 of 7", "3 of 7b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in [R.YENC, R.OF_COUNTER, R.EPISODE, R.FOREIGN, *[p for p, _ in R.CATEGORIES]]:
+        assert "(?<=" not in R.port(pattern)
+        assert [r[0] for r in df.select(F.col("t").rlike(R.port(pattern))).collect()] == [bool(re.search(pattern, t, re.ASCII)) for t in texts], pattern
+    s = '[1/2] [03/18] "a" x "" "Title here" (7/9) "b.rar" (1/3) [1999/2001] (2/4)'
+    r = S.parse_subject(spark.createDataFrame([(s, 1)], "subject string, _s int")).first()
+    assert (r.file_name, r.part_number, r.total_parts, r._s) == ("b.rar", 2, 4, 1)
+    assert "ArrayTransform" in str(S.parse_subject(df.withColumnRenamed("t", "subject"))._jdf.queryExecution().analyzed().toJSON())
