@@ -97,3 +97,15 @@ def test_joins_in_one_layout_move_nothing(spark):
         assert "Exchange" not in plan(laid).split("== Initial Plan ==")[0], plan(laid)
         assert sorted(map(str, laid.collect())) == sorted(map(str, plain.select(*laid.columns).collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_index_broadcasts_no_grams(spark, monkeypatch):
+    """Terms' stored bytes say little about how many grams they have: neither the build nor a look-up of many needles broadcasts these."""
+    plans = []
+    monkeypatch.setattr(G, "_sorted", lambda df, name, *keys, kept=G._sorted: (plans.append(plan(df)), kept(df, name, *keys))[1])
+    df = spark.createDataFrame([(i, f"customer#{i:09}") for i in range(500)], "k long, t string")
+    index = G.build(df, "k", "t", whole=True)
+    assert not any("Join" in p for p in plans), plans
+    assert {r.gram: r.terms for r in index.sizes.collect()} == {r.gram: r["count"] for r in index.held.groupBy("gram").count().collect()}
+    many = index.terms_of_each(df.select(F.col("t").alias("t")))
+    assert "SortMergeJoin" in plan(many) and many.count() == 500
