@@ -17,3 +17,12 @@ def test_all_ambiguous_parts(spark):
     assert len(want) > 200 and sorted(r.part_id for r in A.ambiguous_parts(df).collect()) == want
     assert sorted(r.part_id for r in A.ambiguous_parts(df, 200).collect()) == want[-200:]
     assert "P03_ambiguous_parts_all" in registry.queries()
+
+
+def test_pass_and_route_queries_return_all(spark):
+    """The whole state of groups in A11 and A12, and every method and status of a route in A18."""
+    queries, sql = registry.queries(), registry.oracle_sql()
+    whole = set(queries["ST13_pass_outcomes"](spark, SF).columns)
+    for name in ("A11_consecutive_failures", "A12_last_success_times"):
+        assert set(queries[name](spark, SF).columns) == whole and sql[name] == sql["ST13_pass_outcomes"]
+    assert {"method", "route", "status"} < set(queries["A18_route_metrics_all"](spark, SF).columns)
