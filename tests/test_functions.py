@@ -54,3 +54,14 @@ def test_ported_boundaries(spark):
     r = S.parse_subject(spark.createDataFrame([(s, 1)], "subject string, _s int")).first()
     assert (r.file_name, r.part_number, r.total_parts, r._s) == ("b.rar", 2, 4, 1)
     assert "ArrayTransform" in str(S.parse_subject(df.withColumnRenamed("t", "subject"))._jdf.queryExecution().analyzed().toJSON())
+
+
+def test_subjects_are_parsed_in_projections(spark):
+    """No step copies what the others found, and each short run of steps is compiled by itself."""
+    plan = S.parse_subject(spark.createDataFrame([("a [1/2] b",)], "subject string"))._jdf.queryExecution().executedPlan().toString()
+    assert "named_struct" not in plan and plan.count("Project") >= 8
+
+
+def test_first_characters_are_looked_for_first():
+    assert "(?=" in R.port(R.OF_COUNTER) and "(?=" in R.port(R.YENC) and "(?=" in R.port(R.ARCHIVE)
+    assert not any("(?=" in R.port(p) for p in (r"\b(xxx|porn)\b", r"\bs?a\b", r"(\.a|b)?\.c", r"\b(19|20)\d{2}\b"))
