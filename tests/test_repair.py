@@ -64,3 +64,18 @@ def test_a_file_in_two_batches_counts_once(spark):
     columns = sorted(whole.columns)
     assert sorted(map(str, A.merge_partials(halves).select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
     assert A.merge_partials(A.partials(df.filter("false"))).count() == 0
+
+
+def test_backfill_moves_parts_once(spark):
+    """Stored segments aren't moved, parts only to their binary; two releases of one binary both get its segments."""
+    parts = spark.createDataFrame([(1, f"k{i // 3}", "", "p", 3, 3 - i % 3, i, f"m{i}" if i != 4 else "", i) for i in range(9)], "group_id int, collection_key string, norm_subject string, poster string, total_parts int, part_number int, article_number int, message_id string, bytes long").withColumn("subject", F.lit("s"))
+    ids = {r.article_number: r.binary_id for r in A.link_parts(parts).collect()}
+    one = "number int, message_id string, bytes long, subject string"
+    releases = spark.createDataFrame([("a", ids[0], "x", []), ("b", ids[0], "y", []), ("c", ids[3], "z", [(7, "kept", 1, "s")]), ("d", "none", "w", []), ("e", ids[3], "v", [])], f"guid string, binary_id string, name string, segments array<struct<{one.replace(' ', ':').replace(',:', ',')}>>")
+    found, counts = P.backfill_segments(releases, parts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3 and "Window" not in plan
+    got = {r.guid: (r.name, r.stored, [(s.number, s.message_id) for s in r.segments]) for r in found.collect()}
+    first = [(1, "m2"), (2, "m1"), (3, "m0")]
+    assert got == {"a": ("x", False, first), "b": ("y", False, first), "c": ("z", True, [(7, "kept")]), "d": ("w", False, []), "e": ("v", False, [(1, "m5"), (2, "m3")])}
+    assert counts.collect() == [(3, 1)]
