@@ -113,3 +113,10 @@ def test_idle_binaries_without_another_article(spark, tmp_path, restart):
 def test_idle_of_nothing(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     assert I.stream_idle(str(tmp_path / "in"), spark.createDataFrame([], PARTS), spark.createDataFrame([], "binary_id string"), "1 hour", "1 day", str(tmp_path / "out")).collect() == []
+
+
+def test_feeds_have_more_files_the_larger_they_are():
+    from heddle.plans import registry  # noqa: F401
+    from heddle.plans import catalogue_jobs as C
+
+    assert C.files(10) == 16 and C.files(10, 4) == 4 and C.files(40 * C.FILE_ROWS + 1) == 41
