@@ -213,3 +213,13 @@ def test_reparsing_runs_the_parser_once(spark):
     assert filters and not any("regexp" in line for line in filters)
     assert {r.part_id for r in out.collect()} >= {1} and 3 not in {r.part_id for r in out.collect()}
     assert J.reparse_plan(df.filter("false")).count() == 0
+
+
+def test_months_are_written_once(spark, stored, monkeypatch):
+    """Rows read from the table itself replace its months without a copy aside; months without rows go."""
+    table, rows = stored
+    monkeypatch.setattr(M, "stored", None)
+    months = table.months()
+    table.replace(months, table.read(months).filter("total_parts = 0 AND collection_key = ''"))
+    assert sorted(r.part_id for r in table.read().collect()) == sorted(r[0] for r in rows if r[8] == 0 and r[7] == "")
+    assert set(table.months()) == set(months) - {202509}
