@@ -109,3 +109,12 @@ def test_index_broadcasts_no_grams(spark, monkeypatch):
     assert {r.gram: r.terms for r in index.sizes.collect()} == {r.gram: r["count"] for r in index.held.groupBy("gram").count().collect()}
     many = index.terms_of_each(df.select(F.col("t").alias("t")))
     assert "SortMergeJoin" in plan(many) and many.count() == 500
+
+
+def test_layout_has_more_buckets_for_more_parts(spark, monkeypatch):
+    parts = spark.range(95).select(F.col("id").alias("part_id"), F.col("id").cast("string").alias("binary_id"))
+    few = parts.limit(5).select("binary_id")
+    monkeypatch.setattr(A, "BUCKET_ROWS", 10)
+    p, b, _ = A.linked_layout(parts, few, few)
+    assert len({name.split("_")[-1][:5] for name in p.inputFiles()}) == 10  # the bucket is in a file's name
+    assert p.count() == 95 and p.join(b, "binary_id").count() == 5
