@@ -65,3 +65,16 @@ def test_subjects_are_parsed_in_projections(spark):
 def test_first_characters_are_looked_for_first():
     assert "(?=" in R.port(R.OF_COUNTER) and "(?=" in R.port(R.YENC) and "(?=" in R.port(R.ARCHIVE)
     assert not any("(?=" in R.port(p) for p in (r"\b(xxx|porn)\b", r"\bs?a\b", r"(\.a|b)?\.c", r"\b(19|20)\d{2}\b"))
+
+
+def test_archives_are_known_by_their_ends(spark):
+    """The end of a name tells what the whole pattern does, and a name without it isn't cut; signs of n of m are found in any case."""
+    ends = ["rar", "PAR2", "Zip", "7z", "sfv", "nfo", "nzb", "001", "par", "r01", "rarx", "zİp", ""]
+    names = [head + "." + end for head in ("", "a", "é.vol01+2", "x.part1", "b.12345678", "\U0001f600") for end in ends] + ["rar", "", "7z", ".7z\n"]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    rows = df.select("t", S.is_archive(F.col("t")), F.col("t").rlike(R.port(R.ARCHIVE)), S.collection_base(F.col("t"))).collect()
+    assert [r[1] for r in rows] == [r[2] for r in rows] and sum(r[1] for r in rows) > 40
+    s = ['a 3 OF 7 x', 'a 3 oF 7', 'off 3 of', '"n.rar" 2 Of 3', 'K of 2 OF 9', '"a.b1234567" "c.d123456789"']
+    got = S.parse_subject(spark.createDataFrame([(i, x) for i, x in enumerate(s)], "i int, subject string")).orderBy("i").collect()
+    assert [(r.part_number, r.total_parts, r.norm_subject) for r in got[:5]] == [(3, 7, "a x"), (3, 7, "a"), (0, 0, "off 3 of"), (2, 3, '"n.rar"'), (2, 9, "K of")]
+    assert (got[3].collection_key, got[5].file_name) == ("b:n", "a.b1234567")
