@@ -106,3 +106,41 @@ def test_a_long_piece_is_passed_on_in_blocks(machine):
     assert np.frombuffer(b"".join(blocks), "<u4").tolist() == LIB.encode(piece, add_special_tokens=False).ids
     n, ids, _ = t.digest(piece)
     assert (4 * n, ids) == (len(b"".join(blocks)), hashlib.sha256(b"".join(blocks)).hexdigest())
+
+
+def small(draw):
+    """A random merge list over a few letters, whose tokens have one merge each unless texts repeat."""
+    import json
+
+    letters = {b: c for c, b in bpe.byte_alphabet().items()}
+    words, merges = [letters[b] for b in range(256)], []
+    tokens = ["a", "b", "c"]
+    for _ in range(draw.randint(1, 25)):
+        a, b = draw.choice(tokens), draw.choice(tokens)
+        if len(a + b) > 12 or (a, b) in merges or (a + b in words and draw.random() < 0.9):
+            continue
+        merges.append((a, b))
+        if a + b not in words:
+            words.append(a + b)
+            tokens.append(a + b)
+    return bpe.Transducer(json.dumps({"added_tokens": [], "model": {"vocab": {w: i for i, w in enumerate(words)}, "merges": merges}}))
+
+
+def test_neighbours_are_tried_along_their_merges(machine):
+    """Undoing merges tells the same as merging all bytes of two tokens, on this vocabulary and on small odd ones."""
+    draw = random.Random(11)
+    assert machine.plain
+    machines, seen = [small(draw) for _ in range(300)], 0
+    for m, n in [(machine, 4000), *((m, 60) for m in machines if m.plain)]:
+        known = list(m.token.values())
+        some = [i for i in known if len(m.text[i]) > 1 or m.text[i] in b"abc"]
+        for _ in range(n):
+            a, b = draw.choice(some), draw.choice(some)
+            assert m.stays(a, b) == (m.merged(m.text[a] + m.text[b]) == [a, b]), (m.text[a], m.text[b])
+            seen += 1
+    assert seen > 15000
+    for m in machines:  # also where a text has two merges, so that neighbours' bytes are merged
+        for _ in range(20):
+            raw = bytes(draw.choices(b"abc", k=draw.randint(1, 14)))
+            assert np.frombuffer(m.piece(raw.decode()), dtype="<u4").tolist() == m.merged(raw)
+    assert any(not m.plain for m in machines)
