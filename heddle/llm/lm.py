@@ -10,7 +10,8 @@ smoothed share of its part, from counts over the whole corpus.
 The text is dealt over two rounds by a hash. In each round every task trains on its share by
 gradient updates on minibatches, from the round before's weights, and the weights of the tasks are
 averaged by how much text each has seen. Counts grow with the corpus and are never broadcast:
-texts are scored in sparse batches, whose distinct words are joined with the counts.
+texts are scored in sparse batches, whose distinct words are joined with the counts. A batch is stored and
+moved as rows of a few hundred KB and meets its words' counts alone, so that no task holds more than one at a time.
 """
 
 from __future__ import annotations
@@ -27,14 +28,18 @@ from pyspark.sql import types as T
 from . import shared, wordhash
 
 #: Classes, and parts of each (class 0, the end of a text, has one), last bytes that make them, the
-#: binary logarithm of the weight table's rows, and bytes of text in a batch.
-CLASSES, TAIL, ROW_BITS, BATCH = 8, -3, 16, 4 << 20
+#: binary logarithm of the weight table's rows, and bytes of text in a batch and in a row of it.
+CLASSES, TAIL, ROW_BITS, BATCH, CHUNK = 8, -3, 16, 4 << 20, 1 << 18
 ROWS, KINDS = 1 << ROW_BITS, CLASSES * CLASSES
 #: Of so many hashes of an id the first one makes the first round.
 FIRST = 4
 SLICES, STEP, MINIBATCH, LEAST = 64, 0.15, 8192, -20
+#: Counts of words that a task packs at once.
+PACK = 1 << 20
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
 SMOOTH = 0.1
+#: Parquet asks after every row how much it holds, instead of every hundred; a row group is what a task writes or reads at once.
+WIDE = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 class Tokens:
@@ -181,10 +186,11 @@ def averaged(parts: DataFrame, start: np.ndarray) -> np.ndarray:
 
 
 def batched(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Sparse batches of texts, stored: ids, lengths and class scores of the documents, distinct
-    words with their classes, and which document has which word how often."""
+    """Sparse batches of texts, stored in chunks: ids, lengths and class scores of the chunk's documents and
+    which of them has which word of the batch how often; and a share of the batch's distinct words, from number ``at`` on, with their classes."""
     table = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB
-    names = ["batch", "ids", "flags", "lengths", "scores", "words", "kinds", "places"]
+    names = ["batch", "chunk", "ids", "flags", "lengths", "scores", "at", "words", "kinds", "places"]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, task = 0, TaskContext.get().partitionId()
@@ -198,17 +204,48 @@ def batched(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     score += np.bincount(doc[at : at + (1 << 15)], p, minlength=j - i)
                 word, first, local = np.unique(t.word, return_index=True, return_inverse=True)
                 place, count = np.unique(doc.astype(np.int64) << 32 | local.reshape(-1), return_counts=True)
-                sparse = [(place >> 32).astype(np.uint32), (place & 0xFFFFFFFF).astype(np.uint32), count.astype(np.uint32)]
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.record_batch(
-                    [pa.array([task << 32 | done], pa.int64()), one(b.column(0).slice(i, j - i)), one(b.column(1).slice(i, j - i)), one(pa.array(t.length)), one(pa.array(score)), one(pa.array(word.view(np.int64))), pa.array([t.kind[first].astype(np.uint8).tobytes()], pa.binary()), pa.array([planes(np.concatenate(sparse))], pa.binary())],
-                    names=names,
-                )
+                of, named, kinds = place >> 32, place & 0xFFFFFFFF, t.kind[first].astype(np.uint8)
+                chunks = list(pieces(b.column(2).slice(i, j - i), CHUNK))
+                for n, (k, m) in enumerate(chunks):
+                    p, q = np.searchsorted(of, (k, m))
+                    at, to = (len(word) * x // len(chunks) for x in (n, n + 1))
+                    sparse = np.concatenate([x.astype(np.uint32) for x in (of[p:q] - k, named[p:q], count[p:q])])
+                    rows = [one(b.column(c).slice(i + k, m - k)) for c in (0, 1)]
+                    yield pa.record_batch(
+                        [pa.array([task << 32 | done], pa.int64()), pa.array([n], pa.int32()), *rows, one(pa.array(t.length[k:m])), one(pa.array(score[k:m])), pa.array([at], pa.int32()), one(pa.array(word[at:to].view(np.int64))), pa.array([kinds[at:to].tobytes()], pa.binary()), pa.array([planes(sparse)], pa.binary())],
+                        names=names,
+                    )
                 done += 1
 
     kind = docs.schema["doc_id"].dataType
-    types = [T.LongType(), T.ArrayType(kind), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType()]
-    return shared.stored(docs.select("doc_id", "held_out", "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])), "batches")
+    types = [T.LongType(), T.IntegerType(), T.ArrayType(kind), T.ArrayType(T.BooleanType()), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType()), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType(), T.BinaryType()]
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
+    return shared.stored(rows, "batches", **WIDE)
+
+
+def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each PACK rows (of, i, c) in a row, one for each batch ``of``: steps from place to place, and counts."""
+    kept, n = [], 0
+
+    def together() -> pa.RecordBatch:
+        of, i, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+        batches, code = np.unique(of, return_inverse=True)
+        order = np.argsort(code.reshape(-1) << 32 | i)
+        at = np.searchsorted(code.reshape(-1)[order], np.arange(len(batches) + 1))
+        i, c = i[order].astype(np.uint32), c[order].astype("<i8")
+        steps = [planes(np.diff(i[a:b], prepend=np.uint32(0))) for a, b in zip(at, at[1:])]
+        return pa.record_batch([pa.array(batches), pa.array(steps, pa.binary()), pa.array([planes(c[a:b]) for a, b in zip(at, at[1:])], pa.binary())], names=["of", "places", "counts"])
+
+    for b in rows:
+        if len(b):
+            kept.append([x.to_numpy() for x in b.columns])
+            n += len(b)
+        if n >= PACK:
+            yield together()
+            kept.clear()
+            n = 0
+    if kept:
+        yield together()
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -232,30 +269,33 @@ def scored(docs: DataFrame) -> DataFrame:
     whole = total + SMOOTH * (distinct + 1)
     in_kind = np.array([n + SMOOTH * (v + 1) for n, v in (kinds.get(k, (0, 0)) for k in range(KINDS))])
     batches = batched(docs, weights)
-    asked = batches.select("batch", F.posexplode("words").alias("i", "word"))
-    known = asked.join(counts, "word").groupBy("batch").agg(F.collect_list("i").alias("known"), F.collect_list("c").alias("counts"))
-
-    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for b in rows:
-            for r in range(len(b)):
-                x = {c: b.column(c)[r] for c in b.schema.names}
-                n = len(x["ids"])
-                kind = np.frombuffer(x["kinds"].as_py(), dtype=np.uint8)
-                doc, word, count = unplaned(x["places"].as_py(), "<u4").reshape(3, -1).astype(np.int64)
-                c = np.zeros(len(kind))
-                if x["known"].is_valid:
-                    c[x["known"].values.to_numpy()] = x["counts"].values.to_numpy()
-                base = np.log10((c + SMOOTH) / whole)
-                within = np.where(kind == 0, 0.0, np.log10((c + SMOOTH) / in_kind[kind]))
-                add = lambda v: np.bincount(doc, v[word] * count, minlength=n)
-                yield pa.record_batch(
+    asked = batches.select("batch", "at", F.posexplode("words").alias("i", "word")).select(F.col("batch").alias("of"), (F.col("at") + F.col("i")).alias("i"), "word")
+    known = asked.join(counts.select("word", "c"), "word").select("of", "i", "c").mapInArrow(packed, "of long, places binary, counts binary")
+
+    def finish(chunks: pa.Table, found: pa.Table) -> pa.Table:
+        names, out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], []
+        chunks = chunks.sort_by("chunk")
+        kind = np.frombuffer(b"".join(chunks.column("kinds").to_pylist()), dtype=np.uint8)
+        c = np.zeros(len(kind))
+        for places, n in zip(found.column("places").to_pylist(), found.column("counts").to_pylist(), strict=True):
+            c[np.cumsum(unplaned(places, "<u4"))] = unplaned(n, "<i8")
+        base = np.log10((c + SMOOTH) / whole)
+        within = np.where(kind == 0, 0.0, np.log10((c + SMOOTH) / in_kind[kind]))
+        for r in range(len(chunks)):
+            x = {name: chunks.column(name)[r] for name in ("ids", "flags", "lengths", "scores", "places")}
+            n = len(x["ids"])
+            doc, word, count = unplaned(x["places"].as_py(), "<u4").reshape(3, -1).astype(np.int64)
+            add = lambda v: np.bincount(doc, v[word] * count, minlength=n)  # noqa: B023, E731
+            out.append(
+                pa.record_batch(
                     [x["ids"].values, x["flags"].values, x["lengths"].values, pa.array(add((c > 0) * 1.0).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(add(base)), pa.array(add(within) + x["scores"].values.to_numpy())],
                     names=names,
                 )
+            )
+        return pa.Table.from_batches(out)
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    return batches.drop("words").join(known, "batch", "left").mapInArrow(finish, T.StructType(fields))
+    return batches.drop("at", "words").groupBy("batch").cogroup(known.groupBy("of")).applyInArrow(finish, T.StructType(fields))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

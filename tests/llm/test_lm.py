@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from heddle.llm import lm
+from pyspark.sql import functions as F
 
 
 def brute(docs, held):
@@ -124,3 +126,20 @@ def test_odd_rows(spark):
     assert got == sorted(((*x[:3], round(x[3], 3)) for x in brute([r[:2] for r in rows], [r[2] for r in rows])), key=str)
     assert lm.scored(df.filter("false")).count() == 0
     assert {r.n_known for r in lm.scored(df.filter("held_out")).collect()} == {0}
+
+
+def test_batches_are_stored_and_moved_in_small_rows(spark, monkeypatch):
+    """Whatever the number of batches that a task reads, writes or sends to Python, it holds few rows, and these are small."""
+    monkeypatch.setitem(lm.WIDE, "parquet.block.size", 1 << 20)
+    monkeypatch.setattr(lm, "PACK", 5000)
+    docs = [(i, " ".join(f"w{i * 7919 + k * 104729:x}" for k in range(2500)), i % 9 == 0) for i in range(400)]  # 8 MB, hardly a word twice
+    df = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(1)
+    table = lm.batched(df.select("doc_id", "held_out", "text"), np.zeros((lm.ROWS, lm.CLASSES), np.float32))
+    largest = table.agg(F.max(F.octet_length("places") + F.octet_length("kinds") + 8 * F.size("words"))).first()[0]
+    assert largest < 4 * lm.CHUNK and 1 < table.select("batch").distinct().count() < table.count()
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    assert max(g.row_group(i).total_byte_size for g in groups for i in range(g.num_row_groups)) < 4 << 20
+    out = lm.scored(df)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in out.collect()}
+    assert got == {d[0]: (*x[:3], round(x[3], 3)) for d, x in zip(docs, brute([d[:2] for d in docs], [d[2] for d in docs]), strict=True)}
