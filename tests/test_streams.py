@@ -12,6 +12,13 @@ HEADERS = "group_id long, article_number long, message_id string, subject string
 PARTS = "part_id long, group_id long, message_id string, poster string, collection_key string, file_number int, collection_files int, norm_subject string, total_parts int, bytes long, posted_at timestamp_ntz"
 
 
+@pytest.fixture
+def sf_small(tmp_path):
+    """The smallest tables under a path of their own, so that nothing is kept from other tests."""
+    os.symlink("/root/testdata/sf0.001", tmp_path / "sf")
+    return str(tmp_path / "sf")
+
+
 def feed(spark, path, batches, schema):
     """A file for each batch, oldest first."""
     for i, rows in enumerate(batches):
@@ -115,6 +122,33 @@ def test_idle_of_nothing(spark, tmp_path):
     assert I.stream_idle(str(tmp_path / "in"), spark.createDataFrame([], PARTS), spark.createDataFrame([], "binary_id string"), "1 hour", "1 day", str(tmp_path / "out")).collect() == []
 
 
+def test_idle_holds_sessions_outside_the_heap_and_runs_the_events_that_are_asked_for(spark, tmp_path):
+    at = lambda h: dt.datetime(2025, 1, 1) + dt.timedelta(hours=h)
+    path, like, none = str(tmp_path / "in"), spark.createDataFrame([], PARTS), spark.createDataFrame([], "binary_id string")
+    feed(spark, path, [parts([("b:quiet", 0, 1, 0, at(0)), ("", 1, 0, 3, at(0)), ("b:later", 0, 1, 0, at(60))])], PARTS)
+    names = [f"spark.sql.streaming.stateStore.{k}" for k in I.SESSION_STATE]
+    before = [spark.conf.get(k, None) for k in names]
+    run = lambda out, **more: sorted(map(str, I.stream_idle(path, like, none, "10 hours", "24 hours", str(tmp_path / out), **more).filter("event = 'aged_out'").collect()))
+    one = run("one", events=("aged_out",))
+    assert len(one) == 2 and one == run("both")
+    assert not os.path.exists(tmp_path / "one-state-settled") and os.path.exists(tmp_path / "both-state-settled")
+    assert [spark.conf.get(k, None) for k in names] == before
+    kept = [f for _, _, fs in os.walk(tmp_path / "one-state-aged_out" / "state") for f in fs]
+    assert any(f.endswith(".changelog") for f in kept) and not any(f.endswith(".delta") for f in kept)  # .delta: of the store in the heap
+
+
+def test_idle_streams_read_the_stored_parts(spark, sf_small, monkeypatch):
+    from heddle.plans import catalogue as C
+    from heddle.plans import catalogue_jobs as J
+    from heddle.plans import registry  # noqa: F401
+    from heddle.sources.tables import folder
+
+    calls, real = [], I.stream_idle
+    monkeypatch.setattr(I, "stream_idle", lambda path, *a, **b: calls.append((path, b["events"])) or real(path, *a, **b))
+    J.idle(spark, sf_small, "aged_out")
+    assert calls == [(folder(C.parts(spark, sf_small)), ("aged_out",))]
+
+
 def test_feeds_have_more_files_the_larger_they_are():
     from heddle.plans import registry  # noqa: F401
     from heddle.plans import catalogue_jobs as C
