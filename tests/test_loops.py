@@ -223,3 +223,39 @@ def test_months_are_written_once(spark, stored, monkeypatch):
     table.replace(months, table.read(months).filter("total_parts = 0 AND collection_key = ''"))
     assert sorted(r.part_id for r in table.read().collect()) == sorted(r[0] for r in rows if r[8] == 0 and r[7] == "")
     assert set(table.months()) == set(months) - {202509}
+
+
+def test_only_changed_rows_are_dealt_again(spark, stored):
+    """What a pass doesn't change is written by the tasks that read it; months that aren't named stay untouched."""
+    table, rows = stored
+    files = lambda: {(m, f): os.stat(os.path.join(table.path, m, f)).st_mtime_ns for m in os.listdir(table.path) if m.startswith(M.MONTH) for f in os.listdir(os.path.join(table.path, m)) if f.startswith("part-")}
+    months, before = [202502, None], files()
+    picked = table.read(months)
+    changed, others = picked.filter("part_id % 3 = 0").withColumn("total_parts", F.lit(7)), picked.filter("part_id % 3 <> 0")
+    plan = table._dealt(changed, others)._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("Union")[1].split("RebalancePartitions")
+    assert len(branches) == 2 and branches[1].count("Relation") == 2  # the others follow the dealt rows, without a deal of their own
+    table.amend(changed, others)
+    want = {r[0]: 7 if r[0] % 3 == 0 and (r[4] is None or r[4].month == 2) else r[8] for r in rows}
+    assert {r.part_id: r.total_parts for r in table.read().collect()} == want and table.read().count() == len(rows)
+    named = {f"{M.MONTH}=202502", f"{M.MONTH}={M.NONE}"}
+    assert {k: v for k, v in before.items() if k[0] not in named} == {k: v for k, v in files().items() if k[0] not in named}
+
+
+def test_a_pass_deals_only_what_waits(spark, stored, monkeypatch):
+    table, rows = stored
+    seen, real = [], M.Monthly.amend
+    monkeypatch.setattr(M.Monthly, "amend", lambda self, changed, others: seen.append((changed.count(), others.count())) or real(self, changed, others))
+    X.verification_pass(table, spark.createDataFrame([], "message_id string, body binary"), 1)
+    wait = [r for r in rows if r[7] == "" and r[8] == 0 and r[11] < 5]
+    months = {r[4] and r[4].month for r in wait}
+    assert seen == [(len(wait), sum((r[4] and r[4].month) in months for r in rows) - len(wait))]
+
+
+def test_verified_parts_are_read_where_they_lie(spark, tmp_path):
+    from heddle.plans import registry  # noqa: F401, I001
+    from heddle.plans import catalogue_loops as L
+
+    os.symlink("/root/testdata/sf0.001", tmp_path / "sf")
+    got = L.verified(spark, str(tmp_path / "sf"))
+    assert got.columns == L.LOOP and all(f"/{M.MONTH}=" in f for f in got.inputFiles())  # no copy of the whole table
